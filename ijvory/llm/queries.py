@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import simhash
-from ijvory.llm.common import documents
+from ijvory.llm import decontam, simhash
+from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,39 @@ def query(sql: str | None = None):
     return register
 
 
+_TOKENS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{LOWER.upper()}', '{LOWER}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
+     b AS (SELECT item_id, {_TOKENS} AS ws FROM benchmark),
+     bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS win
+            FROM (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS k
+                  FROM b WHERE len(ws) > 0)),
+     dw AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS win
+            FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k
+                  FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
+     hit AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN bw USING (n, win)),
+     cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+             FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+     its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+             FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a ten-word run of a benchmark item."""
+    found = decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    names = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
