@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import decontam, simhash
+from ijvory.llm import decontam, pii, simhash
 from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,22 @@ def query(sql: str | None = None):
     return register
 
 
+def _listed(spans: str):
+    """kind:start:end of an array of spans, joined by commas."""
+    kind = F.array(*[F.lit(k) for k in pii.KINDS])
+    part = lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, part), ",")
+
+
+@query()
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    found = pii.personal_data(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[: pii.BASE])]
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 _TOKENS = (
     f"regexp_extract_all(translate(coalesce(text, ''), '{LOWER.upper()}', '{LOWER}'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
