@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import decontam, pii, simhash
+from ijvory.llm import decontam, mixing, pii, simhash
 from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,37 @@ def query(sql: str | None = None):
     return register
 
 
+@query("""
+WITH RECURSIVE
+  src AS (SELECT coalesce(source, '') AS source, count(*) AS m FROM documents GROUP BY 1),
+  sh AS (SELECT source, (m + 3) // 4 AS n, greatest(1, round(sqrt(m / (SELECT sum(m) FROM src)::DOUBLE) * 100))::BIGINT AS q FROM src),
+  rk AS (SELECT *, row_number() OVER (ORDER BY n / q, source) - 1 AS rnk FROM sh),
+  ph AS (SELECT e.rnk AS phase, x.source, x.rnk, x.q, coalesce((x.q * p.n) // p.q, 0) AS first, (x.q * e.n) // e.q AS last
+         FROM rk e JOIN rk x ON x.rnk >= e.rnk LEFT JOIN rk p ON p.rnk = e.rnk - 1),
+  sz AS (SELECT phase, sum(q)::BIGINT AS slots, max((last - first + q - 1) // q) AS periods FROM ph GROUP BY 1),
+  bs AS (SELECT phase, slots, coalesce(sum(slots * periods) OVER (ORDER BY phase ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM sz),
+  live AS (SELECT phase, rnk, q, slots FROM ph JOIN bs USING (phase) WHERE last > first),
+  st AS (SELECT phase, sum(q)::BIGINT AS h, list(rnk ORDER BY rnk) AS rs, list(q ORDER BY rnk) AS qs, list(0::BIGINT ORDER BY rnk) AS zero FROM live GROUP BY phase),
+  sim(phase, t, h, rs, qs, done, k) AS (
+    SELECT phase, -1::BIGINT, h, rs, qs, zero, 0::BIGINT FROM st
+    UNION ALL
+    SELECT phase, t + 1, h, rs, qs, list_transform(range(1, len(qs) + 1), lambda i: CASE WHEN i = best THEN done[i] + 1 ELSE done[i] END), best
+    FROM (SELECT *, list_sort(list_transform(range(1, len(qs) + 1), lambda i: {
+            'd': CASE WHEN done[i] < qs[i] AND (done[i] * h) // qs[i] <= t + 1
+                      THEN ((done[i] + 1) * h + qs[i] - 1) // qs[i] ELSE 4611686018427387904 END, 'i': i}))[1].i AS best
+          FROM sim WHERE t < h - 1)),
+  tn AS (SELECT phase, rs[k] AS rnk, done[k] - 1 AS turn, t AS slot FROM sim WHERE t >= 0),
+  d AS (SELECT doc_id, coalesce(source, '') AS source,
+               row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS at FROM documents)
+SELECT d.doc_id, d.source, d.at // 4 AS block, d.at % 4 AS place, ph.phase::INT AS phase,
+       bs.base + ((d.at // 4 - ph.first) // ph.q) * bs.slots + tn.slot AS slot
+FROM d JOIN ph ON ph.source = d.source AND d.at // 4 >= ph.first AND d.at // 4 < ph.last JOIN bs ON bs.phase = ph.phase
+     JOIN tn ON tn.phase = ph.phase AND tn.rnk = ph.rnk AND tn.turn = (d.at // 4 - ph.first) % ph.q""")
+def op1_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mix of its sources."""
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def _listed(spans: str):
     """kind:start:end of an array of spans, joined by commas."""
     kind = F.array(*[F.lit(k) for k in pii.KINDS])
