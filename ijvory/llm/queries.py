@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import decontam, mixing, pii, simhash, topk
+from ijvory.llm import decontam, langid, mixing, pii, simhash, topk
 from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,16 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
     vectors = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
+
+
+def held_out():
+    """Whether a document of ``doc_id`` is kept from learning."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+@query()
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(~held_out()))
+    return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
