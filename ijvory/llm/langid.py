@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ijvory.llm.common import slices
+
 #: Bounds of the labelled sample: documents, characters of each and symbols parsed per language, symbols over all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 200, 2000, 40_000, 400_000
 #: Letters beyond this many share the last symbols.
@@ -167,7 +169,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, limit=1 << 23)):
             langs, scores = shared.value.predict(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
@@ -179,10 +181,11 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose language the model can name; columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def language(texts):
-        import pandas as pd
-
-        return pd.Series(shared.value.predict([t if isinstance(t, str) else None for t in texts])[0])
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        named = []
+        for part in slices(pa.record_batch([texts], names=["text"]), 0, 1 << 23):
+            named += [lang != UNKNOWN for lang in shared.value.predict(part.column(0).to_pylist())[0]]
+        return pa.array(named, pa.bool_())
 
-    return docs.where(language("text") != UNKNOWN)
+    return docs.where(known("text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import decontam, langid, mixing, pii, simhash, topk
+from ijvory.llm import decontam, langid, mixing, pii, simhash, token_counts, topk
 from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(~held_out()))
     return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: The public vocabulary that op8 counts with.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    return token_counts.token_counts(documents(spark, sf_dir), token_counts.Vocabulary.of_sentencepiece(VOCABULARY))
