@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import decontam, langid, mixing, pii, simhash, token_counts, topk
+from ijvory.llm import decontam, html_extract, langid, mixing, pii, simhash, token_counts, topk
 from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and unigram tokens of every document."""
     return token_counts.token_counts(documents(spark, sf_dir), token_counts.Vocabulary.of_sentencepiece(VOCABULARY))
+
+
+@query()
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
