@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import decontam, html_extract, langid, mixing, pii, simhash, token_counts, topk
+from ijvory.llm import decontam, html_extract, langid, mixing, pii, simhash, token_counts, topk, toxicity
 from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,12 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of low quality and of toxicity for every document."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    scored = toxicity.fit(docs, labels, ["low_quality", "toxic"]).score(docs)
+    return scored.withColumn("toxic", F.col("p_toxic") > 0.5)
