@@ -95,7 +95,7 @@ class Chain:
             total += weights[f] * np.log1p(n)
         out: list[float] = []
         for (_, b, chained), s in zip(self.models.values(), total):
-            out.append(float(_sigmoid(s + b + sum(c * p for c, p in zip(chained, out)))))
+            out.append(float(_sigmoid(s + b + sum(c * p for c, p in zip(chained, out)))) if b > -np.inf else 0.0)
         return out
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
