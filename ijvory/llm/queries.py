@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import decontam, html_extract, langid, mixing, pii, simhash, token_counts, topk, toxicity
+from ijvory.llm import decontam, html_extract, langid, mixing, pii, simhash, suffix_dedup, token_counts, topk, toxicity
 from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     scored = toxicity.fit(docs, labels, ["low_quality", "toxic"]).score(docs)
     return scored.withColumn("toxic", F.col("p_toxic") > 0.5)
+
+
+@query()
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without the 50-byte strings of smaller documents."""
+    return suffix_dedup.removed_bytes(documents(spark, sf_dir))
