@@ -10,12 +10,13 @@ each segment, never once for each of 32 wildcards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ijvory.llm.common import cut
@@ -139,3 +140,92 @@ def near_duplicates(
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     label = cut(joined.select("node", "root").join(smallest, "root").select(F.col("node").alias("fp"), "component_id"))
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Wide fingerprints: words of 64 bits, words that are cut into bands, bands of one word and bits of a band.
+WIDE, BANDED, BANDS, BAND_BITS = 8, 4, 3, 21
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes | None:
+    """WIDE SimHash words of a text, from as many mixtures of each shingle's hash; None without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return None
+    shingles = [b" ".join(x) for x in zip(*(words[k:] for k in range(shingle)))] or [b" ".join(words)]
+    votes = np.zeros((WIDE, BITS), np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles[at : at + BLOCK]], dtype=np.uint64)
+        for k in range(WIDE):
+            x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            octets = (x ^ (x >> np.uint64(32))).view(np.uint8).reshape(-1, 8)
+            votes[k] += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(shingles), axis=1).tobytes()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, fp, component_id)``: groups of texts whose shingles are ``similarity`` alike, by Jaccard.
+
+    The share of differing bits of two wide fingerprints estimates the angle
+    between the texts' shingle counts. Each band of a fingerprint is indexed
+    with each of its bits wild; of the texts with an entry in common, neighbours
+    in the order of their first word are compared, so a group of n texts costs
+    n comparisons an entry and never n squared. All texts that are alike but
+    for a few words meet; near the threshold one pair in eight may not.
+    Texts without words form one group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprint(t, shingle) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+
+    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = cut(both.mapInArrow(run, "doc_id long, fp binary"))
+    groups = cut(fps.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first")))
+    groups = groups.withColumn("node", F.xxhash64("fp"))
+    word = lambda k: F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long")
+    words = groups.select("node", *[word(k).alias(f"w{k}") for k in range(WIDE)])
+    mask = (1 << BAND_BITS) - 1
+    entries = [
+        F.struct(
+            (F.shiftrightunsigned(f"w{k}", b * BAND_BITS).bitwiseAND(F.lit(mask ^ (1 << x))) + F.lit(((k * BANDS + b) * BAND_BITS + x) << BAND_BITS)).alias("key"),
+            F.col(f"w{(k + 1) % BANDED}").alias("other"),
+        )
+        for k in range(BANDED)
+        for b in range(BANDS)
+        for x in range(BAND_BITS)
+    ]
+    # the angle whose cosine has the Jaccard similarity of sets of equal size, as a share of bits
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    index = words.select("node", F.explode(F.array(*entries)).alias("e")).select("node", "e.key", "e.other")
+    order = Window.partitionBy("key").orderBy("other", "node")
+    ahead = index.select("node", "other", F.lag("node").over(order).alias("near"), F.lag("other").over(order).alias("near_other"))
+    # one word must be near enough before all are fetched
+    rough = F.bit_count(F.col("other").bitwiseXOR(F.col("near_other"))) <= int(BITS * share) + 8
+    pairs = cut(ahead.where(rough).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct())
+    left = words.select(F.col("node").alias("a"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(WIDE)])
+    right = words.select(F.col("node").alias("b"), *[F.col(f"w{k}").alias(f"y{k}") for k in range(WIDE)])
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(WIDE)), F.lit(0))
+    # within a standard deviation of the estimate from the threshold
+    slack = math.sqrt(share * (1 - share) * WIDE * BITS)
+    found = pairs.join(left, "a").join(right, "b").where(apart <= WIDE * BITS * share + slack / 2).select("a", "b")
+    tied = components(found)
+    joined = groups.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = cut(joined.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
+    # texts without words are one group
+    blank = fps.where("fp IS NULL").agg(F.min("doc_id").alias("component_id")).select(F.lit(None).cast("binary").alias("fp"), "component_id")
+    return fps.alias("l").join(label.unionByName(blank).alias("r"), F.col("l.fp").eqNullSafe(F.col("r.fp"))).select("l.doc_id", "l.fp", "r.component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group of similar texts; columns as they were.
+
+    Of rows that repeat this id one stays; rows with a null id stay, as no other stands for them.
+    """
+    groups = similar_groups(docs, shingle=shingle, similarity=similarity)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.unionByName(kept.where("doc_id IS NULL"))
