@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import cut
+from ijvory.llm.common import cut, release
 
 WIDTH = 50
 #: A perfect difference cover modulo 21: each difference occurs once.
@@ -170,7 +170,7 @@ def _dealt(keys: np.ndarray, rounds: int, tasks: int) -> np.ndarray:
     return (keys % U64(rounds * tasks)).astype(np.int64)
 
 
-SENT = pa.schema([("task", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("least", pa.binary())])
+SENT = pa.schema([("task", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("base", pa.int64()), ("least", pa.binary())])
 ANSWERS = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
 
@@ -182,7 +182,12 @@ def _sent(number: int, keys, checks, least, rounds: int, now: int, tasks: int) -
     edges = np.searchsorted(bucket[mine], now * tasks + np.arange(tasks + 1))
     rows = [(t, mine[a:b]) for t, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     if rows:
-        columns = [[t for t, _ in rows], [number] * len(rows), *[[x[r].tobytes() for _, r in rows] for x in (keys, checks, least)]]
+        base = int(least.min())
+        small = least - base
+        if small.max() < 1 << 32:
+            small = small.astype(np.uint32)
+        key, check, doc = ([x[r].tobytes() for _, r in rows] for x in (keys, checks, small))
+        columns = [[t for t, _ in rows], [number] * len(rows), key, check, [base] * len(rows), doc]
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, SENT)], schema=SENT)
 
 
@@ -192,21 +197,55 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: b.column(name)[k].as_py() for name in b.schema.names}
 
 
-def _answer(tasks: int, now: int, cover: bool):
-    """In one bucket, the bit of each record: its key is tied (cover), or a smaller document has its string."""
+def _sent_ranks(number: int, keys, alone, rounds: int, now: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """The cover's records of round ``now``: 32 bits of each key and whether it is alone in its slice."""
+    bucket = _dealt(keys, rounds, tasks)
+    mine = np.flatnonzero(bucket // tasks == now)
+    mine = mine[np.argsort(bucket[mine], kind="stable")]
+    edges = np.searchsorted(bucket[mine], now * tasks + np.arange(tasks + 1))
+    rows = [(t, mine[a:b]) for t, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    if rows:
+        ranks = (keys >> U64(32)).astype(np.uint32)
+        columns = [[t for t, _ in rows], [number] * len(rows), [ranks[r].tobytes() for _, r in rows], [np.packbits(alone[r]).tobytes() for _, r in rows]]
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, RANKS)], schema=RANKS)
+
+
+RANKS = pa.schema([("task", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("alone", pa.binary())])
+
+
+def _answer_ranks(tasks: int, now: int):
+    """In one bucket, the bit of each sampled string: another one has its rank."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        rows = list(_rows(iter(sent.to_batches())))
+        sizes = [len(r["keys"]) // 4 for r in rows]
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows])
+        alone = np.concatenate([np.unpackbits(np.frombuffer(r["alone"], np.uint8), count=n) for r, n in zip(rows, sizes)]).astype(bool)
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        bit = ~alone
+        bit[order[1:]] |= same
+        bit[order[:-1]] |= same
+        bits = [np.packbits(b).tobytes() for b in np.split(bit, np.cumsum(sizes)[:-1])]
+        bucket = now * tasks + rows[0]["task"]
+        return pa.table([pa.array([r["slice"] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(bits, pa.binary())], schema=ANSWERS)
+
+    return run
+
+
+def _answer(tasks: int, now: int):
+    """In one bucket, the bit of each record: a smaller document has its string."""
 
     def run(sent: pa.Table) -> pa.Table:
         rows = list(_rows(iter(sent.to_batches())))
-        keys, checks, least = (np.concatenate([np.frombuffer(r[n], kind) for r in rows]) for n, kind in (("keys", U64), ("checks", np.uint32), ("least", np.int64)))
+        keys, checks = (np.concatenate([np.frombuffer(r[n], kind) for r in rows]) for n, kind in (("keys", U64), ("checks", np.uint32)))
+        wide = [np.int64 if len(r["least"]) == len(r["keys"]) else np.uint32 for r in rows]
+        least = np.concatenate([np.frombuffer(r["least"], kind).astype(np.int64) + r["base"] for r, kind in zip(rows, wide)])
         order, first = _distinct(keys, checks)
         bit = np.zeros(len(keys), bool)
         sizes = np.diff(np.append(first, len(keys)))
-        if cover:  # ``least`` counts the slice's own copies
-            total = np.add.reduceat(least[order], first)
-            bit[order] = np.repeat(total > 1, sizes)
-        else:
-            smallest = np.minimum.reduceat(least[order], first)
-            bit[order] = np.repeat(smallest, sizes) < least[order]
+        smallest = np.minimum.reduceat(least[order], first)
+        bit[order] = np.repeat(smallest, sizes) < least[order]
         ends = np.cumsum([len(r["keys"]) // 8 for r in rows])
         bits = [np.packbits(b).tobytes() for b in np.split(bit, ends[:-1])]
         bucket = now * tasks + rows[0]["task"]
@@ -227,25 +266,25 @@ def _read_answers(answers: pa.Table, keys: np.ndarray, rounds: int, tasks: int)
     return out
 
 
-def _ask(slices: DataFrame, records, rounds: int, tasks: int, cover: bool) -> DataFrame:
-    """All buckets' answers, round after round."""
+def _ask(slices: DataFrame, send, schema: str, answer, rounds: int, tasks: int) -> DataFrame:
+    """All buckets' answers, one round of buckets after the other."""
     out = None
     for now in range(rounds):
 
         def run(batches, now=now):
             for r in _rows(batches):
-                yield from _sent(r["slice"], *records(r), rounds, now, tasks)
+                yield from send(r, now)
 
-        sent = slices.mapInArrow(run, "task int, slice long, keys binary, checks binary, least binary")
-        got = cut(sent.groupBy("task").applyInArrow(_answer(tasks, now, cover), "slice long, bucket int, bits binary"))
+        got = cut(slices.mapInArrow(run, schema).groupBy("task").applyInArrow(answer(tasks, now), "slice long, bucket int, bits binary"))
         out = got if out is None else out.unionByName(got)
+        release(slices.sparkSession)  # the next round needs the room
     return out
 
 
-def _cover_records(row: dict):
-    _, keys = Slice(row).cover_keys()
-    distinct, counts = np.unique(keys, return_counts=True)
-    return distinct, np.zeros(len(distinct), np.uint32), counts.astype(np.int64)
+def _cover_records(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a slice's sampled strings, and whether each is there once."""
+    distinct, counts = np.unique(Slice(row).cover_keys()[1], return_counts=True)
+    return distinct, counts == 1
 
 
 def _bucket_records(row: dict):
@@ -265,7 +304,10 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slices = cut(pack(docs, id_col, text_col))
     total = slices.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     tasks = max(TASKS, -(-total * len(COVER) // (MODULUS * COVER_ROUNDS * TASK_KEYS)))
-    ranks = _ask(slices, _cover_records, COVER_ROUNDS, tasks, True)
+    ranks = _ask(
+        slices, lambda r, now: _sent_ranks(r["slice"], *_cover_records(r), COVER_ROUNDS, now, tasks),
+        "task int, slice long, keys binary, alone binary", _answer_ranks, COVER_ROUNDS, tasks,
+    )
 
     def with_candidates(slices_: pa.Table, answers: pa.Table) -> pa.Table:
         zip_, numbers, out = zstandard.ZstdCompressor(level=1), [], []
@@ -280,9 +322,13 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     tied = slices.groupBy("slice").cogroup(ranks.groupBy("slice")).applyInArrow(with_candidates, SLICES + ", n long, at binary")
     tied = cut(tied)
+    release(docs.sparkSession)
     many = tied.agg(F.sum("n")).first()[0] or 0
     buckets = max(TASKS, -(-many // (BUCKET_ROUNDS * TASK_KEYS)))
-    smaller = _ask(tied, _bucket_records, BUCKET_ROUNDS, buckets, False)
+    smaller = _ask(
+        tied, lambda r, now: _sent(r["slice"], *_bucket_records(r), BUCKET_ROUNDS, now, buckets),
+        "task int, slice long, keys binary, checks binary, base long, least binary", _answer, BUCKET_ROUNDS, buckets,
+    )
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def finish(slices_: pa.Table, answers: pa.Table) -> pa.Table:
