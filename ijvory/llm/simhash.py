@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import cut
+from ijvory.llm.common import cut, slices, small
 
 SEED = 42
 BITS, SEGMENTS = 64, 2
@@ -142,81 +142,146 @@ def near_duplicates(
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, words that are cut into bands, bands of one word and bits of a band.
-WIDE, BANDED, BANDS, BAND_BITS = 8, 4, 3, 21
+#: Keys with more texts than CROWDED are settled by representatives; FEW of them in the first round, GROWTH times as many in each next one.
+CROWDED, FEW, GROWTH = 16, 4, 4
+#: Shingles that count as common: one text in SAMPLED is looked at, the COMMON shingles most often seen OFTEN times or more are taken.
+SAMPLED, OFTEN, COMMON = 16, 6, 100_000
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes | None:
-    """WIDE SimHash words of a text, from as many mixtures of each shingle's hash; None without words."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return None
-    shingles = [b" ".join(x) for x in zip(*(words[k:] for k in range(shingle)))] or [b" ".join(words)]
-    votes = np.zeros((WIDE, BITS), np.int64)
-    for at in range(0, len(shingles), BLOCK):
-        h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles[at : at + BLOCK]], dtype=np.uint64)
-        for k in range(WIDE):
-            x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            octets = (x ^ (x >> np.uint64(32))).view(np.uint8).reshape(-1, 8)
-            votes[k] += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > len(shingles), axis=1).tobytes()
+        return np.empty(0, np.int64)
+    shingles = {b" ".join(x) for x in zip(*(words[k:] for k in range(shingle)))} or {b" ".join(words)}
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, fp, component_id)``: groups of texts whose shingles are ``similarity`` alike, by Jaccard.
-
-    The share of differing bits of two wide fingerprints estimates the angle
-    between the texts' shingle counts. Each band of a fingerprint is indexed
-    with each of its bits wild; of the texts with an entry in common, neighbours
-    in the order of their first word are compared, so a group of n texts costs
-    n comparisons an entry and never n squared. All texts that are alike but
-    for a few words meet; near the threshold one pair in eight may not.
-    Texts without words form one group.
+def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(doc_id, node, shingles)`` for every row; texts with equal sets share a node, and those without words have node 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch)):
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.record_batch([b.column(0), pa.array(nodes), lists], names=["doc_id", "node", "shingles"])
+
+    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return both.mapInArrow(run, "doc_id long, node long, shingles array<long>")
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(key, node, at, size)``: the shingles of a set of which a similar set has one at least among its own.
+
+    Sets of n and more shingles that are alike share ``similarity * n`` of them, so in any one
+    order of all shingles their first ``n - similarity * n + 1`` have one in common. The order
+    puts common shingles last; it decides the cost alone, so a sample of the texts will do.
     """
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("key"))
+    often = sample.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    often = np.array(sorted((r["key"], int(r["count"])) for r in often), np.int64).reshape(-1, 2)
+    common, count = often[:, 0].copy(), often[:, 1].copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+            values, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
+            for lo in range(0, b.num_rows, 256):
+                keys, nodes, places, sizes = [], [], [], []
+                for k in range(lo, min(lo + 256, b.num_rows)):
+                    x = values[ends[k] : ends[k + 1]]
+                    n = len(x)
+                    if not n:
+                        continue
+                    first = n - math.ceil(similarity * n - 1e-9) + 1
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                        x = x[np.lexsort((x, np.where(common[at] == x, count[at], 0)))]
+                    first = min(first, n)
+                    keys.append(x[:first])
+                    nodes.append(np.full(first, b.column(0)[k].as_py(), np.int64))
+                    places.append(np.arange(first, dtype=np.int32))
+                    sizes.append(np.full(first, n, np.int32))
+                if keys:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, nodes, places, sizes)], names=["key", "node", "at", "size"])
+
+    index = sets.select("node", "shingles").mapInArrow(run, "key long, node long, at int, size int")
+    return index.groupBy("key", "node").agg(F.min("at").alias("at"), F.min("size").alias("size"))
+
+
+def _may(similarity: float) -> Column:
+    """Whether sets a and b can be alike, by their sizes and by what is left of them after a key they share."""
+    less, more = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    most = F.least("a_at", "b_at") + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at"))
+    need = (F.col("a_size") + F.col("b_size")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return (less >= more * similarity - 1e-6) & (most >= need)
+
+
+def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
+    return index.select("key", F.col("node").alias(name), F.col("at").alias(f"{name}_at"), F.col("size").alias(f"{name}_size"), *[F.col(m).alias(f"{name}_{m}") for m in more])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose sets have the Jaccard similarity."""
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = sets.join(small(cut(ends)), "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
+    held = cut(held)
+    x, y = held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), held.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
+    return cut(both.where(F.col("c") / (F.col("n") - F.col("c")) >= similarity).select("a", "b"))
+
+
+def _similar_nodes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, root)`` for the nodes that are like another one: components of all pairs with the similarity.
+
+    Texts that share a key of few texts are compared pair by pair. Of a crowded key some members,
+    by their hash, are compared with all others that are not yet in their component, and with them
+    the member that has most links so far; more of them each round, until the key is one
+    component or every member has been compared.
+    """
+    index = _prefixes(sets, similarity)
+    often = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    index = cut(index.join(often, "key"))
+    few = index.where(F.col("n") <= CROWDED)
+    pairs = _side(few, "a").join(_side(few, "b"), "key").where((F.col("a") < F.col("b")) & _may(similarity)).select("a", "b")
+    links = _alike(pairs, sets, similarity)
+    tied = components(links)
+    spread = (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
+    crowd = index.where(F.col("n") > CROWDED).select("*", spread)
+    before, now = 0, FEW
+    while True:
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        known = crowd.where(F.col("n") > before).join(tied, "node", "left").join(degree, "node", "left")
+        known = cut(known.select("key", "node", "at", "size", "n", "u", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        open_keys = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("degree", "node")).alias("top"))
+        open_keys = open_keys.where("r0 <> r1").select("key", F.when(F.col("top.degree") > 0, F.col("top.node")).alias("hub"))
+        crowd = cut(known.join(open_keys, "key").select("key", "node", "at", "size", "n", "u", "root", "hub"))
+        if crowd.isEmpty():
+            return tied
+        lead = crowd.where((F.col("u") >= before / F.col("n")) & (F.col("u") < now / F.col("n")) | (F.col("node") == F.col("hub")))
+        pairs = _side(lead, "a", "root").join(_side(crowd, "b", "root"), "key").where((F.col("a_root") != F.col("b_root")) & _may(similarity)).select("a", "b")
+        found = _alike(pairs, sets, similarity)
+        if not found.isEmpty():
+            links = cut(links.unionByName(found))
+            tied = components(links)
+        crowd = crowd.select("key", "node", "at", "size", "n", "u")
+        before, now = now, now * GROWTH
 
-    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fps = cut(both.mapInArrow(run, "doc_id long, fp binary"))
-    groups = cut(fps.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = groups.withColumn("node", F.xxhash64("fp"))
-    word = lambda k: F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long")
-    words = groups.select("node", *[word(k).alias(f"w{k}") for k in range(WIDE)])
-    mask = (1 << BAND_BITS) - 1
-    entries = [
-        F.struct(
-            (F.shiftrightunsigned(f"w{k}", b * BAND_BITS).bitwiseAND(F.lit(mask ^ (1 << x))) + F.lit(((k * BANDS + b) * BAND_BITS + x) << BAND_BITS)).alias("key"),
-            F.col(f"w{(k + 1) % BANDED}").alias("other"),
-        )
-        for k in range(BANDED)
-        for b in range(BANDS)
-        for x in range(BAND_BITS)
-    ]
-    # the angle whose cosine has the Jaccard similarity of sets of equal size, as a share of bits
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    index = words.select("node", F.explode(F.array(*entries)).alias("e")).select("node", "e.key", "e.other")
-    order = Window.partitionBy("key").orderBy("other", "node")
-    ahead = index.select("node", "other", F.lag("node").over(order).alias("near"), F.lag("other").over(order).alias("near_other"))
-    # one word must be near enough before all are fetched
-    rough = F.bit_count(F.col("other").bitwiseXOR(F.col("near_other"))) <= int(BITS * share) + 8
-    pairs = cut(ahead.where(rough).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct())
-    left = words.select(F.col("node").alias("a"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(WIDE)])
-    right = words.select(F.col("node").alias("b"), *[F.col(f"w{k}").alias(f"y{k}") for k in range(WIDE)])
-    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(WIDE)), F.lit(0))
-    # within a standard deviation of the estimate from the threshold
-    slack = math.sqrt(share * (1 - share) * WIDE * BITS)
-    found = pairs.join(left, "a").join(right, "b").where(apart <= WIDE * BITS * share + slack / 2).select("a", "b")
-    tied = components(found)
-    joined = groups.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, node, component_id)``: groups of texts that are tied by pairs of a Jaccard similarity of ``similarity`` at least.
+
+    The similarity is that of the sets of distinct shingles (as 64-bit hashes), found exactly for every
+    pair that decides a group; no pair is missed. Texts without words form one group.
+    """
+    sets = cut(_sets(docs, id_col, text_col, shingle))
+    nodes = cut(sets.groupBy("node").agg(F.min("doc_id").alias("first")))
+    joined = nodes.join(_similar_nodes(sets, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = cut(joined.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
-    # texts without words are one group
-    blank = fps.where("fp IS NULL").agg(F.min("doc_id").alias("component_id")).select(F.lit(None).cast("binary").alias("fp"), "component_id")
-    return fps.alias("l").join(label.unionByName(blank).alias("r"), F.col("l.fp").eqNullSafe(F.col("r.fp"))).select("l.doc_id", "l.fp", "r.component_id")
+    label = cut(joined.select("node", "root").join(smallest, "root").select("node", "component_id"))
+    return sets.select("doc_id", "node").join(label, "node").select("doc_id", "node", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
