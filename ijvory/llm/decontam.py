@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import ascii_lower, cut, let, small
+from ijvory.llm.common import ascii_lower, content, cut, let, small
 
 SPAN = 10
 GRAM = 5
@@ -89,11 +89,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     A word is hit if it is inside an occurrence of a benchmark window; ``items``
     are the items with occurring windows. Null and empty texts have no words.
-    Rows that repeat a doc_id (a null one too) are one document read again: each
-    comes out, with the hits of all. Null items and texts of ``bench`` add no window. Empty
+    Rows that repeat a doc_id (a null one too) each come out with the hits of
+    their own text. Null items and texts of ``bench`` add no window. Empty
     tables give no rows, or rows without hits; other columns are not read.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _judged(docs, bench, id_col, text_col, span, gram).drop("content")
+
+
+def _judged(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """``contamination`` with the ``content`` of each row's text."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), content(F.col(text_col)).alias("content"))
     bench = cut(benchmark_windows(bench.where("item_id IS NOT NULL"), span))
     width = span - gram + 1
     long = bench.where(F.col("n") == span)
@@ -107,23 +112,23 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
         return F.transform(kept_grams(w, span, gram), context)
 
-    kept = docs.select("doc_id", F.explode(let(words(F.col("text")), around)).alias("g"))
-    kept = kept.select("doc_id", "g.*").join(small(cut(grams)), "hash", "left_semi")
+    kept = docs.select("doc_id", "content", F.explode(let(words(F.col("text")), around)).alias("g"))
+    kept = kept.select("doc_id", "content", "g.*").join(small(cut(grams)), "hash", "left_semi")
     runs = _runs_of(span, F.col("first"))(F.col("ws"))
-    found = kept.select("doc_id", F.explode(runs).alias("x")).select("doc_id", "x.*")
+    found = kept.select("doc_id", "content", F.explode(runs).alias("x")).select("doc_id", "content", "x.*")
     for n in [r.n for r in bench.where(F.col("n") < span).select("n").distinct().collect()]:
-        short = docs.select("doc_id", F.explode(let(words(F.col("text")), _runs_of(n))).alias("x"))
-        found = found.unionByName(short.select("doc_id", "x.*"))
-    hits = found.join(small(bench), ["n", "window"]).groupBy("doc_id")
+        short = docs.select("doc_id", "content", F.explode(let(words(F.col("text")), _runs_of(n))).alias("x"))
+        found = found.unionByName(short.select("doc_id", "content", "x.*"))
+    hits = found.join(small(bench), ["n", "window"]).groupBy("doc_id", "content")
     hits = hits.agg(F.collect_set(F.struct("at", "n")).alias("runs"), F.collect_set("items").alias("sets"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.flatten("sets")).alias("items"))
-    counts = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = counts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array()).alias("items"))
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("content").alias("hit_content"), F.size(covered).cast("long").alias("n_hit"), F.array_distinct(F.flatten("sets")).alias("items"))
+    counts = docs.select("doc_id", "content", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = counts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("content") == F.col("hit_content")), "left")
+    return out.select("doc_id", "content", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array()).alias("items"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a word that is hit; columns as they were."""
-    hit = contamination(docs, bench).where("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")), "left_anti")
+    hit = _judged(docs, bench).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("content").alias("hit_content")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (content(docs["text"]) == F.col("hit_content")), "left_anti")

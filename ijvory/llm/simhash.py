@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import cut, slices, small
+from ijvory.llm.common import content, cut, slices, small
 
 SEED = 42
 BITS, SEGMENTS = 64, 2
@@ -158,7 +158,7 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(doc_id, node, shingles)`` for every row; texts with equal sets share a node, and those without words have node 0."""
+    """``(doc_id, content, node, shingles)`` for every row; texts with equal sets share a node, and those without words have node 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch)):
@@ -166,10 +166,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
             ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-            yield pa.record_batch([b.column(0), pa.array(nodes), lists], names=["doc_id", "node", "shingles"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(nodes), lists], names=["doc_id", "content", "node", "shingles"])
 
-    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return both.mapInArrow(run, "doc_id long, node long, shingles array<long>")
+    both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), content(F.col(text_col)).alias("content"))
+    return both.mapInArrow(run, "doc_id long, content binary, node long, shingles array<long>")
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
@@ -276,21 +276,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The similarity is that of the sets of distinct shingles (as 64-bit hashes), found exactly for every
     pair that decides a group; no pair is missed. Texts without words form one group.
     """
+    groups = _groups(docs, id_col, text_col, shingle, similarity)
+    return groups.select("doc_id", "node", F.col("first.doc_id").alias("component_id"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``(doc_id, content, node, first)``: first is the smallest id, with its content, of the group."""
     sets = cut(_sets(docs, id_col, text_col, shingle))
-    nodes = cut(sets.groupBy("node").agg(F.min("doc_id").alias("first")))
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))
+    nodes = cut(sets.groupBy("node").agg(F.min(own).alias("first")))
     joined = nodes.join(_similar_nodes(sets, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = cut(joined.select("node", "root").join(smallest, "root").select("node", "component_id"))
-    return sets.select("doc_id", "node").join(label, "node").select("doc_id", "node", "component_id")
+    smallest = joined.groupBy("root").agg(F.min("first").alias("first"))
+    label = cut(joined.select("node", "root").join(smallest, "root").select("node", "first"))
+    return sets.select("doc_id", "content", "node").join(label, "node").select("doc_id", "content", "node", "first")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of similar texts; columns as they were.
 
-    Of rows that repeat this id one stays; rows with a null id stay, as no other stands for them.
+    Of rows that repeat this id and text one stays, of similar texts under this id one too; other
+    texts under it are judged by their own group. Rows with a null id stay, as no other stands for them.
     """
-    groups = similar_groups(docs, shingle=shingle, similarity=similarity)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    groups = _groups(docs, "doc_id", "text", shingle, similarity)
+    other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("content") != F.col("first.content"))
+    gone = groups.where(other).select(F.col("doc_id").alias("gone_id"), F.col("content").alias("gone_content")).distinct()
+    key = (docs["doc_id"].cast("long") == F.col("gone_id")) & (content(docs["text"]) == F.col("gone_content"))
+    kept = docs.join(gone, key, "left_anti")
+    named = kept.where("doc_id IS NOT NULL").withColumn("_content", content(F.col("text"))).dropDuplicates(["doc_id", "_content"])
+    return named.drop("_content").unionByName(kept.where("doc_id IS NULL"))
