@@ -4,8 +4,10 @@ The standard library's parser streams its events into lines, one for each block
 of the page. A line's ratio is its characters over its tags; the ratios in page
 order are smoothed by a Gaussian and clustered by a threshold, their standard
 deviation. The content region is the article (or else the innermost container)
-that holds the mass of the lines above the threshold; all its lines are kept,
-short ones too, save those inside elements that are page furniture by name.
+that holds the mass of the lines above the threshold, or the innermost container
+around it and the shown titles and lines above the threshold elsewhere; its lines are kept,
+short ones too, save those inside elements that are page furniture by name and,
+outside the innermost region, those that are mostly links.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FURNITURE = frozenset("head title script style noscript template nav header footer aside form menu dialog button select option textarea label iframe object svg canvas audio video".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 REGIONS = frozenset("article main".split())
+TITLES = ("h1", "h2")
 CONTAINERS = REGIONS | frozenset("body section div td table center".split())
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|sign-?up|"
@@ -40,23 +44,25 @@ JOIN = "\n\n"
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, path, furniture)`` for each block with text, in page order."""
+    """Collects ``(text, tags, path, furniture, title, linked)`` for each block with text, in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[tuple[int, str], ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[tuple[int, str], ...], bool, bool, bool]] = []
         self.open: list[tuple[str, bool]] = []  # name, furniture
         self.names: Counter[str] = Counter()  # how often each name is open
         self.path: list[tuple[int, str]] = []  # containers that are open
         self.words: list[str] = []
-        self.tags = self.count = self.hidden = 0
+        self.tags = self.count = self.hidden = self.linked = 0
 
     def _end_line(self):
         text = " ".join("".join(self.words).split())
         if text:
-            self.lines.append((text, max(1, self.tags), tuple(self.path), self.hidden > 0))
+            title = any(self.names[name] for name in TITLES)
+            self.lines.append((text, max(1, self.tags), tuple(self.path), self.hidden > 0, title, 2 * self.linked > len(text)))
             self.tags = 0
         self.words = []
+        self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -100,6 +106,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self.words.append(data)
+        if self.names["a"]:
+            self.linked += len(data.strip())
 
     def close(self):
         super().close()
@@ -122,21 +130,32 @@ def main_text(html: str | None) -> str:
         return ""
     sizes = np.array([len(t) for t, *_ in page.lines], float)
     smoothed = smooth(sizes / np.array([n for _, n, *_ in page.lines]))
-    shown = np.array([not hidden for *_, hidden in page.lines])
+    shown = np.array([not hidden for _, _, _, hidden, *_ in page.lines])
     if not shown.any():
         return ""
     mass = np.where((smoothed >= smoothed.std()) & shown, sizes, 0.0)
     if not mass.any():
         mass = np.where(shown, sizes, 0.0)
     held: dict[tuple[int, str], float] = {}
-    for (_, _, path, _), m in zip(page.lines, mass):
+    for (_, _, path, *_), m in zip(page.lines, mass):
         for c in path:
             held[c] = held.get(c, 0.0) + m
     enough = {c for c, m in held.items() if m >= MASS * mass.sum()}
     regions = {c for c in enough if c[1] in REGIONS}
     # the innermost article; else the innermost container, as numbers rise inwards; else the page
     region = max(regions or enough, default=None)
-    return JOIN.join(t for (t, _, path, hidden) in page.lines if not hidden and (region is None or region in path))
+    inner = region
+    if inner is not None:
+        around = next(path[: path.index(inner)] for _, _, path, *_ in page.lines if inner in path)
+        adds = [path for (_, _, path, hidden, title, linked), m in zip(page.lines, mass) if not hidden and inner not in path and (title or m > 0 and not linked)]
+        if adds:
+            # the innermost container of the region and of all that is added
+            depth = min(sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(path, around))) for path in adds)
+            region = around[depth - 1] if depth else None
+    return JOIN.join(
+        t for (t, _, path, hidden, title, linked) in page.lines
+        if not hidden and (inner is None or inner in path or (region is None or region in path) and (title or not linked))
+    )
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
