@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import content, cut, slices, small
+from ijvory.llm.common import content, cut, release, slices, small
 
 SEED = 42
 BITS, SEGMENTS = 64, 2
@@ -172,42 +172,45 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
     return both.mapInArrow(run, "doc_id long, content binary, node long, shingles array<long>")
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+def _prefixes(sets: DataFrame, sample: DataFrame, similarity: float) -> DataFrame:
     """``(key, node, at, size)``: the shingles of a set of which a similar set has one at least among its own.
 
     Sets of n and more shingles that are alike share ``similarity * n`` of them, so in any one
     order of all shingles their first ``n - similarity * n + 1`` have one in common. The order
     puts common shingles last; it decides the cost alone, so a sample of the texts will do.
     """
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select(F.explode("shingles").alias("key"))
-    often = sample.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    often = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COMMON).collect()
     often = np.array(sorted((r["key"], int(r["count"])) for r in often), np.int64).reshape(-1, 2)
     common, count = often[:, 0].copy(), often[:, 1].copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             values, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
             for lo in range(0, b.num_rows, 256):
                 keys, nodes, places, sizes = [], [], [], []
                 for k in range(lo, min(lo + 256, b.num_rows)):
-                    x = values[ends[k] : ends[k + 1]]
+                    x, node = values[ends[k] : ends[k + 1]], b.column(0)[k].as_py()
                     n = len(x)
-                    if not n:
+                    if not n or node in seen:
                         continue
+                    if len(seen) < BLOCK:
+                        seen.add(node)  # most copies of a set end here, the others below
                     first = n - math.ceil(similarity * n - 1e-9) + 1
                     if len(common):
                         at = np.minimum(np.searchsorted(common, x), len(common) - 1)
                         x = x[np.lexsort((x, np.where(common[at] == x, count[at], 0)))]
                     first = min(first, n)
                     keys.append(x[:first])
-                    nodes.append(np.full(first, b.column(0)[k].as_py(), np.int64))
+                    nodes.append(np.full(first, node, np.int64))
                     places.append(np.arange(first, dtype=np.int32))
                     sizes.append(np.full(first, n, np.int32))
                 if keys:
                     yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, nodes, places, sizes)], names=["key", "node", "at", "size"])
 
     index = sets.select("node", "shingles").mapInArrow(run, "key long, node long, at int, size int")
-    return index.groupBy("key", "node").agg(F.min("at").alias("at"), F.min("size").alias("size"))
+    # dealt once by key; the rest needs no other exchange
+    return index.repartition("key").groupBy("key", "node").agg(F.min("at").alias("at"), F.min("size").alias("size"))
 
 
 def _may(similarity: float) -> Column:
@@ -233,7 +236,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cut(both.where(F.col("c") / (F.col("n") - F.col("c")) >= similarity).select("a", "b"))
 
 
-def _similar_nodes(sets: DataFrame, similarity: float) -> DataFrame:
+def _similar_nodes(sets: DataFrame, sample: DataFrame, similarity: float) -> DataFrame:
     """``(node, root)`` for the nodes that are like another one: components of all pairs with the similarity.
 
     Texts that share a key of few texts are compared pair by pair. Of a crowded key some members,
@@ -241,9 +244,13 @@ def _similar_nodes(sets: DataFrame, similarity: float) -> DataFrame:
     the member that has most links so far; more of them each round, until the key is one
     component or every member has been compared.
     """
-    index = _prefixes(sets, similarity)
+    index = _prefixes(sets, sample, similarity)
     often = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     index = cut(index.join(often, "key"))
+    release(sets.sparkSession)
+    # only the sets that share a key are stored; to find them anew costs less than to keep them all
+    sharing = small(cut(index.select("node").distinct()))
+    sets = cut(sets.join(sharing, "node", "left_semi").select("node", "shingles"))
     few = index.where(F.col("n") <= CROWDED)
     pairs = _side(few, "a").join(_side(few, "b"), "key").where((F.col("a") < F.col("b")) & _may(similarity)).select("a", "b")
     links = _alike(pairs, sets, similarity)
@@ -282,13 +289,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """``(doc_id, content, node, first)``: first is the smallest id, with its content, of the group."""
-    sets = cut(_sets(docs, id_col, text_col, shingle))
+    sets = _sets(docs, id_col, text_col, shingle)
+    sample = _sets(docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0), id_col, text_col, shingle)
+    rows = cut(sets.drop("shingles"))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))
-    nodes = cut(sets.groupBy("node").agg(F.min(own).alias("first")))
-    joined = nodes.join(_similar_nodes(sets, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = cut(rows.groupBy("node").agg(F.min(own).alias("first")))
+    joined = nodes.join(_similar_nodes(sets, sample, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("first"))
     label = cut(joined.select("node", "root").join(smallest, "root").select("node", "first"))
-    return sets.select("doc_id", "content", "node").join(label, "node").select("doc_id", "content", "node", "first")
+    return rows.join(label, "node").select("doc_id", "content", "node", "first")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
