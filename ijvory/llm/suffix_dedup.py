@@ -39,7 +39,7 @@ KEY = 16
 SPREAD = WIDTH - KEY + 1
 TEXT = WIDTH + SPREAD - 1
 ROW = TEXT + 4
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 #: Bytes of text for each bucket, about, and the least number of buckets.
 BUCKET_BYTES, BUCKETS = 12 << 20, 64
 LAST = 2**63 - 1
