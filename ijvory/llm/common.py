@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a side that may be broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a side that may be broadcast; beyond either Spark shuffles both sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,9 +48,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and their bytes, both counted, are within the bounds, else as it is."""
+    width = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.col(f"`{name}`"))), F.lit(0))
+        else:
+            width = width + 16
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def ascii_lower(text):

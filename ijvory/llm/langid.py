@@ -2,8 +2,9 @@
 
 A suffix automaton of labelled text per language yields the longest match that
 starts anywhere in a text. The text is parsed into such matches, phrase by
-phrase; the fewer phrases, the closer its language. Phrases count log2 of the
-labelled text's length over the symbols parsed, and the least wins.
+phrase; a letter that the language's text lacks is a phrase of its own. Phrases
+cost the same in every language, so the one that needs fewest wins, and one with
+little labelled text cannot win by naming its few places cheaply.
 """
 
 from __future__ import annotations
@@ -18,13 +19,12 @@ from pyspark.sql import functions as F
 
 from ijvory.llm.common import slices
 
-#: Bounds of the labelled sample: documents, characters of each and symbols parsed per language, symbols over all.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 200, 2000, 40_000, 400_000
-#: Letters beyond this many share the last symbols.
-LETTERS, SHARED = 120, 8
-#: Texts are parsed in segments of so many symbols, from first to last.
-SEGMENT = 4096
-LANES = 1 << 22
+#: Default bounds of the labelled sample: documents per language (about), characters of a piece of each, letters of a language.
+SAMPLE_DOCS, PIECE, LETTERS = 400, 160, 250
+#: Texts are parsed in segments of so many symbols side by side; phrases go on across their borders.
+SEGMENT, LANES = 2048, 1 << 22
+#: Phrases that a text may need beyond what its letters would cost one by one.
+SLACK = 3
 UNKNOWN = "und"
 
 
@@ -58,77 +58,133 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """Symbols by code point and the transition table of all languages' automata.
+    """Symbols by code point and, for each language, the transition table of its automaton.
 
     ``table[s + c]`` is the next state (its row's start) or the complement of the
-    state in which a new phrase begins with c.
+    state in which a new phrase begins with the language's own symbol c.
     """
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], letters: int = LETTERS):
         self.langs = sorted(samples)
-        seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        order = sorted(seen, key=lambda c: (-seen[c], c))
-        own = {c: k + 1 for k, c in enumerate(order[:LETTERS])}
-        rest = {c: len(own) + 1 + ord(c) % SHARED for c in order[LETTERS:]}
+        own = {x: Counter(c for t in samples[x] for c in t.lower() if c.isalpha()) for x in self.langs}
+        known = {c: k + 1 for k, c in enumerate(sorted(set().union(*own.values())))}
         # 0 parts words; the last symbol stands for letters that no sample has
-        self.width = len(own) + (SHARED if rest else 0) + 2
-        known = own | rest
-        self.symbols = np.zeros(0x110000, np.uint8)
+        other = len(known) + 1
+        self.symbols = np.zeros(0x110000, np.int32)
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
-                self.symbols[code] = known.get(c.lower()[0], self.width - 1)
-        limit = max(1000, min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(self.langs))))
-        rows, self.roots, self.bits = [], [], []
-        for lang in self.langs:
-            text = np.concatenate([self.read(t) for t in samples[lang]] or [np.zeros(0, np.uint8)])[:limit].tolist()
-            move, first = automaton(text), sum(map(len, rows))
-            table = np.empty((len(move), self.width), np.int64)
-            starts = np.array([move[0].get(c, 0) for c in range(self.width)])
-            table[:] = ~((starts + first) * self.width)
+                self.symbols[code] = known.get(c.lower()[0], other)
+        self.columns = np.empty((len(self.langs), other + 1), np.int32)
+        rows, self.roots, self.sizes, self.plain, first = [], [], [], [], 0
+        for k, lang in enumerate(self.langs):
+            kept = sorted(own[lang], key=lambda c: (-own[lang][c], c))[:letters]
+            width = len(kept) + 2
+            self.columns[k] = width - 1
+            self.columns[k, 0] = 0
+            self.columns[k, [known[c] for c in kept]] = np.arange(1, width - 1)
+            text = self.columns[k, np.concatenate([self.read(t) for t in samples[lang]] or [np.zeros(0, int)])]
+            move = automaton(text.tolist())
+            table = np.empty((len(move), width), np.int64)
+            table[:] = ~(first + np.array([move[0].get(c, 0) for c in range(width - 1)] + [0]) * width)
             for s, to in enumerate(move):
                 for c, t in to.items():
-                    table[s, c] = (t + first) * self.width
-            rows.append(table)
-            self.roots.append(first * self.width)
-            self.bits.append(np.log2(max(2, len(text))))
-        self.table = np.concatenate(rows or [np.zeros((1, self.width))]).astype(np.int32).ravel()
+                    if c < width - 1:  # letters beyond the bound count as unseen
+                        table[s, c] = first + t * width
+            rows.append(table.ravel())
+            self.roots.append(first)
+            self.sizes.append(len(text))
+            self.plain.append(np.log2(width - 1))
+            first += table.size
+        self.table = np.concatenate(rows or [np.zeros(1)]).astype(np.int32 if first < 1 << 31 else np.int64)
+        self.roots = np.array(self.roots, self.table.dtype)
 
     def read(self, text: str) -> np.ndarray:
         """Symbols of a text, one zero between words and one after the last."""
         s = self.symbols[np.frombuffer((text + " ").encode("utf-32-le"), np.uint32)]
         return s[(s > 0) | (np.concatenate([[0], s[:-1]]) > 0)]
 
+    def _step(self, state: np.ndarray, column: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states after one more symbol, where a phrase ended before it, and how many did (two where the symbol is one of its own)."""
+        to = self.table[state + column]
+        broke = to < 0
+        new = np.where(broke, ~to, to)
+        return new, broke, broke.astype(np.int8) + (broke & (new == root) & (state != root))
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of every text (rows) in every language (columns)."""
-        parts = [(k, t[at : at + SEGMENT]) for k, t in enumerate(texts) for at in range(0, len(t), SEGMENT)]
-        parts.sort(key=lambda p: -len(p[1]))
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
-        step = max(1, LANES // SEGMENT)
-        for at in range(0, len(parts), step):
-            part = parts[at : at + step]
-            lengths = np.array([len(t) for _, t in part])
-            grid = np.zeros((lengths[0], len(part)), np.int32)
-            for k, (_, t) in enumerate(part):
-                grid[: len(t), k] = t
-            live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-            state = np.repeat(np.array(self.roots, np.int32)[:, None], len(part), axis=1)
-            count = np.zeros(state.shape, np.int32)
-            for row, n in zip(grid, live):
-                to = self.table[state[:, :n] + row[:n]]
-                broke = to >> 31
-                count[:, :n] -= broke
-                state[:, :n] = to ^ broke
-            count += state != np.array(self.roots)[:, None]
-            np.add.at(out, [k for k, _ in part], count.T)
+        out, group, held = np.zeros((len(texts), len(self.langs)), np.int64), [], 0
+        most = max(1, LANES // (SEGMENT * max(1, len(self.langs))))
+        for k, t in enumerate(texts):
+            group.append(k)
+            held += -(-len(t) // SEGMENT)
+            if held >= most or k == len(texts) - 1:
+                self._parse(texts, group, out)
+                group, held = [], 0
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The language and the score of each text."""
+    def _parse(self, texts: list[np.ndarray], group: list[int], out: np.ndarray) -> None:
+        parts = [(k, at) for k in group for at in range(0, len(texts[k]), SEGMENT)]
+        if not parts or not self.langs:
+            return
+        size = lambda p: min(SEGMENT, len(texts[p[0]]) - p[1])
+        parts.sort(key=lambda p: -size(p))
+        lengths = np.array([size(p) for p in parts])
+        grid = np.zeros((lengths[0], len(parts)), np.int32)
+        for lane, (k, at) in enumerate(parts):
+            grid[: lengths[lane], lane] = texts[k][at : at + SEGMENT]
+        live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        # every segment on its own first, as if a phrase began with it
+        root = self.roots[:, None]
+        state = np.repeat(root, len(parts), axis=1)
+        count = np.zeros(state.shape, np.int64)
+        ends = np.zeros((lengths[0], *state.shape), bool)
+        for t, n in enumerate(live):
+            state[:, :n], ends[t, :, :n], more = self._step(state[:, :n], self.columns[:, grid[t, :n]], root)
+            count[:, :n] += more
+        # then the phrase that is open at each border goes on until it ends where one of the next segment's does; from there both agree
+        lane_of = {p: lane for lane, p in enumerate(parts)}
+        after = np.array([lane_of.get((k, at + SEGMENT), -1) for k, at in parts])
+        last = state.copy()
+        redo = [(lang, lane) for lane in np.flatnonzero(after >= 0) for lang in range(len(self.langs))]
+        fixed = np.zeros(state.shape, np.int64)
+        while redo:
+            lang, before = np.array(redo).T
+            lane, now = after[before], last[lang, before]
+            counts, own = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+            open_, t = np.arange(len(lane)), 0
+            alone = self.roots[lang]
+            while len(open_):
+                done = lengths[lane[open_]] <= t
+                if done.any():
+                    open_ = open_[~done]
+                    continue
+                x, y = lang[open_], lane[open_]
+                column = self.columns[x, grid[t, y]]
+                now[open_], broke, more = self._step(now[open_], column, self.roots[x])
+                alone[open_], _, less = self._step(alone[open_], column, self.roots[x])
+                counts[open_] += more
+                own[open_] += less
+                met = broke & (ends[t, x, y] | (t == 0))
+                open_ = open_[~met]
+                t += 1
+            fixed[lang, lane] = counts - own
+            # a phrase that spans a whole segment changes the state in which the next one begins
+            end = np.where(now != alone, now, state[lang, lane])
+            moved = last[lang, lane] != end
+            last[lang, lane] = end
+            redo = [(a, b) for a, b, m in zip(lang, lane, moved) if m and after[b] >= 0]
+        count += fixed
+        closing = np.array([after[lane] < 0 for lane in range(len(parts))])
+        count += (last != root) & closing
+        np.add.at(out, [k for k, _ in parts], count.T)
+
+    def parsed(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For each text the language of fewest phrases, its score, and whether it parses better than letter by letter."""
         read = [self.read(t or "") for t in texts]
-        cost = self.phrases(read) * np.array(self.bits)
-        langs, scores = [], np.zeros(len(texts))
-        for k, (c, t) in enumerate(zip(cost, read)):
+        counts = self.phrases(read)
+        langs, scores, fits = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for k, (c, t) in enumerate(zip(counts, read)):
             if not len(t) or not self.langs:
                 langs.append(UNKNOWN)
                 continue
@@ -136,29 +192,38 @@ class Model:
             langs.append(self.langs[first])
             # how far the runner-up is behind
             scores[k] = 1 - c[first] / c[others[0]] if others else 1.0
-        return langs, scores
+            fits[k] = (c[first] - SLACK) * np.log2(max(2, self.sizes[first])) <= len(t) * self.plain[first]
+        return langs, scores, fits
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from about SAMPLE_DOCS documents of each language, chosen by a hash of the id.
+def fit(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    sample_docs: int = SAMPLE_DOCS, piece: int = PIECE, letters: int = LETTERS,
+) -> Model:
+    """A model from about ``sample_docs`` different texts of each language, chosen by a hash of the text.
 
-    Rows without id, text or language are not used; a text is used once.
+    Of each the ``piece`` characters at a hashed place are learnt, all if it is
+    shorter; equal texts count once; of each language's letters the ``letters``
+    most frequent ones. Rows without id, text or language are not used. A
+    language's table has some 1.5 x sample_docs x piece states of a number for
+    each letter.
     """
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    place, keep = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(False)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    place, keep = F.pmod("h", F.lit(1 << 30)), F.lit(False)
     for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (place < int(min(1.0, SAMPLE_DOCS / n) * (1 << 30))))
-    sample = rows.where(keep).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place")).distinct()
+        keep = keep | ((F.col("lang") == lang) & (place < int(min(1.0, sample_docs / max(1, n)) * (1 << 30))))
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - piece + 1, F.lit(1))).cast("int") + 1
+    sample = rows.where(keep).select("lang", "h", F.col("text").substr(start, F.lit(piece)).alias("text")).distinct()
     samples: dict[str, list[str]] = {lang: [] for lang in sizes}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
-        if r["text"] not in samples[r["lang"]][-1:]:
-            samples[r["lang"]].append(r["text"])
-    return Model(samples)
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+        samples[r["lang"]].append(r["text"])
+    return Model(samples, letters)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` for every row: the language of its whole text.
+    """``(doc_id, lang_pred, score)`` for every row: the language of its whole text; ids are cast to long.
 
     ``und``, with score 0, if the text is null, has no letter, or the model has no language.
     Else the score is the share by which the runner-up needs more phrases, from 0
@@ -170,7 +235,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, limit=1 << 23)):
-            langs, scores = shared.value.predict(b.column(1).to_pylist())
+            langs, scores, _ = shared.value.parsed(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -178,14 +243,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language the model can name; columns as they were."""
+    """The rows of ``docs`` whose text a language of the model explains; columns as they were.
+
+    Texts without letters go, and those for which even the best language needs
+    more bits, log2 of its labelled text for each phrase, than the letters do one
+    by one, all alike: strings of chance letters or of a script that no labelled text has.
+    SLACK phrases are free, so that a text of a few words stays. Without any
+    labelled text nothing is explained and no row stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
-        named = []
+        fits = []
         for part in slices(pa.record_batch([texts], names=["text"]), 0, 1 << 23):
-            named += [lang != UNKNOWN for lang in shared.value.predict(part.column(0).to_pylist())[0]]
-        return pa.array(named, pa.bool_())
+            fits += shared.value.parsed(part.column(0).to_pylist())[2].tolist()
+        return pa.array(fits, pa.bool_())
 
     return docs.where(known("text"))
