@@ -131,4 +131,4 @@ def _judged(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a word that is hit; columns as they were."""
     hit = _judged(docs, bench).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("content").alias("hit_content")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (content(docs["text"]) == F.col("hit_content")), "left_anti")
+    return docs.join(small(cut(hit)), docs["doc_id"].eqNullSafe(F.col("hit_id")) & (content(docs["text"]) == F.col("hit_content")), "left_anti")

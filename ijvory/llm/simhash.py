@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import content, cut, release, slices, small
+from ijvory.llm.common import content, cut, slices, small
 
 SEED = 42
 BITS, SEGMENTS = 64, 2
@@ -36,12 +37,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         shingles = [b" ".join(x) for x in zip(*(words[k:] for k in range(shingle)))]
     else:
         shingles = [b" ".join(words)] if words else []
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(shingles), BLOCK):
-        hashes = [xxhash.xxh64_intdigest(s, SEED) for s in shingles[at : at + BLOCK]]
-        octets = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(shingles)).tobytes(), "big") if shingles else 0
+    blocks = (shingles[at : at + BLOCK] for at in range(0, len(shingles), BLOCK))
+    return _majority(np.array([xxhash.xxh64_intdigest(s, SEED) for s in block], np.uint64) for block in blocks)
+
+
+def _majority(blocks: Iterator[np.ndarray]) -> int:
+    """The bits that more than half of all hashes have, as an unsigned integer; zero without hashes."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for hashes in blocks:
+        votes += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -157,19 +163,44 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(doc_id, content, node, shingles)`` for every row; texts with equal sets share a node, and those without words have node 0."""
+def _nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(doc_id, content, node, fp)`` for every row: texts with equal sets of shingles share a node, those without words have node 0; fp is the fingerprint of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch)):
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(nodes), lists], names=["doc_id", "content", "node", "shingles"])
+            fps = np.array([_majority(x[at : at + BLOCK].view(np.uint64) for at in range(0, len(x), BLOCK)) for x in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(nodes), pa.array(fps)], names=["doc_id", "content", "node", "fp"])
 
     both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), content(F.col(text_col)).alias("content"))
-    return both.mapInArrow(run, "doc_id long, content binary, node long, shingles array<long>")
+    return both.mapInArrow(run, "doc_id long, content binary, node long, fp long")
+
+
+def _sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``(node, shingles)`` for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, 0)):
+            sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            yield pa.record_batch([pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, shingles array<long>")
+
+
+def _texts(docs: DataFrame, text_col: str, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, z)``: a text of each of the ``nodes``, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for b in (part for batch in batches for part in slices(batch)):
+            yield pa.record_batch([b.column(0), pa.array([zip_.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["node", "z"])
+
+    one = cut(rows.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("content").alias("content")))
+    held = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), content(F.col(text_col)).alias("content")).join(small(one), "content")
+    return held.select("node", "text").mapInArrow(run, "node long, z binary").dropDuplicates(["node"])
 
 
 def _prefixes(sets: DataFrame, sample: DataFrame, similarity: float) -> DataFrame:
@@ -225,41 +256,72 @@ def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
     return index.select("key", F.col("node").alias(name), F.col("at").alias(f"{name}_at"), F.col("size").alias(f"{name}_size"), *[F.col(m).alias(f"{name}_{m}") for m in more])
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose sets have the Jaccard similarity."""
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of nodes whose sets of shingles have the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+
+        def of(node: int, z: pa.Scalar) -> np.ndarray:
+            if node not in kept:
+                if len(kept) >= 64:
+                    kept.clear()
+                kept[node] = shingle_set(zstandard.ZstdDecompressor().decompress(z.as_py()).decode(), shingle)
+            return kept[node]
+
+        for b in batches:
+            same = []
+            for x, y, zx, zy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                p, q = of(x, zx), of(y, zy)
+                c = len(np.intersect1d(p, q, assume_unique=True))
+                same.append(c >= similarity * (len(p) + len(q) - c) - 1e-9)
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = sets.join(small(cut(ends)), "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
-    held = cut(held)
-    x, y = held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), held.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
-    return cut(both.where(F.col("c") / (F.col("n") - F.col("c")) >= similarity).select("a", "b"))
+    side = lambda name, z: texts.select(F.col("node").alias(name), F.col("z").alias(z))
+    return cut(pairs.join(side("a", "za"), "a").join(side("b", "zb"), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"))
+
+
+def _by_fingerprint(rows: DataFrame, sharing: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes in ``sharing`` that the fingerprints propose: each with the first of its fingerprint, and the first ones of linked fingerprints."""
+    nodes = rows.select("node", "fp").join(sharing, "node", "left_semi").distinct()
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(first.select("fp"))
+    end = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_node"))
+    near = near.join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return same.unionByName(near)
 
 
-def _similar_nodes(sets: DataFrame, sample: DataFrame, similarity: float) -> DataFrame:
+def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``(node, root)`` for the nodes that are like another one: components of all pairs with the similarity.
 
-    Texts that share a key of few texts are compared pair by pair. Of a crowded key some members,
-    by their hash, are compared with all others that are not yet in their component, and with them
-    the member that has most links so far; more of them each round, until the key is one
-    component or every member has been compared.
+    Fingerprints propose pairs first; those that the exact similarity confirms tie most copies. An
+    exact prefix join then finds what fingerprints cannot, among texts not yet tied: texts that
+    share a key of few texts are compared pair by pair; of a crowded key some members, by their
+    hash, are compared with all others that are not yet in their component, and with them the
+    member that has most links so far; more of them each round, until the key is one component or
+    every member has been compared.
     """
-    index = _prefixes(sets, sample, similarity)
+    sample = _sets(docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0), text_col, shingle)
+    index = _prefixes(_sets(docs, text_col, shingle), sample, similarity)
     often = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     index = cut(index.join(often, "key"))
-    release(sets.sparkSession)
-    # only the sets that share a key are stored; to find them anew costs less than to keep them all
+    # a text that shares no key has no partner at all
     sharing = small(cut(index.select("node").distinct()))
-    sets = cut(sets.join(sharing, "node", "left_semi").select("node", "shingles"))
-    few = index.where(F.col("n") <= CROWDED)
-    pairs = _side(few, "a").join(_side(few, "b"), "key").where((F.col("a") < F.col("b")) & _may(similarity)).select("a", "b")
-    links = _alike(pairs, sets, similarity)
-    tied = components(links)
+    texts = cut(_texts(docs, text_col, rows, sharing))
+    links_ = _alike(_by_fingerprint(rows, sharing), texts, shingle, similarity)
+    tied = components(links_)
+    few = index.where(F.col("n") <= CROWDED).join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
+    pairs = _side(few, "a", "root").join(_side(few, "b", "root"), "key").where(apart & _may(similarity)).select("a", "b")
+    links_ = cut(links_.unionByName(_alike(pairs, texts, shingle, similarity)))
+    tied = components(links_)
     spread = (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
     crowd = index.where(F.col("n") > CROWDED).select("*", spread)
     before, now = 0, FEW
     while True:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        degree = links_.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         known = crowd.where(F.col("n") > before).join(tied, "node", "left").join(degree, "node", "left")
         known = cut(known.select("key", "node", "at", "size", "n", "u", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
         open_keys = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("degree", "node")).alias("top"))
@@ -269,10 +331,10 @@ def _similar_nodes(sets: DataFrame, sample: DataFrame, similarity: float) -> Dat
             return tied
         lead = crowd.where((F.col("u") >= before / F.col("n")) & (F.col("u") < now / F.col("n")) | (F.col("node") == F.col("hub")))
         pairs = _side(lead, "a", "root").join(_side(crowd, "b", "root"), "key").where((F.col("a_root") != F.col("b_root")) & _may(similarity)).select("a", "b")
-        found = _alike(pairs, sets, similarity)
+        found = _alike(pairs, texts, shingle, similarity)
         if not found.isEmpty():
-            links = cut(links.unionByName(found))
-            tied = components(links)
+            links_ = cut(links_.unionByName(found))
+            tied = components(links_)
         crowd = crowd.select("key", "node", "at", "size", "n", "u")
         before, now = now, now * GROWTH
 
@@ -289,12 +351,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """``(doc_id, content, node, first)``: first is the smallest id, with its content, of the group."""
-    sets = _sets(docs, id_col, text_col, shingle)
-    sample = _sets(docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0), id_col, text_col, shingle)
-    rows = cut(sets.drop("shingles"))
+    rows = cut(_nodes(docs, id_col, text_col, shingle))
     own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))
     nodes = cut(rows.groupBy("node").agg(F.min(own).alias("first")))
-    joined = nodes.join(_similar_nodes(sets, sample, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = nodes.join(_similar_nodes(docs, text_col, rows, shingle, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("first"))
     label = cut(joined.select("node", "root").join(smallest, "root").select("node", "first"))
     return rows.join(label, "node").select("doc_id", "content", "node", "first")
@@ -306,10 +366,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     Of rows that repeat this id and text one stays, of similar texts under this id one too; other
     texts under it are judged by their own group. Rows with a null id stay, as no other stands for them.
     """
-    groups = _groups(docs, "doc_id", "text", shingle, similarity)
+    groups = cut(_groups(docs, "doc_id", "text", shingle, similarity))
     other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("content") != F.col("first.content"))
-    gone = groups.where(other).select(F.col("doc_id").alias("gone_id"), F.col("content").alias("gone_content")).distinct()
-    key = (docs["doc_id"].cast("long") == F.col("gone_id")) & (content(docs["text"]) == F.col("gone_content"))
+    named = F.struct("doc_id", "content").alias("_key")
+    gone = small(cut(groups.where(other).select(named).distinct()))
+    again = small(cut(groups.where(~other).groupBy(named).count().where("count > 1").select("_key")))
+    key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), content(docs["text"]).alias("content")) == F.col("_key")
+    # rows with a null id have no first text and so are in neither table
     kept = docs.join(gone, key, "left_anti")
-    named = kept.where("doc_id IS NOT NULL").withColumn("_content", content(F.col("text"))).dropDuplicates(["doc_id", "_content"])
-    return named.drop("_content").unionByName(kept.where("doc_id IS NULL"))
+    once = kept.join(again, key, "left_anti")
+    repeated = kept.join(again, key, "left_semi").withColumn("_content", content(F.col("text"))).dropDuplicates(["doc_id", "_content"])
+    return once.unionByName(repeated.drop("_content"))
