@@ -149,7 +149,7 @@ def near_duplicates(
 
 
 #: Keys with more texts than CROWDED are settled by representatives; FEW of them in the first round, GROWTH times as many in each next one.
-CROWDED, FEW, GROWTH = 16, 4, 4
+CROWDED, FEW, GROWTH = 64, 8, 8
 #: Shingles that count as common: one text in SAMPLED is looked at, the COMMON shingles most often seen OFTEN times or more are taken.
 SAMPLED, OFTEN, COMMON = 16, 6, 100_000
 
@@ -163,18 +163,44 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)).view(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each of the places, one to two for each shingle, to which some shingle of a set is hashed."""
+    places = 1 << max(3, (len(shingles) - 1).bit_length())
+    bits = np.zeros(places, bool)
+    bits[shingles & (places - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_overlap(x: bytes, n_x: int, y: bytes, n_y: int, similarity: float) -> bool:
+    """False only if two sets, by their sketches and sizes, cannot have the Jaccard similarity.
+
+    Each bit that one set has alone stands for a shingle at least that the other lacks. The larger
+    sketch is folded to the size of the smaller one.
+    """
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (p, q))
+    most = min(n_x - int(np.bitwise_count(p & ~q).sum()), n_y - int(np.bitwise_count(q & ~p).sum()))
+    return most >= similarity * (n_x + n_y - most) - 1e-9
+
+
 def _nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(doc_id, content, node, fp)`` for every row: texts with equal sets of shingles share a node, those without words have node 0; fp is the fingerprint of the set."""
+    """``(doc_id, content, node, fp, n, sketch)`` for every row.
+
+    Texts with equal sets of shingles share a node, those without words have node 0; fp, n and
+    sketch are the fingerprint, the size and the sketch of the set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch)):
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
             fps = np.array([_majority(x[at : at + BLOCK].view(np.uint64) for at in range(0, len(x), BLOCK)) for x in sets], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(nodes), pa.array(fps)], names=["doc_id", "content", "node", "fp"])
+            more = [pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(nodes), pa.array(fps), *more], names=["doc_id", "content", "node", "fp", "n", "sketch"])
 
     both = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), content(F.col(text_col)).alias("content"))
-    return both.mapInArrow(run, "doc_id long, content binary, node long, fp long")
+    return both.mapInArrow(run, "doc_id long, content binary, node long, fp long, n int, sketch binary")
 
 
 def _sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -256,10 +282,19 @@ def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
     return index.select("key", F.col("node").alias(name), F.col("at").alias(f"{name}_at"), F.col("size").alias(f"{name}_size"), *[F.col(m).alias(f"{name}_{m}") for m in more])
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of nodes whose sets of shingles have the Jaccard similarity."""
+def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of nodes whose sets of shingles have the Jaccard similarity.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The sketches rule out most of the others, so that few texts are moved.
+    """
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, n_x, y, n_y = (b.column(k).to_pylist() for k in range(2, 6))
+            keep = [may_overlap(*z, similarity) for z in zip(x, n_x, y, n_y)]
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
 
         def of(node: int, z: pa.Scalar) -> np.ndarray:
@@ -270,16 +305,18 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
             return kept[node]
 
         for b in batches:
-            same = []
+            keep = []
             for x, y, zx, zy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 p, q = of(x, zx), of(y, zy)
                 c = len(np.intersect1d(p, q, assume_unique=True))
-                same.append(c >= similarity * (len(p) + len(q) - c) - 1e-9)
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+                keep.append(c >= similarity * (len(p) + len(q) - c) - 1e-9)
+            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    side = lambda name, z: texts.select(F.col("node").alias(name), F.col("z").alias(z))
-    return cut(pairs.join(side("a", "za"), "a").join(side("b", "zb"), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    drawn = lambda name: sketches.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
+    held = lambda name: texts.select(F.col("node").alias(name), F.col("z").alias(f"z{name}"))
+    likely = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(may, "a long, b long")
+    return cut(cut(likely).join(held("a"), "a").join(held("b"), "b").select("a", "b", "za", "zb").mapInArrow(same, "a long, b long"))
 
 
 def _by_fingerprint(rows: DataFrame, sharing: DataFrame) -> DataFrame:
@@ -310,12 +347,14 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
     # a text that shares no key has no partner at all
     sharing = small(cut(index.select("node").distinct()))
     texts = cut(_texts(docs, text_col, rows, sharing))
-    links_ = _alike(_by_fingerprint(rows, sharing), texts, shingle, similarity)
+    drawn = rows.join(sharing, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    sketches = small(cut(drawn))
+    links_ = _alike(_by_fingerprint(rows, sharing), sketches, texts, shingle, similarity)
     tied = components(links_)
     few = index.where(F.col("n") <= CROWDED).join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
     pairs = _side(few, "a", "root").join(_side(few, "b", "root"), "key").where(apart & _may(similarity)).select("a", "b")
-    links_ = cut(links_.unionByName(_alike(pairs, texts, shingle, similarity)))
+    links_ = cut(links_.unionByName(_alike(pairs, sketches, texts, shingle, similarity)))
     tied = components(links_)
     spread = (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
     crowd = index.where(F.col("n") > CROWDED).select("*", spread)
@@ -331,7 +370,7 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
             return tied
         lead = crowd.where((F.col("u") >= before / F.col("n")) & (F.col("u") < now / F.col("n")) | (F.col("node") == F.col("hub")))
         pairs = _side(lead, "a", "root").join(_side(crowd, "b", "root"), "key").where((F.col("a_root") != F.col("b_root")) & _may(similarity)).select("a", "b")
-        found = _alike(pairs, texts, shingle, similarity)
+        found = _alike(pairs, sketches, texts, shingle, similarity)
         if not found.isEmpty():
             links_ = cut(links_.unionByName(found))
             tied = components(links_)
