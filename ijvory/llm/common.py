@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Rows and bytes of a side that may be broadcast; beyond either Spark shuffles both sides.
-BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,15 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of tables that are no longer used.
-
-    It acts on the driver's garbage collection, which a small driver heap may put off for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its rows and their bytes, both counted, are within the bounds, else as it is."""
     width = F.lit(0).cast("long")

@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from ijvory.llm.common import slices
 
 #: Default bounds of the labelled sample: documents per language (about), characters of a piece of each, letters of a language.
-SAMPLE_DOCS, PIECE, LETTERS = 400, 160, 250
+SAMPLE_DOCS, PIECE, LETTERS = 400, 120, 250
 #: Texts are parsed in segments of so many symbols side by side; phrases go on across their borders.
-SEGMENT, LANES = 2048, 1 << 22
+SEGMENT, LANES = 2048, 1 << 24
+#: The bit that marks a break at a letter that the language lacks; states lie below it.
+LACKS = 30
 #: Phrases that a text may need beyond what its letters would cost one by one.
 SLACK = 3
 UNKNOWN = "und"
@@ -85,8 +87,11 @@ class Model:
             self.columns[k, [known[c] for c in kept]] = np.arange(1, width - 1)
             text = self.columns[k, np.concatenate([self.read(t) for t in samples[lang]] or [np.zeros(0, int)])]
             move = automaton(text.tolist())
-            table = np.empty((len(move), width), np.int64)
+            if first + len(move) * width >= 1 << LACKS:
+                raise ValueError("the labelled sample is too large; take fewer or shorter pieces")
+            table = np.empty((len(move), width), np.int32)
             table[:] = ~(first + np.array([move[0].get(c, 0) for c in range(width - 1)] + [0]) * width)
+            table[:, -1] = ~(first | 1 << LACKS)
             for s, to in enumerate(move):
                 for c, t in to.items():
                     if c < width - 1:  # letters beyond the bound count as unseen
@@ -96,8 +101,8 @@ class Model:
             self.sizes.append(len(text))
             self.plain.append(np.log2(width - 1))
             first += table.size
-        self.table = np.concatenate(rows or [np.zeros(1)]).astype(np.int32 if first < 1 << 31 else np.int64)
-        self.roots = np.array(self.roots, self.table.dtype)
+        self.table = np.concatenate(rows or [np.zeros(1, np.int32)])
+        self.roots = np.array(self.roots, np.int32)
 
     def read(self, text: str) -> np.ndarray:
         """Symbols of a text, one zero between words and one after the last."""
@@ -107,9 +112,12 @@ class Model:
     def _step(self, state: np.ndarray, column: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The states after one more symbol, where a phrase ended before it, and how many did (two where the symbol is one of its own)."""
         to = self.table[state + column]
-        broke = to < 0
-        new = np.where(broke, ~to, to)
-        return new, broke, broke.astype(np.int8) + (broke & (new == root) & (state != root))
+        broke = to >> 31
+        to ^= broke
+        lacks = to >> LACKS
+        more = (lacks & (state != root)) - broke
+        to &= (1 << LACKS) - 1
+        return to, broke, more
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of every text (rows) in every language (columns)."""
@@ -137,7 +145,7 @@ class Model:
         # every segment on its own first, as if a phrase began with it
         root = self.roots[:, None]
         state = np.repeat(root, len(parts), axis=1)
-        count = np.zeros(state.shape, np.int64)
+        count = np.zeros(state.shape, np.int32)
         ends = np.zeros((lengths[0], *state.shape), bool)
         for t, n in enumerate(live):
             state[:, :n], ends[t, :, :n], more = self._step(state[:, :n], self.columns[:, grid[t, :n]], root)
@@ -165,7 +173,7 @@ class Model:
                 alone[open_], _, less = self._step(alone[open_], column, self.roots[x])
                 counts[open_] += more
                 own[open_] += less
-                met = broke & (ends[t, x, y] | (t == 0))
+                met = (broke < 0) & (ends[t, x, y] | (t == 0))
                 open_ = open_[~met]
                 t += 1
             fixed[lang, lane] = counts - own
@@ -174,7 +182,7 @@ class Model:
             moved = last[lang, lane] != end
             last[lang, lane] = end
             redo = [(a, b) for a, b, m in zip(lang, lane, moved) if m and after[b] >= 0]
-        count += fixed
+        count = count + fixed
         closing = np.array([after[lane] < 0 for lane in range(len(parts))])
         count += (last != root) & closing
         np.add.at(out, [k for k, _ in parts], count.T)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ijvory.llm.common import content, cut, slices, small
@@ -216,17 +216,16 @@ def _sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def _texts(docs: DataFrame, text_col: str, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, z)``: a text of each of the ``nodes``, compressed."""
+def _texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """``(node, z)``: a text of each of the ``nodes (node, content)``, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
         for b in (part for batch in batches for part in slices(batch)):
             yield pa.record_batch([b.column(0), pa.array([zip_.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["node", "z"])
 
-    one = cut(rows.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("content").alias("content")))
-    held = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), content(F.col(text_col)).alias("content")).join(small(one), "content")
-    return held.select("node", "text").mapInArrow(run, "node long, z binary").dropDuplicates(["node"])
+    held = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), content(F.col(text_col)).alias("content")).join(small(cut(nodes)), "content")
+    return cut(held.select("node", "text").mapInArrow(run, "node long, z binary").dropDuplicates(["node"]))
 
 
 def _prefixes(sets: DataFrame, sample: DataFrame, similarity: float) -> DataFrame:
@@ -282,7 +281,7 @@ def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
     return index.select("key", F.col("node").alias(name), F.col("at").alias(f"{name}_at"), F.col("size").alias(f"{name}_size"), *[F.col(m).alias(f"{name}_{m}") for m in more])
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, drawn: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` of nodes whose sets of shingles have the Jaccard similarity.
 
     The sketches rule out most of the others, so that few texts are moved.
@@ -313,10 +312,12 @@ def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, shingle: int
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    drawn = lambda name: sketches.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
+    side = lambda name: drawn.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
+    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(may, "a long, b long"))
+    ends = small(cut(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    texts = _texts(docs, text_col, drawn.join(ends, "node", "left_semi").select("node", "content"))
     held = lambda name: texts.select(F.col("node").alias(name), F.col("z").alias(f"z{name}"))
-    likely = pairs.join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(may, "a long, b long")
-    return cut(cut(likely).join(held("a"), "a").join(held("b"), "b").select("a", "b", "za", "zb").mapInArrow(same, "a long, b long"))
+    return cut(likely.join(held("a"), "a").join(held("b"), "b").select("a", "b", "za", "zb").mapInArrow(same, "a long, b long"))
 
 
 def _by_fingerprint(rows: DataFrame, sharing: DataFrame) -> DataFrame:
@@ -342,19 +343,18 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
     """
     sample = _sets(docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0), text_col, shingle)
     index = _prefixes(_sets(docs, text_col, shingle), sample, similarity)
-    often = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    index = cut(index.join(often, "key"))
+    own = Window.partitionBy("key")
+    index = cut(index.withColumn("n", F.count("*").over(own)).where("n > 1"))
     # a text that shares no key has no partner at all
     sharing = small(cut(index.select("node").distinct()))
-    texts = cut(_texts(docs, text_col, rows, sharing))
-    drawn = rows.join(sharing, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    sketches = small(cut(drawn))
-    links_ = _alike(_by_fingerprint(rows, sharing), sketches, texts, shingle, similarity)
+    drawn = rows.join(sharing, "node", "left_semi").groupBy("node")
+    drawn = small(cut(drawn.agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("content").alias("content"))))
+    links_ = _alike(_by_fingerprint(rows, sharing), drawn, docs, text_col, shingle, similarity)
     tied = components(links_)
     few = index.where(F.col("n") <= CROWDED).join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
     pairs = _side(few, "a", "root").join(_side(few, "b", "root"), "key").where(apart & _may(similarity)).select("a", "b")
-    links_ = cut(links_.unionByName(_alike(pairs, sketches, texts, shingle, similarity)))
+    links_ = cut(links_.unionByName(_alike(pairs, drawn, docs, text_col, shingle, similarity)))
     tied = components(links_)
     spread = (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
     crowd = index.where(F.col("n") > CROWDED).select("*", spread)
@@ -370,7 +370,7 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
             return tied
         lead = crowd.where((F.col("u") >= before / F.col("n")) & (F.col("u") < now / F.col("n")) | (F.col("node") == F.col("hub")))
         pairs = _side(lead, "a", "root").join(_side(crowd, "b", "root"), "key").where((F.col("a_root") != F.col("b_root")) & _may(similarity)).select("a", "b")
-        found = _alike(pairs, sketches, texts, shingle, similarity)
+        found = _alike(pairs, drawn, docs, text_col, shingle, similarity)
         if not found.isEmpty():
             links_ = cut(links_.unionByName(found))
             tied = components(links_)
