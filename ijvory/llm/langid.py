@@ -22,7 +22,7 @@ from ijvory.llm.common import slices
 #: Default bounds of the labelled sample: documents per language (about), characters of a piece of each, letters of a language.
 SAMPLE_DOCS, PIECE, LETTERS = 400, 120, 250
 #: Texts are parsed in segments of so many symbols side by side; phrases go on across their borders.
-SEGMENT, LANES = 2048, 1 << 24
+SEGMENT, LANES = 2048, 1 << 22
 #: The bit that marks a break at a letter that the language lacks; states lie below it.
 LACKS = 30
 #: Phrases that a text may need beyond what its letters would cost one by one.
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch, limit=1 << 23)):
+        for b in (part for batch in batches for part in slices(batch, limit=1 << 21)):
             langs, scores, _ = shared.value.parsed(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
@@ -264,7 +264,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
         fits = []
-        for part in slices(pa.record_batch([texts], names=["text"]), 0, 1 << 23):
+        for part in slices(pa.record_batch([texts], names=["text"]), 0, 1 << 21):
             fits += shared.value.parsed(part.column(0).to_pylist())[2].tolist()
         return pa.array(fits, pa.bool_())
 
