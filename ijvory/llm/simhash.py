@@ -192,9 +192,9 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch)):
+        for b in (part for batch in batches for part in slices(batch, limit=1 << 19)):
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+            nodes = np.array([_node(x) for x in sets], np.int64)
             fps = np.array([_majority(x[at : at + BLOCK].view(np.uint64) for at in range(0, len(x), BLOCK)) for x in sets], np.uint64).view(np.int64)
             more = [pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(nodes), pa.array(fps), *more], names=["doc_id", "content", "node", "fp", "n", "sketch"])
@@ -204,16 +204,13 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
 
 def _sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """``(node, shingles)`` for every row."""
+    """``(shingles)`` for every row: the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch, 0)):
-            sets = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
-            yield pa.record_batch([pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+        for b in (part for batch in batches for part in slices(batch, 0, 1 << 19)):
+            yield pa.record_batch([pa.array([shingle_set(t, shingle) for t in b.column(0).to_pylist()], pa.list_(pa.int64()))], names=["shingles"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "shingles array<long>")
 
 
 def _texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
@@ -228,47 +225,50 @@ def _texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
     return cut(held.select("node", "text").mapInArrow(run, "node long, z binary").dropDuplicates(["node"]))
 
 
-def _prefixes(sets: DataFrame, sample: DataFrame, similarity: float) -> DataFrame:
+def _prefixes(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """``(key, node, at, size)``: the shingles of a set of which a similar set has one at least among its own.
 
     Sets of n and more shingles that are alike share ``similarity * n`` of them, so in any one
     order of all shingles their first ``n - similarity * n + 1`` have one in common. The order
     puts common shingles last; it decides the cost alone, so a sample of the texts will do.
     """
+    sample = _sets(docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0), text_col, shingle)
     often = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COMMON).collect()
     often = np.array(sorted((r["key"], int(r["count"])) for r in often), np.int64).reshape(-1, 2)
     common, count = often[:, 0].copy(), often[:, 1].copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            values, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-            for lo in range(0, b.num_rows, 256):
-                keys, nodes, places, sizes = [], [], [], []
-                for k in range(lo, min(lo + 256, b.num_rows)):
-                    x, node = values[ends[k] : ends[k + 1]], b.column(0)[k].as_py()
-                    n = len(x)
-                    if not n or node in seen:
-                        continue
-                    if len(seen) < BLOCK:
-                        seen.add(node)  # most copies of a set end here, the others below
-                    first = n - math.ceil(similarity * n - 1e-9) + 1
-                    if len(common):
-                        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                        x = x[np.lexsort((x, np.where(common[at] == x, count[at], 0)))]
-                    first = min(first, n)
-                    keys.append(x[:first])
-                    nodes.append(np.full(first, node, np.int64))
-                    places.append(np.arange(first, dtype=np.int32))
-                    sizes.append(np.full(first, n, np.int32))
-                if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, nodes, places, sizes)], names=["key", "node", "at", "size"])
-
-    index = sets.select("node", "shingles").mapInArrow(run, "key long, node long, at int, size int")
+        for b in (part for batch in batches for part in slices(batch, 0, 1 << 19)):
+            keys, nodes, places, sizes = [], [], [], []
+            for text in b.column(0).to_pylist():
+                x = shingle_set(text, shingle)
+                n, node = len(x), _node(x)
+                if not n or node in seen:
+                    continue
+                if len(seen) < BLOCK:
+                    seen.add(node)  # most copies of a set end here, the others below
+                first = min(n, n - math.ceil(similarity * n - 1e-9) + 1)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    x = x[np.lexsort((x, np.where(common[at] == x, count[at], 0)))]
+                keys.append(x[:first])
+                nodes.append(np.full(first, node, np.int64))
+                places.append(np.arange(first, dtype=np.int32))
+                sizes.append(np.full(first, n, np.int32))
+            if keys:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, nodes, places, sizes)], names=["key", "node", "at", "size"])
+
+    index = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, node long, at int, size int")
     # dealt once by key; the rest needs no other exchange
     return index.repartition("key").groupBy("key", "node").agg(F.min("at").alias("at"), F.min("size").alias("size"))
 
 
+def _node(shingles: np.ndarray) -> int:
+    """A number for a set of shingles; 0 for the empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)) if len(shingles) else 0
+
+
 def _may(similarity: float) -> Column:
     """Whether sets a and b can be alike, by their sizes and by what is left of them after a key they share."""
     less, more = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
@@ -341,8 +341,7 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
     member that has most links so far; more of them each round, until the key is one component or
     every member has been compared.
     """
-    sample = _sets(docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0), text_col, shingle)
-    index = _prefixes(_sets(docs, text_col, shingle), sample, similarity)
+    index = _prefixes(docs, text_col, shingle, similarity)
     own = Window.partitionBy("key")
     index = cut(index.withColumn("n", F.count("*").over(own)).where("n > 1"))
     # a text that shares no key has no partner at all
