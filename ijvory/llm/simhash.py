@@ -233,9 +233,10 @@ def _prefixes(docs: DataFrame, text_col: str, shingle: int, similarity: float) -
     puts common shingles last; it decides the cost alone, so a sample of the texts will do.
     """
     sample = _sets(docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0), text_col, shingle)
-    often = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COMMON).collect()
-    often = np.array(sorted((r["key"], int(r["count"])) for r in often), np.int64).reshape(-1, 2)
-    common, count = often[:, 0].copy(), often[:, 1].copy()
+    often = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
+    common, count = (often.column(k).to_numpy().astype(np.int64) for k in range(2))
+    order = np.argsort(common)
+    common, count = common[order], count[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -277,6 +278,19 @@ def _may(similarity: float) -> Column:
     return (less >= more * similarity - 1e-6) & (most >= need)
 
 
+def _counted(index: DataFrame) -> DataFrame:
+    """The entries of keys with more than one, with their number ``n``."""
+    return index.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+
+
+def _by_size(crowd: DataFrame, similarity: float) -> DataFrame:
+    """Entries of crowded keys under finer keys: similar sets are alike in size, so each entry goes to the class of its size and to the one below."""
+    # classes a little wider than the ratio of sizes that similar sets can have
+    grade = F.floor(F.log(F.col("size").cast("double")) / (1e-6 - math.log(similarity)))
+    each = crowd.select("key", F.explode(F.array(grade, grade - 1)).alias("grade"), "node", "at", "size")
+    return _counted(each.select(F.xxhash64("key", "grade").alias("key"), "node", "at", "size"))
+
+
 def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
     return index.select("key", F.col("node").alias(name), F.col("at").alias(f"{name}_at"), F.col("size").alias(f"{name}_size"), *[F.col(m).alias(f"{name}_{m}") for m in more])
 
@@ -342,14 +356,14 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
     every member has been compared.
     """
     index = _prefixes(docs, text_col, shingle, similarity)
-    own = Window.partitionBy("key")
-    index = cut(index.withColumn("n", F.count("*").over(own)).where("n > 1"))
+    index = cut(_counted(index))
     # a text that shares no key has no partner at all
     sharing = small(cut(index.select("node").distinct()))
     drawn = rows.join(sharing, "node", "left_semi").groupBy("node")
     drawn = small(cut(drawn.agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("content").alias("content"))))
     links_ = _alike(_by_fingerprint(rows, sharing), drawn, docs, text_col, shingle, similarity)
     tied = components(links_)
+    index = cut(index.where(F.col("n") <= CROWDED).unionByName(_by_size(index.where(F.col("n") > CROWDED), similarity)))
     few = index.where(F.col("n") <= CROWDED).join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
     pairs = _side(few, "a", "root").join(_side(few, "b", "root"), "key").where(apart & _may(similarity)).select("a", "b")
