@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,11 +118,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-     s AS (SELECT a.vec_id AS query_id, b.vec_id,
+     a AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY q) AS copy FROM v WHERE vec_id % 50 = 0),
+     s AS (SELECT a.vec_id AS query_id, copy, b.vec_id,
                   list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
-           FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+           FROM a JOIN v b ON a.vec_id <> b.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, copy ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth vector."""
     vectors = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -141,14 +143,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: The public vocabulary that op8 counts with.
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public vocabulary that op8 counts with; the driver reads it and sends its pieces to the tasks.
+VOCABULARY = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 @query()
-def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Words and unigram tokens of every document."""
-    return token_counts.token_counts(documents(spark, sf_dir), token_counts.Vocabulary.of_sentencepiece(VOCABULARY))
+    return token_counts.token_counts(documents(spark, sf_dir), token_counts.Vocabulary.of_sentencepiece(vocabulary))
 
 
 @query()

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 DIMENSIONS = 16
 SCALE = 256
 LONG = np.iinfo(np.int64)
@@ -37,54 +38,60 @@ def _matrix(q: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
-def best(ids: np.ndarray, columns: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best candidates, ties to the smaller id.
-
-    ``columns`` holds the candidates by dimension, ``columns[d, c]``. Candidates
-    with the id ``own`` are left out.
-    """
-    live = np.flatnonzero(ids != own)
-    dims = len(query)
-    seed = live[: max(4 * k, 64)]
-    scores = query @ columns[:, seed]
-    floor = np.partition(scores, len(seed) - k)[len(seed) - k] if len(seed) > k else None
-    total = np.zeros(len(live), columns.dtype)
-    for at in range(0, dims, DIMENSIONS):
-        total = total + query[at : at + DIMENSIONS] @ columns[at : at + DIMENSIONS, live]
-        rest = slice(at + DIMENSIONS, dims)
-        if floor is None or at + DIMENSIONS >= dims:
-            continue
-        left = columns[rest, live].astype(np.float64)
-        more = np.sqrt(np.einsum("dc,dc->c", left, left)) * np.sqrt(np.sum(query[rest].astype(np.float64) ** 2))
-        keep = total + more * (1 + 1e-9) + 1 >= floor
-        if not keep.all():
-            live, total = live[keep], total[keep]
-    first = np.lexsort((ids[live], -total))[:k]
-    return ids[live[first]], total[first]
+class Candidates:
+    """A block of candidates, dimension by dimension, largest first, with the norms of what is left after each block of dimensions."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        norms = np.sum(rows.astype(np.float64) ** 2, axis=1)
+        order = np.argsort(-norms, kind="stable")
+        self.ids, self.columns = ids[order], np.ascontiguousarray(rows[order].T)
+        squares = self.columns.astype(np.float64) ** 2
+        self.rest = [np.sqrt(np.sum(squares[at:], axis=0)) for at in range(DIMENSIONS, len(self.columns), DIMENSIONS)]
+
+    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows, ties to the smaller id; rows with the id ``own`` are left out, each other row counts."""
+        columns, dims = self.columns, len(query)
+        live = np.flatnonzero(self.ids != own)
+        # the k-th score of the largest candidates is a floor for the k-th of all
+        seed = live[: max(4 * k, 64)]
+        scores = query @ columns[:, seed]
+        floor = np.partition(scores, len(seed) - k)[len(seed) - k] if len(seed) > k else None
+        total = query[:DIMENSIONS] @ columns[:DIMENSIONS]
+        total = total[live]
+        for n, rest in enumerate(self.rest):
+            at = (n + 1) * DIMENSIONS
+            if floor is not None:
+                # Cauchy and Schwarz bound what the other dimensions can add
+                more = rest[live] * np.sqrt(np.sum(query[at:].astype(np.float64) ** 2))
+                keep = np.flatnonzero(total + more * (1 + 1e-9) + 1 >= floor)
+                if len(keep) < len(live):
+                    live, total = live[keep], total[keep]
+            total = total + query[at : at + DIMENSIONS] @ columns[at : at + DIMENSIONS, live]
+        first = np.lexsort((self.ids[live], -total))[:k] if dims else np.argsort(self.ids[live], kind="stable")[:k]
+        return self.ids[live[first]], total[first]
 
 
 def _search(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("copy", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not queries.num_rows or not candidates.num_rows:
             return schema.empty_table()
-        dims = max(max(len(x) for x in t.column("q")) for t in (queries, candidates))
+        dims = max(1, *(pc.max(pc.list_value_length(t.column("q"))).as_py() for t in (queries, candidates)))
         qs, cs = _matrix(queries.column("q"), dims), _matrix(candidates.column("q"), dims)
-        # products that could leave 64 bits are formed with whole numbers of any size
         peak = lambda m: float(np.abs(m.astype(np.float64)).max(initial=0))
-        if peak(qs) * peak(cs) * max(dims, 1) >= 2.0**62:
-            qs, cs = qs.astype(object), cs.astype(object)
-        order = np.argsort(-np.sum(cs.astype(np.float64) ** 2, axis=0), kind="stable")
-        columns, qs = np.ascontiguousarray(cs[:, order].T), qs[:, order]
-        ids = candidates.column("id").to_numpy()
-        own, found, scores = [], [], []
-        for i, q in zip(queries.column("id").to_numpy(), qs):
-            a, b = best(ids, columns, q, i, k)
+        # doubles are exact below 2^53; products that could leave 64 bits are formed with whole numbers of any size
+        most = peak(qs) * peak(cs) * dims
+        kind = np.float64 if most < 2.0**53 else np.int64 if most < 2.0**62 else object
+        qs, block = qs.astype(kind), Candidates(candidates.column("id").to_numpy(), cs.astype(kind))
+        own, copies, found, scores = [], [], [], []
+        for i, c, q in zip(queries.column("id").to_numpy(), queries.column("copy").to_numpy(), qs):
+            a, b = block.best(q, i, k)
             own.append(np.full(len(a), i))
+            copies.append(np.full(len(a), c))
             found.append(a)
             scores.append(np.array([min(max(int(x), LONG.min), LONG.max) for x in b], np.int64))
-        return pa.table([np.concatenate(x).astype(np.int64) for x in (own, found, scores)], schema=schema)
+        return pa.table([np.concatenate(x).astype(f.type.to_pandas_dtype()) for x, f in zip((own, copies, found, scores), schema)], schema=schema)
 
     return run
 
@@ -93,19 +100,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best candidates of every query, ranked from 1.
 
     Both tables are ``(id, q)`` of ``quantised``. A query never meets rows of its
-    own id; a query of an empty or shorter vector counts the missing components
-    as zero; rows that repeat an id and a vector count once; of rows that share
-    an id only the best counts; scores outside 64 bits become the nearest long;
-    empty tables give no rows.
+    own id; every other row counts, also one that repeats an id or a vector, and
+    so does every row of queries; a query of an empty or shorter vector counts
+    the missing components as zero; scores outside 64 bits become the nearest
+    long; empty tables give no rows.
     """
-    queries, candidates = queries.distinct(), candidates.distinct()
+    # rows of queries that share an id are told apart by their number among them
+    copy = F.row_number().over(Window.partitionBy("id").orderBy("q"))
+    queries = queries.select("id", "q", copy.alias("copy"))
     n_q = max(1, -(-queries.count() // QUERY_BLOCK))
     n_c = max(1, -(-candidates.count() // CANDIDATE_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    block = lambda n: F.pmod(F.xxhash64("id", "q"), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = queries.select("id", "q", block(n_q).alias("qb")).select("*", each(n_c).alias("cb"))
+    q = queries.select("id", "q", "copy", block(n_q).alias("qb")).select("*", each(n_c).alias("cb"))
     c = candidates.select("id", "q", block(n_c).alias("cb")).select("*", each(n_q).alias("qb"))
-    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(_search(k), "query_id long, copy int, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
