@@ -16,7 +16,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -27,43 +26,98 @@ from ijvory.llm.common import slices
 
 # Fixed sets of element names and of words in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("head title script style noscript template nav header footer aside form menu dialog button select option textarea label iframe object svg canvas audio video".split())
+FURNITURE = frozenset("head title script style noscript template nav footer aside form menu dialog button select option textarea label iframe object svg canvas audio video".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 REGIONS = frozenset("article main".split())
 TITLES = ("h1", "h2")
 CONTAINERS = REGIONS | frozenset("body section div td table center".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w+|sign-?up|"
-    r"nav|navbar|navigation|navlinks?|menus?|breadcrumbs?|pagination|pager|header|masthead|footer|foot|sidebar|side|aside|widgets?|related|recommend\w*|teasers?|"
-    r"share|sharing|social|comments?|commentlist|disqus|respon[ds]\w*|replies|reactions|search|login|toolbar|skip|copyright|legal|complementary|contentinfo)(?:$|[\s_-])"
+#: Elements that may be furniture by name; those of running text never are.
+NAMEABLE = frozenset("div section header table ul ol dl span ins figure center details fieldset".split())
+NAMES = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter "
+    "subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead footer sidebar side aside widget widgets related "
+    "recommended recommendations teaser teasers share sharing social comment comments commentlist disqus respond replies reactions search login toolbar skip copyright complementary contentinfo".split()
 )
+#: Words that may stand beside one of these in a name, as in site-header; any other word, as in article-header, makes it a name of its own.
+BESIDE = frozenset("site top bottom left right main global primary secondary list box bar block area container wrapper inner links link buttons button posts items item slot unit thread form section panel col column".split())
+#: Elements that a start tag ends if they are open, up to the elements that keep them open.
+ENDS = {
+    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "tr": (frozenset(["tr"]), frozenset(["table"])),
+    "tbody": (frozenset(["thead", "tbody", "tr"]), frozenset(["table"])), "option": (frozenset(["option"]), frozenset(["select"])),
+}
 SIGMA, RADIUS = 1.0, 2
 #: The share of the content mass that the region must hold.
 MASS = 0.8
 JOIN = "\n\n"
 
 
+def named(mark: str) -> bool:
+    """Whether a word of class, id or role is a name of page furniture."""
+    for word in mark.lower().split():
+        parts = [x for x in re.split(r"[-_]+", word) if x]
+        if any(x in NAMES for x in parts) and all(x in NAMES or x in BESIDE for x in parts):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Collects ``(text, tags, path, furniture, title, linked)`` for each block with text, in page order."""
+    """Collects ``(text, tags, container, furniture, title, linked)`` for each block with text, in page order.
+
+    A container is a number; ``parent`` and ``kind`` have its parent, -1 for none, and its name.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[tuple[int, str], ...], bool, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool, bool]] = []
         self.open: list[tuple[str, bool]] = []  # name, furniture
         self.names: Counter[str] = Counter()  # how often each name is open
-        self.path: list[tuple[int, str]] = []  # containers that are open
+        self.parent: list[int] = []
+        self.kind: list[str] = []
+        self.inside = -1
         self.words: list[str] = []
-        self.tags = self.count = self.hidden = self.linked = 0
+        self.tags = self.hidden = self.linked = 0
 
     def _end_line(self):
         text = " ".join("".join(self.words).split())
         if text:
             title = any(self.names[name] for name in TITLES)
-            self.lines.append((text, max(1, self.tags), tuple(self.path), self.hidden > 0, title, 2 * self.linked > len(text)))
+            self.lines.append((text, max(1, self.tags), self.inside, self.hidden > 0, title, 2 * self.linked > len(text)))
             self.tags = 0
         self.words = []
         self.linked = 0
 
+    def _pop(self, depth: int):
+        """End the open elements from ``depth`` on, the last first."""
+        for name, furniture in reversed(self.open[depth:]):
+            self.names[name] -= 1
+            if furniture:
+                self._end_line()
+            self.hidden -= furniture
+            if name in CONTAINERS:
+                self.inside = self.parent[self.inside]
+        del self.open[depth:]
+
+    def _imply(self, tag: str):
+        """End what a start tag ends without saying so."""
+        if tag in ENDS:
+            ended, keepers = ENDS[tag]
+            depth = len(self.open)
+            found = None
+            while depth and any(self.names[x] for x in ended) and self.open[depth - 1][0] not in keepers:
+                depth -= 1
+                if self.open[depth][0] in ended:
+                    found = depth
+            if found is not None:
+                self._pop(found)
+        elif tag not in INLINE and self.names["p"]:
+            # a block ends the paragraph that is open, with the inline elements in it
+            depth = len(self.open)
+            while depth and self.open[depth - 1][0] in INLINE:
+                depth -= 1
+            if depth and self.open[depth - 1][0] == "p":
+                self._pop(depth - 1)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
@@ -72,16 +126,19 @@ class Lines(HTMLParser):
             self._end_line()
         if tag in VOID:
             return
-        mark = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
-        furniture = tag in FURNITURE or tag not in ("html", "body", *REGIONS) and bool(NAMED.search(mark)) or tag == "article" and "comment" in mark
+        self._imply(tag)
+        mark = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+        furniture = tag in FURNITURE or tag in NAMEABLE and named(mark) or tag == "article" and "comment" in mark.lower()
+        furniture = furniture or tag == "header" and not any(self.names[x] for x in REGIONS)
         if furniture:
             self._end_line()  # also for a span of furniture inside a block
         self.open.append((tag, furniture))
         self.names[tag] += 1
         self.hidden += furniture
         if tag in CONTAINERS:
-            self.count += 1
-            self.path.append((self.count, tag))
+            self.parent.append(self.inside)
+            self.kind.append(tag)
+            self.inside = len(self.parent) - 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash on other than void elements means nothing
@@ -95,14 +152,7 @@ class Lines(HTMLParser):
         depth = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag))
         if tag in INLINE and any(name not in INLINE for name, _ in self.open[depth + 1 :]):
             return  # a block that is still open holds on
-        for name, furniture in self.open[depth:]:
-            self.names[name] -= 1
-            if furniture:
-                self._end_line()
-            self.hidden -= furniture
-            if name in CONTAINERS:
-                self.path.pop()
-        del self.open[depth:]
+        self._pop(depth)
 
     def handle_data(self, data):
         self.words.append(data)
@@ -129,32 +179,54 @@ def main_text(html: str | None) -> str:
     if not page.lines:
         return ""
     sizes = np.array([len(t) for t, *_ in page.lines], float)
-    smoothed = smooth(sizes / np.array([n for _, n, *_ in page.lines]))
+    ratios = sizes / np.array([n for _, n, *_ in page.lines])
+    smoothed = smooth(ratios)
     shown = np.array([not hidden for _, _, _, hidden, *_ in page.lines])
     if not shown.any():
         return ""
     mass = np.where((smoothed >= smoothed.std()) & shown, sizes, 0.0)
     if not mass.any():
         mass = np.where(shown, sizes, 0.0)
-    held: dict[tuple[int, str], float] = {}
-    for (_, _, path, *_), m in zip(page.lines, mass):
-        for c in path:
-            held[c] = held.get(c, 0.0) + m
-    enough = {c for c, m in held.items() if m >= MASS * mass.sum()}
-    regions = {c for c in enough if c[1] in REGIONS}
-    # the innermost article; else the innermost container, as numbers rise inwards; else the page
-    region = max(regions or enough, default=None)
-    inner = region
-    if inner is not None:
-        around = next(path[: path.index(inner)] for _, _, path, *_ in page.lines if inner in path)
-        adds = [path for (_, _, path, hidden, title, linked), m in zip(page.lines, mass) if not hidden and inner not in path and (title or m > 0 and not linked)]
-        if adds:
-            # the innermost container of the region and of all that is added
-            depth = min(sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(path, around))) for path in adds)
-            region = around[depth - 1] if depth else None
+    n = len(page.parent)
+    held, depth = np.zeros(n + 1), np.zeros(n + 1, int)
+    places = np.array([place for _, _, place, *_ in page.lines])
+    np.add.at(held, places, mass)  # the last place stands for no container
+    for c in range(n - 1, -1, -1):  # inner ones have higher numbers
+        held[page.parent[c]] += held[c]
+    for c in range(n):
+        depth[c] = depth[page.parent[c]] + 1 if page.parent[c] >= 0 else 1
+    enough = [c for c in range(n) if held[c] >= MASS * mass.sum()]
+    # the innermost article; else the innermost container; else the page
+    inner = max([c for c in enough if page.kind[c] in REGIONS] or enough, default=-1)
+
+    def meet(a: int, b: int) -> int:
+        while a != b:
+            if a < 0 or b < 0:
+                return -1
+            a, b = (page.parent[a], b) if depth[a] >= depth[b] else (a, page.parent[b])
+        return a
+
+    def within(c: int, memo: dict[int, bool], top: int) -> bool:
+        path = []
+        while c not in memo and c != top and c >= 0:
+            path.append(c)
+            c = page.parent[c]
+        found = memo.get(c, c == top)
+        memo.update(dict.fromkeys(path, found))
+        return found
+
+    in_inner: dict[int, bool] = {}
+    own = [inner < 0 or within(c, in_inner, inner) for c in places]
+    # the innermost container of the region and of the shown titles and content lines elsewhere, which are so by their own ratio too
+    region = inner
+    content = (mass > 0) & (ratios >= smoothed.std())
+    for (_, _, place, hidden, title, linked), m, o in zip(page.lines, content, own):
+        if not hidden and not o and region >= 0 and (title or m and not linked):
+            region = meet(region, place)
+    in_region: dict[int, bool] = {}
     return JOIN.join(
-        t for (t, _, path, hidden, title, linked) in page.lines
-        if not hidden and (inner is None or inner in path or (region is None or region in path) and (title or not linked))
+        t for (t, _, place, hidden, title, linked), o in zip(page.lines, own)
+        if not hidden and (o or (region < 0 or within(place, in_region, region)) and (title or not linked))
     )
 
 

@@ -81,22 +81,22 @@ _TOKENS = (
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
-     b AS (SELECT item_id, {_TOKENS} AS ws FROM benchmark),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS ws FROM documents),
+     b AS (SELECT item_id, {_TOKENS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
      bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS win
             FROM (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS k
                   FROM b WHERE len(ws) > 0)),
-     dw AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS win
-            FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k
+     dw AS (SELECT r, n, k, array_to_string(ws[k:k + n - 1], ' ') AS win
+            FROM (SELECT r, n, ws, unnest(range(1, len(ws) - n + 2)) AS k
                   FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
-     hit AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN bw USING (n, win)),
-     cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit
-             FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
-     its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
-             FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+     hit AS (SELECT r, k, dw.n, item_id FROM dw JOIN bw USING (n, win)),
+     cov AS (SELECT r, count(DISTINCT p) AS n_hit
+             FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
+     its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+             FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hit) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""")
+FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)""")
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a ten-word run of a benchmark item."""
     found = decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
