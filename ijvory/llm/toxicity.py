@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import slices
+from ijvory.llm.common import cut, slices
 
 #: Bounds: labelled documents learnt from (about), features screened for each category; folds.
 SAMPLE_ROWS, SCREENED, FOLDS = 6_000, 2_000, 3
@@ -102,8 +102,10 @@ class Chain:
         """``doc_id`` and ``p_<category>`` for every row of ``docs``, over its whole text.
 
         A null text has no words; repeated rows and null ids come out as they
-        are; an empty table gives an empty one; other columns are not read. A
-        category that the sample has in one class only has probability 0.
+        are; an empty table gives an empty one; other columns are not read; ids
+        are cast to long. A category that the sample has in one class only has
+        probability 0. A document counts as one of a category above 0.5; at 0.5
+        it does not.
         """
         shared, names = docs.sparkSession.sparkContext.broadcast(self), [f"p_{c}" for c in self.models]
 
@@ -116,32 +118,43 @@ class Chain:
         return both.mapInArrow(run, "doc_id long" + "".join(f", `{x}` double" for x in names))
 
 
-def _screen(sample: DataFrame, categories: list[str], screened: int) -> dict[str, list[str]]:
-    """For each category the features whose share of documents differs most between its classes."""
+def _screen(sample: DataFrame, categories: list[str], screened: int) -> dict[str, list[list[str]]]:
+    """For each category the features whose share of documents differs most between its classes.
+
+    The first list is of all documents; list f + 1 is of those outside fold f, so that a fold's
+    out-of-fold predictions come from features that its own labels had no part in choosing.
+    """
+    names = ["n", *categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for b in batches:
             ys = np.array([b.column(f"y_{c}").to_numpy(zero_copy_only=False) for c in categories]).T
-            for text, y in zip(b.column("text").to_pylist(), ys):
-                one = np.array([1.0, *y])
+            for text, fold, y in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), ys):
+                one = np.zeros((FOLDS, len(names)))
+                one[fold] = [1.0, *y]
                 for f in features(text):
                     counts[f] = counts[f] + one if f in counts else one
         if counts:
-            yield pa.record_batch([pa.array(list(counts)), *[pa.array(x) for x in np.array(list(counts.values())).T]], names=["feature", "n", *categories])
-
-    schema = "feature string, n double" + "".join(f", `{c}` double" for c in categories)
-    sums = [F.sum(f"`{c}`").alias(c) for c in ("n", *categories)]
-    table = sample.mapInArrow(run, schema).groupBy("feature").agg(*sums).where(F.col("n") >= LEAST_DOCUMENTS)
-    whole = sample.agg(F.count("*"), *[F.sum(f"y_{c}") for c in categories]).first()
-    kept: dict[str, list[str]] = {c: [] for c in categories}
-    for c, pos in zip(categories, whole[1:]):
-        neg = whole[0] - (pos or 0)
-        if pos and neg:
-            share = F.col("n") / whole[0]
-            gap = F.abs(F.col(f"`{c}`") / pos - (F.col("n") - F.col(f"`{c}`")) / neg)
-            z = gap / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
-            kept[c] = [r["feature"] for r in table.orderBy(z.desc(), "feature").select("feature").limit(screened).collect()]
+            columns = np.array(list(counts.values())).reshape(len(counts), -1).T
+            yield pa.record_batch([pa.array(list(counts)), *[pa.array(x) for x in columns]], names=["feature", *held])
+
+    held = [f"{name}_{f}" for f in range(FOLDS) for name in names]
+    table = sample.mapInArrow(run, "feature string" + "".join(f", `{x}` double" for x in held))
+    table = cut(table.groupBy("feature").agg(*[F.sum(f"`{x}`").alias(x) for x in held]))
+    whole = {r["fold"]: r for r in sample.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(f"y_{c}").alias(c) for c in categories]).collect()}
+    kept: dict[str, list[list[str]]] = {c: [] for c in categories}
+    for c in categories:
+        for out in (None, *range(FOLDS)):
+            folds = [f for f in range(FOLDS) if f != out]
+            size, pos = (sum(whole[f][x] for f in folds if f in whole) for x in ("n", c))
+            neg, found = size - pos, []
+            if pos and neg:
+                n, yes = (sum((F.col(f"`{x}_{f}`") for f in folds), F.lit(0.0)) for x in ("n", c))
+                share = n / size
+                z = F.abs(yes / pos - (n - yes) / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
+                found = [r["feature"] for r in table.where(n >= LEAST_DOCUMENTS).orderBy(z.desc(), "feature").select("feature").limit(screened).collect()]
+            kept[c].append(found)
     return kept
 
 
@@ -160,8 +173,10 @@ def fit(
     named = named.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = rows.join(F.broadcast(named), F.col("doc_id") == F.col("label_id")).drop("label_id")
+    # settled once: it is read for the screening and again for the features
+    sample = cut(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")))
     kept = _screen(sample, categories, screened)
-    place = {f: k for k, f in enumerate(sorted({f for fs in kept.values() for f in fs}))}
+    place = {f: k for k, f in enumerate(sorted({f for lists in kept.values() for fs in lists for f in fs}))}
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,15 +184,15 @@ def fit(
             found = [{shared.value[f]: n for f, n in features(t).items() if f in shared.value} for t in b.column("text").to_pylist()]
             kept = [pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
             ys = [b.column(f"y_{c}") for c in categories]
-            yield pa.record_batch([b.column("doc_id"), *ys, *kept], names=["doc_id", *[f"y_{c}" for c in categories], "cols", "counts"])
+            yield pa.record_batch([b.column("doc_id"), b.column("fold"), *ys, *kept], names=["doc_id", "fold", *[f"y_{c}" for c in categories], "cols", "counts"])
 
-    schema = "doc_id long" + "".join(f", `y_{c}` double" for c in categories) + ", cols array<int>, counts array<int>"
-    data = sample.mapInArrow(run, schema).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))).collect()
+    schema = "doc_id long, fold int" + "".join(f", `y_{c}` double" for c in categories) + ", cols array<int>, counts array<int>"
+    data = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema).collect()
     data.sort(key=lambda r: (r["doc_id"], r["cols"]))
     return _fit(data, list(place), kept)
 
 
-def _fit(data: list, names: list[str], kept: dict[str, list[str]]) -> Chain:
+def _fit(data: list, names: list[str], kept: dict[str, list[list[str]]]) -> Chain:
     """The chain of the categories in ``kept``, each on its own screened features and the probabilities before."""
     n, width, categories = len(data), len(names), list(kept)
     fold = np.array([r["fold"] for r in data], int)
@@ -187,25 +202,24 @@ def _fit(data: list, names: list[str], kept: dict[str, list[str]]) -> Chain:
     models: dict[str, tuple[dict[str, float], float, list[float]]] = {}
     for k, c in enumerate(categories):
         y = np.array([r[f"y_{c}"] for r in data])
-        size, own_names = width + k, set(kept[c])
-        allowed = np.array([f in own_names for f in names] + [True] * k, bool)
 
-        def model(use, y=y, size=size, allowed=allowed):
-            """Weights from the rows in ``use``."""
+        def model(use, screened, y=y, k=k):
+            """Weights from the rows in ``use`` and the features in ``screened``."""
+            own = set(screened)
+            allowed = np.array([f in own for f in names] + [True] * k, bool)
             here = use[rows] & allowed[cols]
-            return lasso(np.cumsum(use)[rows[here]] - 1, cols[here], values[here], y[use], size)
+            return lasso(np.cumsum(use)[rows[here]] - 1, cols[here], values[here], y[use], width + k)
 
+        ahead = np.zeros(n)
         if n == 0 or y.min() == y.max():
             models[c] = {}, -np.inf, [0.0] * k
-            ahead = np.zeros(n)
         else:
-            w, b = model(np.ones(n, bool))
+            w, b = model(np.ones(n, bool), kept[c][0])
             models[c] = {names[j]: float(w[j]) for j in np.flatnonzero(w[:width])}, float(b), [float(x) for x in w[width:]]
-            ahead = np.zeros(n)
             for f in range(FOLDS):
                 own = fold == f
                 if own.any() and not own.all():
-                    w, b = model(~own)
+                    w, b = model(~own, kept[c][f + 1])
                     ahead[own] = _sigmoid(np.bincount(rows, values * w[cols], n) + b)[own]
         # the out-of-fold probability is one more column for the later models
         rows, cols, values = np.append(rows, np.arange(n)), np.append(cols, np.full(n, width + k)), np.append(values, ahead)
