@@ -1,64 +1,67 @@
-"""Factors of one large matrix by sweeps: every entry of L and U is computed anew from the last sweep's, by joins.
-
-An entry is final one sweep after those that it needs, so the sweeps end after
-as many rounds as the elimination tree is high. On the pattern of the matrix
-they give the incomplete factors, on the filled pattern the complete ones.
-"""
+"""Factors of one large matrix, by the rounds of ``elimination``: LU, Cholesky, their incomplete forms, updates and solves."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.functions.columns import quotient
-from ijvory.operators.graphs import graph_of_sum
-from ijvory.operators.products import spgemm
+from ijvory.operators.elimination import Factors, eliminate, threshold_pivots
+from ijvory.operators.products import add_vectors, spmv
 from ijvory.operators.rounds import settle
-from ijvory.operators.shape import transpose
-from ijvory.operators.trees import fill_pattern
+from ijvory.operators.structure import norm1
 
 
-def filled(a: DataFrame) -> DataFrame:
-    """``(i, j)``: where L + U of a matrix without pivoting has entries, from the pattern of A + Aᵀ."""
-    lower = fill_pattern(graph_of_sum(a))
-    diag = a.select(F.explode(F.array("i", "j")).alias("i")).distinct().select("i", F.col("i").alias("j"))
-    return lower.unionByName(lower.select(F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(diag)
+def _one_relation(factors: Factors) -> DataFrame:
+    """``(i, j, v)``: U on and above the diagonal, the unit lower L below it, of an elimination in the given order."""
+    pivots, lower, upper = factors.parts()
+    diag = pivots.select("i", "j", F.col("d").alias("v"))
+    return diag.unionByName(lower.select("i", F.col("p").alias("j"), "v")).unionByName(upper.select(F.col("p").alias("i"), "j", "v"))
 
 
-def incomplete_lu(a: DataFrame, pattern: DataFrame | None = None, tol: float = 1e-13, most: int = 10_000) -> DataFrame:
-    """``(i, j, v)``: U on and above the diagonal, the unit lower L below it, on ``pattern`` (A's own if None).
+def lu_no_pivots(a: DataFrame) -> DataFrame:
+    """Complete L and U without pivoting, in one relation. A pivot of zero is an error."""
+    return _one_relation(eliminate(a))
 
-    Sweeps stop when no entry changes by more than ``tol`` of the largest.
-    A pivot of zero is an error.
-    """
-    own = a.groupBy("i", "j").agg(F.sum("v").alias("a"))
-    cells = own if pattern is None else pattern.distinct().join(own, ["i", "j"], "left").select("i", "j", F.coalesce("a", F.lit(0.0)).alias("a"))
-    x = settle(cells.select("i", "j", "a", F.col("a").alias("v")))
-    for _ in range(most):
-        low = x.where("i > j").select("i", F.col("j").alias("k"), F.col("v").alias("l"))
-        up = x.where("i < j").select(F.col("i").alias("k"), "j", F.col("v").alias("u"))
-        sums = low.join(up, "k").groupBy("i", "j").agg(F.sum(F.col("l") * F.col("u")).alias("s"))
-        pivots = x.where("i = j").select("j", F.col("v").alias("d"))
-        less = F.col("a") - F.coalesce("s", F.lit(0.0))
-        new = x.join(sums, ["i", "j"], "left").join(pivots, "j", "left")
-        value = F.when(F.col("i") > F.col("j"), quotient(less, F.coalesce("d", F.lit(0.0)))).otherwise(less)
-        x = settle(new.select("i", "j", "a", value.alias("v"), F.abs(value - F.col("v")).alias("moved")))
-        moved, largest = x.agg(F.max("moved"), F.max(F.abs("v"))).first()
-        if moved is None or moved <= tol * largest:
-            break
-    odd = x.where("i = j AND (v = 0 OR isnan(v))")
-    if not odd.isEmpty():
-        raise ZeroDivisionError("a pivot is zero")
-    return x.select("i", "j", "v")
 
+def incomplete_lu(a: DataFrame, pattern: DataFrame | None = None) -> DataFrame:
+    """The same on ``pattern`` (A's own if None); other updates are left out."""
+    return _one_relation(eliminate(a, pattern=settle((a if pattern is None else pattern).select("i", "j").distinct())))
 
-def lu_no_pivots(a: DataFrame) -> DataFrame:
-    """Complete L and U without pivoting, in one relation as from ``incomplete_lu``."""
-    return incomplete_lu(a, filled(a))
+
+def incomplete_lu_threshold(a: DataFrame, drop_tol: float, tol: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pivots, L and U as ``lu``; entries of U of at most ``drop_tol``, and multipliers of at most that, are left out."""
+    if drop_tol < 0:
+        raise ValueError("drop_tol is negative")
+
+    def drop(next_to: DataFrame) -> DataFrame:
+        size = F.abs(F.col("v") / F.col("d")) if "p" in next_to.columns else F.abs("v")
+        return next_to.where(size > drop_tol)
+
+    return _with_steps(eliminate(a, threshold_pivots(tol), drop=drop))
+
+
+def _with_steps(factors: Factors) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from ijvory.operators.orderings import before
+
+    pivots, lower, upper = factors.parts()
+    pivots = settle(before(pivots, ["round", "place", "i"], F.lit(1).cast("long"), "k").select("k", "i", "j", "d"))
+    at = pivots.select(F.col("i").alias("p"), "k")
+    low = lower.join(at, "p").select("i", F.col("k").alias("j"), "v").unionByName(pivots.select("i", F.col("k").alias("j"), F.lit(1.0).alias("v")))
+    up = upper.join(at, "p").select(F.col("k").alias("i"), "j", "v").unionByName(pivots.select(F.col("k").alias("i"), "j", F.col("d").alias("v")))
+    return pivots, low, up
+
+
+def lu(a: DataFrame, tol: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pivots ``(k, i, j, d)``, L ``(i, k)`` and U ``(k, j)`` as matrices with A = L U, for a matrix of any shape and rank.
+
+    Step k takes row i and column j. Pivots have ``tol`` of their column's largest entry or more;
+    there are as many as the rank. L's rows and U's columns are those of A, not permuted.
+    """
+    return _with_steps(eliminate(a, threshold_pivots(tol)))
 
 
 def lower_of(factors: DataFrame) -> DataFrame:
-    """The unit lower factor."""
+    """The unit lower factor of one relation."""
     diag = factors.where("i = j").select("i", "j", F.lit(1.0).alias("v"))
     return factors.where("i > j").unionByName(diag)
 
@@ -80,19 +83,151 @@ def _mirrored(a: DataFrame) -> DataFrame:
     return upper.unionByName(upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
 
+def _definite(a: DataFrame, **more) -> DataFrame:
+    try:
+        return settle(_rooted(settle(_one_relation(eliminate(_mirrored(a), **more)))))
+    except ZeroDivisionError:
+        raise ValueError("not positive definite") from None
+
+
 def cholesky(a: DataFrame) -> DataFrame:
     """L with L Lᵀ = A; only the upper triangle is read; an error if A is not positive definite."""
-    a = _mirrored(a)
-    return _rooted(incomplete_lu(a, filled(a)))
+    return _definite(a)
 
 
 def incomplete_cholesky(a: DataFrame) -> DataFrame:
     """L on the pattern of A's lower triangle, L Lᵀ equal to A there; only the upper triangle is read."""
-    return _rooted(incomplete_lu(_mirrored(a)))
+    both = _mirrored(a)
+    return _definite(a, pattern=settle(both.select("i", "j").distinct()))
+
+
+def incomplete_cholesky_threshold(a: DataFrame, drop_tol: float) -> DataFrame:
+    """L without its entries of at most ``drop_tol`` times their row's diagonal in A; only the upper triangle is read."""
+    if drop_tol < 0:
+        raise ValueError("drop_tol is negative")
+    diag = settle(a.where("i = j").groupBy("i").agg(F.abs(F.sum("v")).alias("own")).select(F.col("i").alias("far"), "own"))
+
+    def drop(next_to: DataFrame) -> DataFrame:
+        # the row of the factor is that of the end that is not the pivot
+        far = F.col("i") if "p" in next_to.columns else F.col("j")
+        names = next_to.columns
+        return next_to.withColumn("far", far).join(diag, "far").where(F.abs("v") / F.sqrt(F.abs("d")) > drop_tol * F.col("own")).select(names)
+
+    return _definite(a, drop=drop)
 
 
 def cholesky_update(lower: DataFrame, w: DataFrame, sign: float = 1.0) -> DataFrame:
-    """The factor of L Lᵀ + sign w wᵀ for a vector ``(i, v)``."""
-    outer = spgemm(w.select("i", F.lit(0).cast("long").alias("j"), "v"), w.select(F.lit(0).cast("long").alias("i"), F.col("i").alias("j"), "v"))
-    product = spgemm(lower, transpose(lower)).unionByName(outer.withColumn("v", F.col("v") * sign))
-    return cholesky(settle(product.groupBy("i", "j").agg(F.sum("v").alias("v"))))
+    """The factor of L Lᵀ + sign w wᵀ for a vector ``(i, v)``, sign 1 or -1.
+
+    Walks the path of the elimination tree from w's first entry: one column of L and what is left of
+    w change at each node, and nothing else is read. Where w has entries that the column does
+    not have, the column fills up. An error if the result is not positive definite.
+    """
+    rest = settle(w.where("v <> 0").groupBy("i").agg(F.sum("v").alias("v")))
+    lower, beta, done = settle(lower), 1.0, []
+    while True:
+        first = rest.where("v <> 0").agg(F.min_by(F.struct("i", "v"), "i").alias("x")).first()["x"]
+        if first is None:
+            break
+        j = first["i"]
+        column = lower.where(F.col("j") == j)
+        d = column.where("i = j").first()
+        if d is None or d["v"] == 0:
+            raise ValueError("no diagonal entry")
+        alpha = first["v"] / d["v"]
+        square = beta * beta + sign * alpha * alpha
+        if square <= 0:
+            raise ValueError("not positive definite")
+        new = square**0.5
+        scale, gain = (beta / new, alpha / (new * beta)) if sign > 0 else (new / beta, -alpha / (new * beta))
+        both = column.select("i", F.col("v").alias("l")).join(rest.select("i", F.col("v").alias("w")), "i", "full_outer")
+        both = settle(both.select("i", F.coalesce("l", F.lit(0.0)).alias("l"), F.coalesce("w", F.lit(0.0)).alias("w")))
+        left = F.col("w") - alpha * F.col("l")
+        value = scale * F.col("l") + gain * (F.col("w") if sign > 0 else F.when(F.col("i") == j, 0.0).otherwise(left))
+        done.append((j, both.select("i", F.lit(j).alias("j"), value.alias("v"))))
+        rest = settle(both.where(F.col("i") > j).select("i", left.alias("v")))
+        beta = new
+    if not done:
+        return lower
+    out = lower.where(~F.col("j").isin([j for j, _ in done]))
+    for _, column in done:
+        out = out.unionByName(column)
+    return out
+
+
+# Solving with factors; right sides are ``(i, k, v)`` or ``(i, v)``.
+
+
+def _sides(b: DataFrame) -> tuple[DataFrame, bool]:
+    return (b, False) if "k" in b.columns else (b.withColumn("k", F.lit(0)), True)
+
+
+def _solved(factors: Factors, b: DataFrame) -> DataFrame:
+    b, single = _sides(b)
+    x = factors.solve(b)
+    return x.drop("k") if single else x
+
+
+def chol_solve(a: DataFrame, b: DataFrame) -> DataFrame:
+    """x of A x = b for a positive definite A, of which only the upper triangle is read."""
+    factors = eliminate(_mirrored(a))
+    if any(not pivots.where("d <= 0").isEmpty() for pivots, _, _ in factors.rounds):
+        raise ValueError("not positive definite")
+    return _solved(factors, b)
+
+
+def lu_solve(a: DataFrame, b: DataFrame, tol: float = 1.0, refine: int = 0) -> DataFrame:
+    """x of A x = b for a square A, pivots chosen by size; ``refine`` steps solve for the residual again. An error if A is singular."""
+    a = settle(a)
+    factors = eliminate(a, threshold_pivots(tol))
+    b, single = _sides(b)
+    x = factors.solve(b)
+    for _ in range(refine):
+        ax = a.join(x.select(F.col("i").alias("j"), "k", F.col("v").alias("x")), "j").select("i", "k", (-F.col("v") * F.col("x")).alias("v"))
+        more = factors.solve(b.select("i", "k", "v").unionByName(ax))
+        x = settle(x.unionByName(more).groupBy("i", "k").agg(F.sum("v").alias("v")))
+    return x.drop("k") if single else x
+
+
+def lu_solve_transposed(a: DataFrame, b: DataFrame, tol: float = 1.0) -> DataFrame:
+    """x of Aᵀ x = b, from the factors of A."""
+    return _solved(eliminate(a, threshold_pivots(tol)).transposed(), b)
+
+
+def inverse_norm1(a: DataFrame, n: int, steps: int = 5) -> float:
+    """An estimate from below of the 1-norm of the inverse of an n x n matrix: the largest column that a few solves with A and Aᵀ lead to."""
+    if n == 0:
+        raise ValueError("an empty matrix has no inverse")
+    factors = eliminate(a, threshold_pivots())
+    back, at, best = factors.transposed(), None, 0.0
+    x = a.sparkSession.range(n).select(F.col("id").alias("i"), F.lit(1.0 / n).alias("v"))
+    for _ in range(steps):
+        y = settle(_solved(factors, x))
+        size = y.agg(F.sum(F.abs("v"))).first()[0] or 0.0
+        if size <= best and at is not None:
+            break
+        best = max(best, size)
+        sign = y.select("i", F.when(F.col("v") < 0, -1.0).otherwise(1.0).alias("v"))
+        z = settle(_solved(back, sign))
+        top = z.agg(F.max_by(F.struct("i", "v"), F.struct(F.abs("v"), -F.col("i"))).alias("x")).first()["x"]
+        if top["i"] == at:
+            break
+        at = top["i"]
+        x = a.sparkSession.range(at, at + 1).select(F.col("id").alias("i"), F.lit(1.0).alias("v"))
+    return best
+
+
+def condition1(a: DataFrame, n: int) -> float:
+    """An estimate of the condition number in the 1-norm; infinite for a singular matrix."""
+    a = settle(a)
+    try:
+        return norm1(a).first()["v"] * inverse_norm1(a, n)
+    except Exception as e:
+        if "singular" in str(e):
+            return float("inf")
+        raise
+
+
+def residual(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
+    """``(i, v)``: b - A x for single right sides."""
+    return add_vectors(b, spmv(a, x), 1.0, -1.0)
