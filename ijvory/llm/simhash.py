@@ -149,7 +149,7 @@ def near_duplicates(
 
 
 #: Keys with more texts than CROWDED are settled by representatives; FEW of them in the first round, GROWTH times as many in each next one.
-CROWDED, FEW, GROWTH = 64, 8, 8
+CROWDED, FEW, GROWTH = 32, 8, 8
 #: Shingles that count as common: one text in SAMPLED is looked at, the COMMON shingles most often seen OFTEN times or more are taken.
 SAMPLED, OFTEN, COMMON = 16, 6, 100_000
 
@@ -325,11 +325,13 @@ def _alike(pairs: DataFrame, drawn: DataFrame, docs: DataFrame, text_col: str, s
                 keep.append(c >= similarity * (len(p) + len(q) - c) - 1e-9)
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda name: drawn.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    own = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    mine = small(cut(drawn.join(own, "node", "left_semi")))
+    side = lambda name: mine.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
     likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(may, "a long, b long"))
     ends = small(cut(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    texts = _texts(docs, text_col, drawn.join(ends, "node", "left_semi").select("node", "content"))
+    texts = _texts(docs, text_col, mine.join(ends, "node", "left_semi").select("node", "content"))
     held = lambda name: texts.select(F.col("node").alias(name), F.col("z").alias(f"z{name}"))
     return cut(likely.join(held("a"), "a").join(held("b"), "b").select("a", "b", "za", "zb").mapInArrow(same, "a long, b long"))
 
@@ -349,11 +351,11 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
     """``(node, root)`` for the nodes that are like another one: components of all pairs with the similarity.
 
     Fingerprints propose pairs first; those that the exact similarity confirms tie most copies. An
-    exact prefix join then finds what fingerprints cannot, among texts not yet tied: texts that
-    share a key of few texts are compared pair by pair; of a crowded key some members, by their
-    hash, are compared with all others that are not yet in their component, and with them the
-    member that has most links so far; more of them each round, until the key is one component or
-    every member has been compared.
+    exact prefix join then finds what fingerprints cannot, among texts not yet tied. Of a crowded
+    key some members, by their hash, are compared with all others that are not yet in their
+    component, and with them the member that has most links so far; more of them each round, until
+    the key is one component or every member has been compared. Texts that share a key of few
+    texts and are not tied by then are compared pair by pair.
     """
     index = _prefixes(docs, text_col, shingle, similarity)
     index = cut(_counted(index))
@@ -364,11 +366,6 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
     links_ = _alike(_by_fingerprint(rows, sharing), drawn, docs, text_col, shingle, similarity)
     tied = components(links_)
     index = cut(index.where(F.col("n") <= CROWDED).unionByName(_by_size(index.where(F.col("n") > CROWDED), similarity)))
-    few = index.where(F.col("n") <= CROWDED).join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
-    pairs = _side(few, "a", "root").join(_side(few, "b", "root"), "key").where(apart & _may(similarity)).select("a", "b")
-    links_ = cut(links_.unionByName(_alike(pairs, drawn, docs, text_col, shingle, similarity)))
-    tied = components(links_)
     spread = (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
     crowd = index.where(F.col("n") > CROWDED).select("*", spread)
     before, now = 0, FEW
@@ -380,7 +377,7 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
         open_keys = open_keys.where("r0 <> r1").select("key", F.when(F.col("top.degree") > 0, F.col("top.node")).alias("hub"))
         crowd = cut(known.join(open_keys, "key").select("key", "node", "at", "size", "n", "u", "root", "hub"))
         if crowd.isEmpty():
-            return tied
+            break
         lead = crowd.where((F.col("u") >= before / F.col("n")) & (F.col("u") < now / F.col("n")) | (F.col("node") == F.col("hub")))
         pairs = _side(lead, "a", "root").join(_side(crowd, "b", "root"), "key").where((F.col("a_root") != F.col("b_root")) & _may(similarity)).select("a", "b")
         found = _alike(pairs, drawn, docs, text_col, shingle, similarity)
@@ -389,6 +386,10 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
             tied = components(links_)
         crowd = crowd.select("key", "node", "at", "size", "n", "u")
         before, now = now, now * GROWTH
+    few = index.where(F.col("n") <= CROWDED).join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
+    pairs = _side(few, "a", "root").join(_side(few, "b", "root"), "key").where(apart & _may(similarity)).select("a", "b")
+    return components(links_.unionByName(_alike(pairs, drawn, docs, text_col, shingle, similarity)))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
