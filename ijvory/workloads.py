@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ijvory.operators import access, blocks, factors, graphs, maintain, orderings, products, shape, structure, trees, triangular, vectors
-from ijvory.operators.rounds import shared_folder
+from ijvory.operators.rounds import settle, shared_folder
 from ijvory.plans import by_blocks, solver
 from ijvory.sources import triplets
 from ijvory.streaming import deltas
@@ -413,7 +413,7 @@ SELECT i, j, sum(v) v FROM (SELECT * FROM c UNION ALL SELECT e.i, e.j, nrm FROM
 def spgemm_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D = A Aᵀ + ‖A Aᵀ‖₁ I for SP."""
     a = supplier_part(spark, sf_dir)
-    c = products.spgemm(a, shape.transpose(a))
+    c = settle(products.spgemm(a, shape.transpose(a)))
     eye = a.select("i").distinct().select("i", F.col("i").alias("j"))
     shift = eye.crossJoin(F.broadcast(structure.norm1(c)))
     return maintain.sum_duplicates(c.unionByName(shift))
