@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ijvory.llm import decontam, html_extract, langid, mixing, pii, simhash, suffix_dedup, token_counts, topk, toxicity
+from ijvory.llm import decontam, fingerprints, html_extract, langid, manifest, mixing, pii, simhash, spelling, suffix_dedup, token_counts, topk, toxicity
 from ijvory.llm.common import LOWER, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,89 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without the 50-byte strings of smaller documents."""
     return suffix_dedup.removed_bytes(documents(spark, sf_dir))
+
+
+#: DuckDB has no CRC-32: one step of it by a table of its 256 bytes, made from the polynomial.
+_CRC = """
+crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS t FROM range(256) r(b))"""
+
+
+def _crc32(blob: str) -> str:
+    """SQL for the unsigned CRC-32 of ASCII or Latin-1 letters' UTF-8 bytes, beside the table ``crc``."""
+    code = f"list_transform(string_split({blob}, ''), lambda c: ord(c))"
+    octets = f"flatten(list_transform({code}, lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + u // 64, 128 + u % 64] END))"
+    step = "xor(c // 256, t[xor(c % 256, b::BIGINT) + 1])"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+@query(f"""
+WITH RECURSIVE {_CRC},
+  runs AS (SELECT doc_id, translate(run, '{LOWER.upper()}', '{LOWER}') AS run, count(*) AS m
+           FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY 1, 2),
+  hashed AS (SELECT run, m, {_crc32("doc_id::VARCHAR || ':' || run")} AS h FROM runs, crc WHERE doc_id IS NOT NULL
+             UNION ALL SELECT run, m, 1 FROM runs WHERE doc_id IS NULL),
+  v AS (SELECT w AS word, sum(m)::BIGINT AS n
+        FROM (SELECT m, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS w FROM hashed)
+        WHERE length(w) >= 5 GROUP BY 1 HAVING sum(m) >= 3),
+  del AS (SELECT DISTINCT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS p FROM v)),
+  near AS (SELECT a.word, b.word AS other, b.n AS m FROM del a JOIN del b ON a.p = b.p AND a.d = b.d AND a.word <> b.word
+           UNION SELECT a.word, b.word, b.n FROM del a JOIN v b ON a.d = b.word
+           UNION SELECT b.word, a.word, a.n FROM del a JOIN v b ON a.d = b.word),
+  best AS (SELECT word, count(*) AS n_near, max(m) AS top FROM near GROUP BY 1),
+  f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * v.n THEN (SELECT min(other) FROM near x WHERE x.word = v.word AND x.m = top) END AS form,
+               CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+  up(word, pos) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.pos WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.pos AS root, f.n, f.n_near, f.form_n FROM f JOIN up USING (word) JOIN f g ON g.word = up.pos WHERE g.form IS NULL""")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the spelling that each is a variant of."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+_SIZED = {c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in manifest.FIELDS}
+_LEAF = "sha256({})".format(" || ".join(_SIZED.values()))
+_OTHER = "sha256({})".format(" || ".join((_SIZED | {"n_chars": _SIZED["n_chars"].replace("n_chars", "(n_chars + 1)")}).values()))
+
+
+@query(f"""
+WITH RECURSIVE {_CRC},
+  leaf AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree,
+                  CASE WHEN {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN other ELSE leaf END AS checked
+           FROM (SELECT doc_id, lang, {_LEAF} AS leaf, {_OTHER} AS other FROM documents), crc),
+  node(tree, level, pos, h, n) AS (
+    SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM leaf
+    UNION ALL
+    SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), max((n + 1) // 2) FROM node WHERE n > 1 GROUP BY tree, level, pos // 2),
+  sub AS (SELECT tree AS pos, h FROM node WHERE n = 1),
+  top(level, pos, h, n) AS (
+    SELECT 0, pos, h, count(*) OVER () FROM sub
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), max((n + 1) // 2) FROM top WHERE n > 1 GROUP BY level, pos // 2),
+  path(doc_id, leaf, tree, level, pos, h, sib) AS (
+    SELECT doc_id, leaf, tree, 0, pos, checked, '' FROM leaf
+    UNION ALL
+    SELECT p.doc_id, p.leaf, p.tree, p.level + 1, p.pos // 2,
+           sha256(CASE WHEN x.h IS NULL THEN p.h WHEN p.pos % 2 = 0 THEN p.h || x.h ELSE x.h || p.h END), p.sib || coalesce(x.h, '')
+    FROM path p JOIN node o ON o.tree = p.tree AND o.level = p.level AND o.pos = p.pos AND o.n > 1
+         LEFT JOIN node x ON x.tree = p.tree AND x.level = p.level AND x.pos = xor(p.pos, 1)),
+  low AS (SELECT p.* FROM path p JOIN node o ON o.tree = p.tree AND o.level = p.level AND o.n = 1),
+  over_(doc_id, leaf, tree, level, pos, h, sib) AS (
+    SELECT doc_id, leaf, tree, 0, tree, h, sib FROM low
+    UNION ALL
+    SELECT p.doc_id, p.leaf, p.tree, p.level + 1, p.pos // 2,
+           sha256(CASE WHEN x.h IS NULL THEN p.h WHEN p.pos % 2 = 0 THEN p.h || x.h ELSE x.h || p.h END), p.sib || coalesce(x.h, '')
+    FROM over_ p JOIN top o ON o.level = p.level AND o.pos = p.pos AND o.n > 1 LEFT JOIN top x ON x.level = p.level AND x.pos = xor(p.pos, 1))
+SELECT p.doc_id, p.leaf, sub.h AS subroot, r.h AS root, sha256(p.sib) AS proof_sha256, p.h AS folded_root, p.h = r.h AS verified
+FROM over_ p JOIN top r ON r.n = 1 AND p.level = r.level JOIN sub ON sub.pos = p.tree""")
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document in a Merkle tree by language, and the check of tampered ones."""
+    return manifest.manifest(documents(spark, sf_dir))
+
+
+@query()
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with another end, and how near they and the next document are."""
+    found = fingerprints.compared_to_next(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.listed(F.col("fp")).alias("fingerprint"), fingerprints.listed(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited", "near_next", "alike_edited", "alike_next",
+    )
