@@ -123,8 +123,9 @@ def compared_to_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     before = places.select(((F.col("at") + 1) % n if n else F.col("at")).alias("at"), F.col("key").alias("owner"), F.col("size").alias("owner_size"))
     links = cut(places.join(before, "at").select("key", "owner", "owner_size"))
 
-    dealt = rows.repartition("key").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    own = dealt.select("key", "doc_id", "text", "copies", sketch(F.col("text"), shingle, scale, least).alias("fp"))
+    # id and text in one column, so that both sides of the join below need the same and share this exchange
+    dealt = rows.select("key", F.struct("doc_id", "text").alias("row")).repartition("key").groupBy("key").agg(F.first("row").alias("row"), F.count("*").alias("copies"))
+    own = dealt.select("key", "row.doc_id", "row.text", "copies", sketch(F.col("row.text"), shingle, scale, least).alias("fp"))
     given = own.join(links, "key").select(F.col("owner").alias("key"), F.substring("text", F.lit(1), F.floor(F.col("owner_size") / 2).cast("int")).alias("more"), F.col("fp").alias("next_fp"))
     both = own.join(given, "key")
     # copies but the last are followed by a copy
