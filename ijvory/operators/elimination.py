@@ -20,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.operators.rounds import settle
+from ijvory.operators.rounds import NotPositiveDefinite, SingularMatrix, settle
 
 #: Rows and columns, at most, of a remainder that one task finishes: DENSE squared numbers.
 DENSE = 1024
-#: Of the remainder's largest entry, what counts as zero.
+#: Of the largest entries that its row and its column have in A, the smaller one: what counts as zero when pivots are chosen by size.
 TINY = 1e-13
+#: Row numbers that tell an error in a task.
+_SINGULAR, _INDEFINITE = -1, -2
 
 
 def ready_diagonals(rest: DataFrame) -> DataFrame:
@@ -34,13 +36,31 @@ def ready_diagonals(rest: DataFrame) -> DataFrame:
     return rest.where("i = j").join(off, "i", "left_anti").select("i", "j", F.col("v").alias("d"))
 
 
+def least_degree_diagonals(rest: DataFrame) -> DataFrame:
+    """``(i, j, d)``: diagonal entries of a symmetric matrix with fewer neighbours than all of these; equal numbers are told apart by a hash."""
+    off = rest.where("i <> j").select("i", "j")
+    diag = rest.where("i = j").select("i", F.col("v").alias("d"))
+    degree = diag.join(off.groupBy("i").agg(F.count("*").alias("n")), "i", "left")
+    rank = settle(degree.select("i", "d", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("i").alias("h"), "i").alias("x")))
+    least = off.join(rank.select(F.col("i").alias("j"), F.col("x").alias("y")), "j").groupBy("i").agg(F.min("y").alias("y"))
+    return rank.join(least, "i", "left").where("y IS NULL OR x < y").select("i", F.col("i").alias("j"), "d")
+
+
+#: Ways to choose pivots that stay on the diagonal whatever their size.
+DIAGONAL = (ready_diagonals, least_degree_diagonals)
+
+
+def _zero(v, row, col):
+    return F.abs(v) <= TINY * F.least(row, col)
+
+
 def threshold_pivots(tol: float = 1.0) -> Callable[[DataFrame], DataFrame]:
     """Independent pivots of at least ``tol`` of their column's largest entry, those of little fill first."""
     if not 0 <= tol <= 1:
         raise ValueError("tol is from 0 to 1")
 
     def choose(rest: DataFrame) -> DataFrame:
-        live = rest.where("v <> 0")
+        live = rest.where(~_zero(F.col("v"), F.col("row"), F.col("col"))).select("i", "j", "v")
         cols = live.groupBy("j").agg(F.max(F.abs("v")).alias("top"), F.count("*").alias("c"))
         rows = live.groupBy("i").agg(F.count("*").alias("r"))
         large = live.join(cols, "j").where(F.abs("v") >= F.col("top") * tol).join(rows, "i")
@@ -60,7 +80,8 @@ def threshold_pivots(tol: float = 1.0) -> Callable[[DataFrame], DataFrame]:
 class Factors:
     """Rounds of pivots ``(i, j, d)`` with the multipliers ``(i, p, v)`` below and the rows ``(p, j, v)`` beside them, and the remainder.
 
-    ``p`` is the pivot's row in ``lower`` and ``upper``; ``rest`` has at most DENSE rows and columns.
+    ``p`` is the pivot's row in ``lower`` and ``upper``; ``rest (i, j, v, row, col)`` has at most DENSE rows and columns, and the
+    largest entries of each entry's row and column in A.
     """
 
     rounds: list[tuple[DataFrame, DataFrame, DataFrame]] = field(default_factory=list)
@@ -68,22 +89,24 @@ class Factors:
     in_order: bool = False
     #: Some row or column with entries has no pivot.
     singular: bool = False
+    #: All pivots have to be positive.
+    definite: bool = False
 
     def transposed(self) -> Factors:
         """The factors of the transpose: rows and columns change places, and the pivots go from the rows to the multipliers."""
         out = []
         for pivots, lower, upper in self.rounds:
             at = pivots.select(F.col("i").alias("p"), F.col("j").alias("q"), "d")
-            down = upper.join(at, "p").select(F.col("j").alias("i"), F.col("q").alias("p"), (F.col("v") / F.col("d")).alias("v"))
-            beside = lower.join(at, "p").select(F.col("q").alias("p"), F.col("i").alias("j"), (F.col("v") * F.col("d")).alias("v"))
+            down = settle(upper.join(at, "p").select(F.col("j").alias("i"), F.col("q").alias("p"), (F.col("v") / F.col("d")).alias("v")))
+            beside = settle(lower.join(at, "p").select(F.col("q").alias("p"), F.col("i").alias("j"), (F.col("v") * F.col("d")).alias("v")))
             out.append((pivots.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"), down, beside))
-        rest = None if self.rest is None else self.rest.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-        return Factors(out, rest, self.in_order, self.singular)
+        rest = None if self.rest is None else self.rest.select(F.col("j").alias("i"), F.col("i").alias("j"), "v", F.col("col").alias("row"), F.col("row").alias("col"))
+        return Factors(out, rest, self.in_order, self.singular, self.definite)
 
     def solve(self, b: DataFrame) -> DataFrame:
         """x of A x = b as ``(i, k, v)`` for right sides ``(i, k, v)``; a column without a pivot is an error, a row without one must come out as zero."""
         if self.singular:
-            raise ZeroDivisionError("the matrix is singular")
+            raise SingularMatrix("the matrix is singular")
         b = settle(b.groupBy("i", "k").agg(F.sum("v").alias("v")))
         held = []
         for pivots, lower, _ in self.rounds:
@@ -91,7 +114,13 @@ class Factors:
             moved = lower.join(here.select(F.col("i").alias("p"), "k", F.col("v").alias("y")), "p").select("i", "k", (-F.col("v") * F.col("y")).alias("v"))
             held.append(settle(here))
             b = settle(b.join(pivots.select("i"), "i", "left_anti").unionByName(moved).groupBy("i", "k").agg(F.sum("v").alias("v")))
-        x = None if self.rest is None else settle(_solve_dense(self.rest, b))
+        x = None if self.rest is None else settle(_solve_dense(self.rest, b, self.definite))
+        if x is not None:
+            marks = {r["i"] for r in x.where("i < 0").select("i").distinct().collect()}
+            if _SINGULAR in marks:
+                raise SingularMatrix("the matrix is singular")
+            if _INDEFINITE in marks:
+                raise NotPositiveDefinite("not positive definite")
         for (pivots, _, upper), here in zip(reversed(self.rounds), reversed(held)):
             rows = here.select(F.col("i").alias("p"), "k", "v")
             if x is not None:
@@ -113,6 +142,8 @@ class Factors:
             us.append(upper)
         if self.rest is not None:
             done = settle(_factor_dense(self.rest, self.in_order))
+            if not done.where("kind = 'e'").isEmpty():
+                raise SingularMatrix("a pivot is zero")
             ps.append(done.where("kind = 'p'").select(F.lit(len(self.rounds)).cast("long").alias("round"), "place", "i", "j", F.col("v").alias("d")))
             ls.append(done.where("kind = 'l'").select("i", F.col("j").alias("p"), "v"))
             us.append(done.where("kind = 'u'").select(F.col("i").alias("p"), "j", "v"))
@@ -120,27 +151,28 @@ class Factors:
         return union(ps), union(ls), union(us)
 
 
-def _pack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and column numbers and the dense matrix of a remainder."""
+def _pack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column numbers, the dense matrix of a remainder, and what counts as zero in it."""
     rows, i = np.unique(pdf.i, return_inverse=True)
     cols, j = np.unique(pdf.j, return_inverse=True)
-    m = np.zeros((len(rows), len(cols)))
+    m, row, col = np.zeros((len(rows), len(cols))), np.zeros(len(rows)), np.zeros(len(cols))
     np.add.at(m, (i, j), pdf.v)
-    return rows, cols, m
+    row[i], col[j] = pdf.row, pdf.col
+    return rows, cols, m, TINY * np.minimum.outer(row, col)
 
 
-def _steps(m: np.ndarray, rows: np.ndarray, cols: np.ndarray, in_order: bool):
-    """Eliminate ``m`` in place; the places of the pivots. Multipliers end up below them."""
+def _steps(m: np.ndarray, rows: np.ndarray, cols: np.ndarray, zero: np.ndarray, in_order: bool) -> list[tuple[int, int]] | None:
+    """Eliminate ``m`` in place; the places of the pivots, None for a pivot of zero in a given order. Multipliers end up below them."""
     steps, free = [], np.ones(len(rows), bool)
-    zero = TINY * np.abs(m).max(initial=0)
     for c in range(len(cols)):
         if in_order:
             r = int(np.searchsorted(rows, cols[c]))
             if r >= len(rows) or rows[r] != cols[c] or m[r, c] == 0:
-                raise ZeroDivisionError("a pivot is zero")
+                return None
         else:
-            r = int(np.argmax(np.where(free, np.abs(m[:, c]), -1.0)))
-            if not free[r] or abs(m[r, c]) <= zero:
+            size = np.abs(m[:, c])
+            r = int(np.argmax(np.where(free & (size > zero[:, c]), size, -1.0)))
+            if not free[r] or not size[r] > zero[r, c]:
                 continue
         free[r] = False
         below = np.flatnonzero(free)
@@ -152,9 +184,12 @@ def _steps(m: np.ndarray, rows: np.ndarray, cols: np.ndarray, in_order: bool):
 
 def _factor_dense(rest: DataFrame, in_order: bool) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols, m = _pack(pdf)
+        rows, cols, m, zero = _pack(pdf)
         out, done = [], set()
-        for place, (r, c) in enumerate(_steps(m, rows, cols, in_order)):
+        steps = _steps(m, rows, cols, zero, in_order)
+        if steps is None:
+            return pd.DataFrame({"kind": ["e"], "place": [0], "i": [0], "j": [0], "v": [0.0]})
+        for place, (r, c) in enumerate(steps):
             done.add(r)
             out.append(("p", place, rows[r], cols[c], m[r, c]))
             out += [("u", place, rows[r], cols[k], m[r, k]) for k in range(c + 1, len(cols)) if m[r, k] != 0]
@@ -164,21 +199,21 @@ def _factor_dense(rest: DataFrame, in_order: bool) -> DataFrame:
     return rest.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "kind string, place long, i long, j long, v double")
 
 
-def _solve_dense(rest: DataFrame, b: DataFrame) -> DataFrame:
-    """x of the remainder; rows beyond its columns must agree with it."""
+def _solve_dense(rest: DataFrame, b: DataFrame, definite: bool) -> DataFrame:
+    """x of the remainder; rows beyond its columns must agree with it. An error comes as a negative row."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame({"i": [], "k": [], "v": []})
-        rows, cols, m = _pack(left)
+        rows, cols, m, zero = _pack(left)
         ks = np.unique(right.k) if len(right) else np.zeros(0, int)
         y = np.zeros((len(rows), len(ks)))
         right = right[np.isin(right.i, rows)]
         y[np.searchsorted(rows, right.i), np.searchsorted(ks, right.k)] = right.v
         both = np.hstack([m, y])
-        steps = _steps(both, rows, cols, False)
-        if len(steps) < len(cols):
-            raise ZeroDivisionError("the matrix is singular")
+        steps = _steps(both, rows, cols, zero, definite)
+        if steps is None or len(steps) < len(cols) or definite and any(not both[p] > 0 for p in steps):
+            return pd.DataFrame({"i": [_INDEFINITE if definite else _SINGULAR], "k": [0], "v": [0.0]})
         x = np.zeros((len(cols), len(ks)))
         for r, c in reversed(steps):
             x[c] = (both[r, len(cols) :] - both[r, c + 1 : len(cols)] @ x[c + 1 :]) / both[r, c]
@@ -194,26 +229,34 @@ def _solve_dense(rest: DataFrame, b: DataFrame) -> DataFrame:
 
 def eliminate(
     a: DataFrame, choose: Callable[[DataFrame], DataFrame] = ready_diagonals, pattern: DataFrame | None = None,
-    drop: Callable[[DataFrame], DataFrame] | None = None, dense: int = DENSE,
+    drop: Callable[[DataFrame], DataFrame] | None = None, dense: int = DENSE, definite: bool = False,
 ) -> Factors:
     """The factors of A. With ``pattern``, updates outside it are left out; ``drop`` filters ``(i, j, v, d)`` next to each pivot d.
 
-    Without pivoting a pivot of zero is an error; with it, what has no pivot is left, as the matrix is singular.
+    On the diagonal a pivot of zero is an error, and with ``definite`` one that is not positive; by
+    size, what has no pivot is left, as the matrix is singular.
     """
-    in_order = choose is ready_diagonals
-    rest = settle(a.groupBy("i", "j").agg(F.sum("v").alias("v")))
-    out = Factors(in_order=in_order)
+    on_diagonal = choose in DIAGONAL
+    one = a.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    if on_diagonal:
+        rest = settle(one.withColumns({"row": F.lit(0.0), "col": F.lit(0.0)}))
+    else:
+        one = settle(one)
+        rows, cols = (one.groupBy(c).agg(F.max(F.abs("v")).alias(name)) for c, name in (("i", "row"), ("j", "col")))
+        rest = settle(one.join(rows, "i").join(cols, "j").select("i", "j", "v", "row", "col"))
+    out = Factors(in_order=on_diagonal, definite=definite)
     size = max(rest.agg(F.count_distinct("i"), F.count_distinct("j")).first())
     while True:
         pivots = settle(choose(rest))
-        n, least = pivots.agg(F.count("*"), F.min(F.abs("d"))).first()
+        n, least, lowest = pivots.agg(F.count("*"), F.min(F.abs("d")), F.min("d")).first()
+        if n and definite and not lowest > 0:
+            raise NotPositiveDefinite("not positive definite")
         if n and (least == 0 or least != least):
-            raise ZeroDivisionError("a pivot is zero")
+            raise SingularMatrix("a pivot is zero")
         if not n:
-            left = rest.where("v <> 0")
-            if in_order and not rest.isEmpty():
-                raise ZeroDivisionError("a pivot is zero")
-            if not left.isEmpty():
+            if on_diagonal and not rest.isEmpty():
+                raise NotPositiveDefinite("not positive definite") if definite else SingularMatrix("a pivot is zero")
+            if not rest.where("isnan(v) OR abs(v) = double('inf')").isEmpty():
                 raise ArithmeticError("values that are no numbers are left")
             taken = sum(p.count() for p, _, _ in out.rounds)
             out.singular = taken < size
@@ -223,15 +266,16 @@ def eliminate(
             if max(rows, cols) <= dense and 4 * n <= min(rows, cols):
                 out.rest = rest
                 return out
-        beside = rest.join(pivots.select("i", F.col("j").alias("own"), "d"), "i").where("j <> own").select("i", "j", "v", "d")
-        below = rest.join(pivots.select("j", F.col("i").alias("own"), "d"), "j").where("i <> own").select("i", F.col("own").alias("p"), "j", "v", "d")
+        beside = rest.join(pivots.select("i", F.col("j").alias("own"), "d"), "i").where("j <> own").select("i", "j", "v", "d", "col")
+        below = rest.join(pivots.select("j", F.col("i").alias("own"), "d"), "j").where("i <> own").select("i", F.col("own").alias("p"), "j", "v", "d", "row")
         if drop is not None:
             beside, below = drop(beside), drop(below)
-        upper = settle(beside.select(F.col("i").alias("p"), "j", "v"))
-        lower = settle(below.select("i", "p", (F.col("v") / F.col("d")).alias("v")))
-        moved = lower.join(upper.select("p", "j", F.col("v").alias("u")), "p").select("i", "j", (-F.col("v") * F.col("u")).alias("v"))
+        upper = settle(beside.select(F.col("i").alias("p"), "j", "v", "col"))
+        lower = settle(below.select("i", "p", (F.col("v") / F.col("d")).alias("v"), "row"))
+        moved = lower.join(upper.select("p", "j", F.col("v").alias("u"), "col"), "p").select("i", "j", (-F.col("v") * F.col("u")).alias("v"), "row", "col")
         if pattern is not None:
             moved = moved.join(pattern.select("i", "j"), ["i", "j"], "left_semi")
-        kept = rest.join(pivots.select("i"), "i", "left_anti").join(pivots.select("j"), "j", "left_anti")
-        rest = settle(kept.unionByName(moved).groupBy("i", "j").agg(F.sum("v").alias("v")))
-        out.rounds.append((pivots, lower, upper))
+        kept = rest.join(pivots.select("i"), "i", "left_anti").join(pivots.select("j"), "j", "left_anti").select("i", "j", "v", "row", "col")
+        summed = kept.unionByName(moved).groupBy("i", "j").agg(F.sum("v").alias("v"), F.max("row").alias("row"), F.max("col").alias("col"))
+        rest = settle(summed)
+        out.rounds.append((pivots, lower.select("i", "p", "v"), upper.select("p", "j", "v")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.operators.elimination import Factors, eliminate, threshold_pivots
+from ijvory.operators.elimination import Factors, eliminate, least_degree_diagonals, threshold_pivots
 from ijvory.operators.products import add_vectors, spmv
-from ijvory.operators.rounds import settle
+from ijvory.operators.rounds import NotPositiveDefinite, SingularMatrix, settle
 from ijvory.operators.structure import norm1
 
 
@@ -74,7 +74,7 @@ def _rooted(factors: DataFrame) -> DataFrame:
     """L with L Lᵀ = A from the factors of a symmetric matrix."""
     pivots = settle(factors.where("i = j").select("j", F.col("v").alias("d")))
     if not pivots.where("d <= 0").isEmpty():
-        raise ValueError("not positive definite")
+        raise NotPositiveDefinite("not positive definite")
     return lower_of(factors).join(pivots, "j").select("i", "j", (F.col("v") * F.sqrt("d")).alias("v"))
 
 
@@ -85,9 +85,9 @@ def _mirrored(a: DataFrame) -> DataFrame:
 
 def _definite(a: DataFrame, **more) -> DataFrame:
     try:
-        return settle(_rooted(settle(_one_relation(eliminate(_mirrored(a), **more)))))
-    except ZeroDivisionError:
-        raise ValueError("not positive definite") from None
+        return settle(_rooted(settle(_one_relation(eliminate(_mirrored(a), definite=True, **more)))))
+    except SingularMatrix:
+        raise NotPositiveDefinite("not positive definite") from None
 
 
 def cholesky(a: DataFrame) -> DataFrame:
@@ -95,6 +95,27 @@ def cholesky(a: DataFrame) -> DataFrame:
     return _definite(a)
 
 
+def cholesky_ordered(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An order ``(k, at)`` of little fill, and L with L Lᵀ = A; only the upper triangle is read.
+
+    L keeps A's numbers: column ``at`` has no entry in a row that comes before it in the order. The
+    order is found while the pivots are taken, those of least degree first, so it holds
+    for patterns of any kind; an error if A is not positive definite.
+    """
+    from ijvory.operators.orderings import before
+
+    try:
+        pivots, lower, _ = eliminate(_mirrored(a), least_degree_diagonals, definite=True).parts()
+    except SingularMatrix:
+        raise NotPositiveDefinite("not positive definite") from None
+    pivots = settle(before(pivots, ["round", "place", "i"], F.lit(1).cast("long"), "k").select("k", "i", "d"))
+    if not pivots.where("d <= 0").isEmpty():
+        raise NotPositiveDefinite("not positive definite")
+    scaled = lower.join(pivots.select(F.col("i").alias("p"), "d"), "p").select("i", F.col("p").alias("j"), (F.col("v") * F.sqrt("d")).alias("v"))
+    diag = pivots.select("i", F.col("i").alias("j"), F.sqrt("d").alias("v"))
+    return pivots.select("k", F.col("i").alias("at")), settle(diag.unionByName(scaled))
+
+
 def incomplete_cholesky(a: DataFrame) -> DataFrame:
     """L on the pattern of A's lower triangle, L Lᵀ equal to A there; only the upper triangle is read."""
     both = _mirrored(a)
@@ -133,11 +154,11 @@ def cholesky_update(lower: DataFrame, w: DataFrame, sign: float = 1.0) -> DataFr
         column = lower.where(F.col("j") == j)
         d = column.where("i = j").first()
         if d is None or d["v"] == 0:
-            raise ValueError("no diagonal entry")
+            raise SingularMatrix("no diagonal entry")
         alpha = first["v"] / d["v"]
         square = beta * beta + sign * alpha * alpha
         if square <= 0:
-            raise ValueError("not positive definite")
+            raise NotPositiveDefinite("not positive definite")
         new = square**0.5
         scale, gain = (beta / new, alpha / (new * beta)) if sign > 0 else (new / beta, -alpha / (new * beta))
         both = column.select("i", F.col("v").alias("l")).join(rest.select("i", F.col("v").alias("w")), "i", "full_outer")
@@ -169,11 +190,8 @@ def _solved(factors: Factors, b: DataFrame) -> DataFrame:
 
 
 def chol_solve(a: DataFrame, b: DataFrame) -> DataFrame:
-    """x of A x = b for a positive definite A, of which only the upper triangle is read."""
-    factors = eliminate(_mirrored(a))
-    if any(not pivots.where("d <= 0").isEmpty() for pivots, _, _ in factors.rounds):
-        raise ValueError("not positive definite")
-    return _solved(factors, b)
+    """x of A x = b for a positive definite A, of which only the upper triangle is read; an error if it is not. The order of pivots is one of little fill."""
+    return _solved(eliminate(_mirrored(a), least_degree_diagonals, definite=True), b)
 
 
 def lu_solve(a: DataFrame, b: DataFrame, tol: float = 1.0, refine: int = 0) -> DataFrame:
@@ -222,10 +240,8 @@ def condition1(a: DataFrame, n: int) -> float:
     a = settle(a)
     try:
         return norm1(a).first()["v"] * inverse_norm1(a, n)
-    except Exception as e:
-        if "singular" in str(e):
-            return float("inf")
-        raise
+    except SingularMatrix:
+        return float("inf")
 
 
 def residual(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,6 +7,14 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+class SingularMatrix(ZeroDivisionError):
+    """A system without a unique solution, or a factor without a pivot."""
+
+
+class NotPositiveDefinite(ValueError):
+    """A matrix that has no Cholesky factor."""
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
     sc = spark.sparkContext
