@@ -57,14 +57,8 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
         labels = new
 
 
-def strong_components(a: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, label)``: nodes that reach one another have the smallest of them as label.
-
-    Forward labels are spread from the smallest node; nodes that also reach
-    their label backwards are done, and the others go on without them.
-    """
-    edges = settle(a.where("i <> j").select(F.col("j").alias("s"), F.col("i").alias("d")).distinct())
-    left = settle(nodes.select("node").distinct())
+def _colored(edges: DataFrame, left: DataFrame) -> DataFrame | None:
+    """``(node, label)`` of the strong components of ``edges (s, d)``, forward and backward from the smallest nodes of all parts at once."""
     done = None
     while not left.isEmpty():
         forward = _spread(edges, left.withColumn("label", F.col("node")))
@@ -78,7 +72,71 @@ def strong_components(a: DataFrame, nodes: DataFrame) -> DataFrame:
         done = found if done is None else done.unionByName(found)
         left = settle(left.join(found, "node", "left_anti"))
         edges = settle(inner.join(left.select(F.col("node").alias("s")), "s").join(left.select(F.col("node").alias("d")), "d").select("s", "d"))
-    return done if done is not None else left.withColumn("label", F.col("node"))
+    return done
+
+
+def _links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, tail, head)`` and ``(node, label)``: nodes with one edge in and one out, by doubling.
+
+    The first has those on a chain between two other nodes, the second those on a ring of their own.
+    """
+    one = lambda own, other, name: edges.groupBy(F.col(own).alias("node")).agg(F.count("*").alias("n"), F.min(other).alias(name)).where("n = 1").drop("n")
+    at = settle(one("d", "s", "tail").join(one("s", "d", "head"), "node").withColumn("low", F.col("node")))
+    rounds = max(1, at.count()).bit_length() + 1
+    for _ in range(rounds):
+        on = at.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("low").alias("low2"))
+        back = at.select(F.col("node").alias("tail"), F.col("tail").alias("tail2"))
+        step = at.join(on, "head", "left").join(back, "tail", "left")
+        moved = step.agg(F.count_if(F.col("head2").isNotNull() | F.col("tail2").isNotNull())).first()[0]
+        if not moved:
+            return at.select("node", "tail", "head"), at.select("node", F.col("low").alias("label")).limit(0)
+        at = settle(step.select("node", F.coalesce("tail2", "tail").alias("tail"), F.coalesce("head2", "head").alias("head"), F.least("low", F.coalesce("low2", "low")).alias("low")))
+    # whoever still points to a link is on a ring, and has seen all of it
+    ring = settle(at.join(at.select(F.col("node").alias("head")), "head", "left_semi"))
+    chain = at.join(ring.select("node"), "node", "left_anti")
+    return chain.select("node", "tail", "head"), ring.select("node", F.col("low").alias("label"))
+
+
+def strong_components(a: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, label)``: nodes that reach one another have the smallest of them as label.
+
+    Nodes without an edge in or out are components of their own and go; chains of nodes with one
+    edge in and one out become single edges, by doubling; both again while the graph shrinks by a
+    tenth. Chains, rings and trees of any length so take a number of rounds that grows with the
+    logarithm. What is left is searched forward and backward. At the end a node
+    of a chain belongs to the component of both its ends, or else stands alone.
+    """
+    edges = settle(a.where("i <> j").select(F.col("j").alias("s"), F.col("i").alias("d")).distinct())
+    count, chains, labels = edges.count(), [], None
+    while count:
+        inner = edges.join(edges.select(F.col("d").alias("s")).distinct(), "s", "left_semi").join(edges.select(F.col("s").alias("d")).distinct(), "d", "left_semi")
+        inner = settle(inner.select("s", "d"))
+        chain, ring = (settle(x) for x in _links(inner))
+        labels = ring if labels is None else labels.unionByName(ring)
+        chains.append(chain)
+        gone = chain.select("node").unionByName(ring.select("node"))
+        kept = inner.join(gone.select(F.col("node").alias("s")), "s", "left_anti").join(gone.select(F.col("node").alias("d")), "d", "left_anti")
+        new = chain.where("tail <> head").select(F.col("tail").alias("s"), F.col("head").alias("d"))
+        edges = settle(kept.select("s", "d").unionByName(new).distinct())
+        before, count = count, edges.count()
+        if count > 0.9 * before:
+            break
+    if count:
+        found = _colored(edges, settle(edges.select(F.explode(F.array("s", "d")).alias("node")).distinct()))
+        labels = found if labels is None else labels.unionByName(found)
+    if labels is None:
+        return nodes.select("node").distinct().withColumn("label", F.col("node"))
+    for chain in reversed(chains):
+        ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("tail", "head")]
+        both = chain.join(ends[0], "tail", "left").join(ends[1], "head", "left")
+        # an end that no component has is one of its own
+        tail, head = F.coalesce("tail_label", "tail"), F.coalesce("head_label", "head")
+        inside = both.where(tail == head).select("node", tail.alias("label"))
+        own = both.where(tail == head).select(F.col("tail").alias("node"), tail.alias("label"))
+        labels = settle(labels.unionByName(inside).unionByName(own).distinct())
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    known = labels.join(least, "label").select("node", "least")
+    return settle(nodes.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("least", "node").alias("label")))
 
 
 def graph_of_sum(a: DataFrame) -> DataFrame:
@@ -94,6 +152,27 @@ def graph_of_normal(a: DataFrame, dense: int | None = None) -> DataFrame:
     return pattern_product(transpose(a), a).where("i <> j")
 
 
+def star_of_normal(a: DataFrame) -> DataFrame:
+    """Edges ``(i, j)``, both ways, from the first column of each row of A to its others.
+
+    The pattern of AᵀA joins all columns of a row. Eliminated, this star of as many edges as A has
+    entries fills up to the same pattern, so it has the same elimination tree and counts.
+    """
+    first = a.groupBy("i").agg(F.min("j").alias("first"))
+    rays = a.select("i", "j").join(first, "i").where("j > first").select(F.col("first").alias("i"), "j").distinct()
+    return rays.unionByName(rays.select(F.col("j").alias("i"), F.col("i").alias("j")))
+
+
+def reach_in_order(a: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(pos, node)``: what ``sources (node)`` reach, so that every edge between them leads to a later one; an error for a cycle."""
+    from ijvory.operators.orderings import before
+
+    found = settle(reach(a, sources))
+    inside = a.select("i", "j").join(found.select(F.col("node").alias("i")), "i", "left_semi").join(found.select(F.col("node").alias("j")), "j", "left_semi")
+    alone = found.select(F.col("node").alias("i"), F.col("node").alias("j"))
+    return before(topological_levels(inside.unionByName(alone)), ["level", "node"], F.lit(1).cast("long"), "pos").select("pos", "node")
+
+
 def peel_triangular(a: DataFrame) -> DataFrame:
     """``(i, j, round)``: rows left with one entry, round after round, each with the column that goes with it.
 

@@ -49,6 +49,17 @@ def spmm(a: DataFrame, x: DataFrame) -> DataFrame:
     return both.groupBy("i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
+def gaxpy_columns(a: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """A X + Y for dense X and Y ``(i, k, v)`` of several columns, whatever order they are stored in."""
+    return spmm(a, x).unionByName(y.select("i", "k", "v")).groupBy("i", "k").agg(F.sum("v").alias("v"))
+
+
+def gatxpy_columns(a: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """Aᵀ X + Y, without a transpose."""
+    both = a.join(x.select("i", "k", F.col("v").alias("x")), "i").groupBy(F.col("j").alias("i"), "k").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    return both.unionByName(y.select("i", "k", "v")).groupBy("i", "k").agg(F.sum("v").alias("v"))
+
+
 def spgemm(a: DataFrame, b: DataFrame) -> DataFrame:
     """A B; entries that cancel stay."""
     b = b.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("v").alias("w"))

@@ -68,3 +68,41 @@ def column_counts(a: DataFrame, tree: DataFrame) -> DataFrame:
     """``(node, n)``: entries in each column of the factor, the diagonal included."""
     n = row_subtrees(a, tree).groupBy("node").agg(F.count("*").alias("n"))
     return tree.select("node").join(n, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+
+
+def path_to_root(tree: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(pos, node)``: the nodes of ``sources (node)`` and all above them, children before parents."""
+    from ijvory.operators.graphs import reach
+    from ijvory.operators.orderings import before
+
+    up = tree.where("parent >= 0").select(F.col("parent").alias("i"), F.col("node").alias("j"))
+    found = reach(up, sources).join(depths(tree), "node").withColumn("deep", -F.col("level"))
+    return before(found, ["deep", "node"], F.lit(1).cast("long"), "pos").select("pos", "node")
+
+
+def householder_counts(a: DataFrame, n: int) -> DataFrame:
+    """``(node, parent, v, r, extra)`` for each of n columns: entries of the Householder vector and of the row of R, for the tree of AᵀA.
+
+    A row enters at its first column; a column's vector has the rows that enter there and those that
+    its children leave over, all but one each. ``extra`` is 1 where there is none, and an empty row has to be added.
+    """
+    from ijvory.operators.graphs import star_of_normal
+
+    star = settle(star_of_normal(a))
+    tree = settle(etree(star, n))
+    rows = a.groupBy("i").agg(F.min("j").alias("node")).groupBy("node").agg(F.count("*").alias("own"))
+    nodes = settle(tree.join(depths(tree), "node").join(rows, "node", "left").select("node", "parent", "level", F.coalesce("own", F.lit(0)).alias("own")))
+    deepest = nodes.agg(F.max("level")).first()[0]
+    out = left = None
+    for level in range(-1 if deepest is None else deepest, -1, -1):
+        now = nodes.where(F.col("level") == level)
+        if left is not None:
+            more = left.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("v") - 1).alias("more"))
+            now = now.join(more, "node", "left")
+        else:
+            now = now.withColumn("more", F.lit(0))
+        found = F.col("own") + F.coalesce("more", F.lit(0))
+        left = settle(now.select("node", "parent", F.greatest(found, F.lit(1)).alias("v"), (found == 0).cast("int").alias("extra")))
+        out = left if out is None else out.unionByName(left)
+    counts = column_counts(star, tree).withColumnRenamed("n", "r")
+    return out.join(counts, "node").select("node", "parent", "v", "r", "extra")

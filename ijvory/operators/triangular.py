@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ijvory.functions.columns import quotient
-from ijvory.operators.graphs import topological_levels
+from ijvory.operators.graphs import peel_triangular, reach, topological_levels
 from ijvory.operators.rounds import settle
 from ijvory.operators.shape import transpose
 
@@ -59,3 +59,40 @@ def solve_row_permuted(a: DataFrame, b: DataFrame, lower: bool = True) -> DataFr
     move = diag.select("i", F.col("j").alias("to"))
     rows = a.join(move, "i").select(F.col("to").alias("i"), "j", "v")
     return solve(rows, b.join(move, "i").select(F.col("to").alias("i"), "k", "v"))
+
+
+def solve_column_permuted(a: DataFrame, b: DataFrame, lower: bool = True) -> DataFrame:
+    """x of A x = b where A's columns are those of a triangle in another order."""
+    diag = settle(a.groupBy("j").agg((F.min if lower else F.max)("i").alias("to")))
+    if diag.select("to").distinct().count() != diag.count():
+        raise ValueError("not a column-permuted triangle")
+    cols = a.join(diag, "j").select("i", F.col("to").alias("j"), "v")
+    return solve(cols, b).join(diag.select(F.col("to").alias("i"), "j"), "i").select(F.col("j").alias("i"), "k", "v")
+
+
+def triangular_order(a: DataFrame) -> DataFrame:
+    """``(k, i, j)``: the orders of rows and columns that make A a lower triangle; row i has its diagonal in column j. An error if there are none."""
+    from ijvory.operators.orderings import before
+
+    pairs = settle(peel_triangular(a))
+    size = max(a.agg(F.count_distinct("i"), F.count_distinct("j")).first())
+    if pairs.count() != size:
+        raise ValueError("not a permuted triangle")
+    return before(pairs, ["round", "i"], F.lit(1).cast("long"), "k").select("k", "i", "j")
+
+
+def solve_permuted(a: DataFrame, b: DataFrame) -> DataFrame:
+    """x of A x = b where A's rows and columns are those of a triangle, lower or upper, in other orders."""
+    move = settle(triangular_order(a)).select("i", F.col("j").alias("to"))
+    rows = a.join(move, "i").select(F.col("to").alias("i"), "j", "v")
+    return solve(rows, b.join(move, "i").select(F.col("to").alias("i"), "k", "v"))
+
+
+def solve_sparse(t: DataFrame, b: DataFrame) -> DataFrame:
+    """x of T x = b for a right side of few entries: only the columns that these reach are read, and only their rows are solved for.
+
+    The pattern of T decides, so entries that cancel are zeros that are stored.
+    """
+    live = settle(reach(t.select("i", "j"), b.where("v <> 0").select(F.col("i").alias("node"))))
+    part = t.join(live.select(F.col("node").alias("j")), "j", "left_semi")
+    return solve(settle(part), b.where("v <> 0"))
