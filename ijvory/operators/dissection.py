@@ -135,6 +135,13 @@ def _bisect(edges: DataFrame, nodes: DataFrame, fits: int) -> DataFrame:
 
     sides = rows.groupBy("path").applyInPandas(halve, "path string, owner long, side int")
     side = settle(at.join(sides, ["path", "owner"]).select("node", "path", "side"))
+    for turn in (0, 1):
+        # smooth the ragged rim of coarse nodes: who has most neighbours on the other side goes there, one side at a time
+        other = side.select(F.col("node").alias("j"), F.col("side").alias("other"))
+        pull = edges.join(other, "j").groupBy(F.col("i").alias("node")).agg(F.avg("other").alias("pull"))
+        away = F.when(F.lit(turn) == 0, F.col("pull") > 0.5).otherwise(F.col("pull") < 0.5)
+        moved = side.join(pull, "node", "left").select("node", "path", F.when((F.col("side") == turn) & away, 1 - F.col("side")).otherwise(F.col("side")).alias("side"))
+        side = settle(moved)
     mark = lambda c: side.select(F.col("node").alias(c), F.col("side").alias(f"{c}_side"))
     rim = settle(edges.join(mark("i"), "i").join(mark("j"), "j").where("i_side <> j_side").select("path", F.col("i").alias("node"), F.col("i_side").alias("own")).distinct())
     counts = rim.groupBy("path").agg(F.count_if(F.col("own") == 0).alias("a"), F.count_if(F.col("own") == 1).alias("b"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.operators.rounds import NotPositiveDefinite, SingularMatrix, settle
+from ijvory.operators.rounds import NotPositiveDefinite, SingularMatrix, apart, settle
 
 #: Rows and columns, at most, of a remainder that one task finishes: DENSE squared numbers.
 DENSE = 1024
@@ -222,7 +222,7 @@ def _solve_dense(rest: DataFrame, b: DataFrame, definite: bool) -> DataFrame:
 
     one = lambda df: df.withColumn("one", F.lit(0)).groupBy("one")
     # the right sides of other rows stay away, so a task gets DENSE rows of them at most
-    mine = b.join(rest.select("i").distinct(), "i", "left_semi")
+    mine = apart(b.join(rest.select("i").distinct(), "i", "left_semi"))
     k = dict(b.dtypes)["k"]
     return one(rest).cogroup(one(mine)).applyInPandas(lambda x, y: run(x.drop(columns="one"), y.drop(columns="one")), f"i long, k {k}, v double")
 

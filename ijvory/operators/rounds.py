@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class SingularMatrix(ZeroDivisionError):
@@ -32,3 +33,8 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` computed and cut from its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` with columns of its own, so that it can be grouped together with a table that it comes from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -12,7 +12,7 @@ from ijvory.operators.products import spmm
 from ijvory.operators.rounds import settle
 
 #: Vectors that are iterated together; the shift that makes the Laplacian definite, relative to its largest entry.
-VECTORS, SHIFT = 4, 1e-6
+VECTORS, SHIFT = 8, 1e-6
 
 
 def laplacian(graph: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def laplacian(graph: DataFrame) -> DataFrame:
     return off.select("i", "j", (-F.col("v")).alias("v")).unionByName(degree.select("i", F.col("i").alias("j"), "v"))
 
 
-def fiedler(graph: DataFrame, tol: float = 1e-10, most: int = 60) -> tuple[float, DataFrame]:
+def fiedler(graph: DataFrame, tol: float = 1e-9, most: int = 60) -> tuple[float, DataFrame]:
     """The second smallest eigenvalue of the Laplacian and its vector ``(i, v)`` of norm 1.
 
     ``graph`` is symmetric; every node that it has counts. The Laplacian, shifted a little, is factored once;
@@ -56,27 +56,26 @@ def fiedler(graph: DataFrame, tol: float = 1e-10, most: int = 60) -> tuple[float
 
 def _best(x: DataFrame, lap: DataFrame, n: int, width: int) -> tuple[np.ndarray, DataFrame]:
     """Ritz values, and the orthonormal vectors of the span of ``(i, k, v)`` that go with them, the constant vector taken out."""
-    means = {r["k"]: r["s"] / n for r in x.groupBy("k").agg(F.sum("v").alias("s")).collect()}
-    mean = F.element_at(F.create_map(*[F.lit(v) for k in range(width) for v in (k, means.get(k, 0.0))]), F.col("k"))
-    x = settle(x.select("i", "k", (F.col("v") - mean).alias("v")))
-    product = spmm(lap, x).withColumnRenamed("v", "w")
-
-    def dots(y: DataFrame, name: str) -> np.ndarray:
-        out = np.zeros((width, width))
-        both = x.select("i", F.col("k").alias("a"), F.col("v").alias("u")).join(y.select("i", F.col("k").alias("b"), F.col(name).alias("t")), "i")
-        for r in both.groupBy("a", "b").agg(F.sum(F.col("u") * F.col("t")).alias("s")).collect():
-            out[r["a"], r["b"]] = r["s"]
-        return (out + out.T) / 2
-
-    gram, form = dots(x, "v"), dots(product, "w")
+    own = x.select("i", F.col("k").alias("a"), F.col("v").alias("u"))
+    # products with the vectors, with the Laplacian's images of them, and with ones, all in one job
+    sides = x.select("i", F.col("k").alias("b"), F.col("v").alias("t"), F.lit(0).alias("kind")).unionByName(
+        spmm(lap, x).select("i", F.col("k").alias("b"), F.col("v").alias("t"), F.lit(1).alias("kind"))
+    ).unionByName(x.select("i").distinct().select("i", F.lit(0).alias("b"), F.lit(1.0).alias("t"), F.lit(2).alias("kind")))
+    dots = np.zeros((3, width, width))
+    for r in own.join(sides, "i").groupBy("kind", "a", "b").agg(F.sum(F.col("u") * F.col("t")).alias("s")).collect():
+        dots[r["kind"], r["a"], r["b"]] = r["s"]
+    sums = dots[2, :, 0]
+    # the constant vector is in the Laplacian's kernel, so taking it out changes the first products alone
+    gram, form = (dots[0] + dots[0].T) / 2 - np.outer(sums, sums) / n, (dots[1] + dots[1].T) / 2
     size, turn = np.linalg.eigh(gram)
     kept = size > 1e-14 * size.max()
     basis = turn[:, kept] / np.sqrt(size[kept])
     values, vectors = np.linalg.eigh(basis.T @ form @ basis)
     mix = basis @ vectors
-    cell = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in mix])
-    new = x.select("i", F.posexplode(F.element_at(cell, F.col("k") + 1)).alias("k", "w"), "v")
-    return values, new.groupBy("i", "k").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    listed = lambda row: F.array(*[F.lit(float(v)) for v in row])
+    cell, mean = F.array(*[listed(row) for row in mix]), listed(sums / n)
+    new = x.select("i", F.posexplode(F.element_at(cell, F.col("k") + 1)).alias("to", "w"), (F.col("v") - F.element_at(mean, F.col("k") + 1)).alias("v"))
+    return values, new.groupBy("i", F.col("to").alias("k")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
 def fiedler_order(graph: DataFrame) -> DataFrame:

@@ -294,30 +294,22 @@ def block_form_knownx(spark, sf_dir):
 # Orders
 
 
-def _fill(graph: DataFrame, order: DataFrame, n: int) -> DataFrame:
-    """One row ``fill``: entries below the diagonal of the factor in an order."""
-    place = order.select(F.col("at"), F.col("k"))
-    moved = graph.join(place.select(F.col("at").alias("i"), F.col("k").alias("x")), "i").join(place.select(F.col("at").alias("j"), F.col("k").alias("y")), "j")
-    return trees.fill_pattern(moved.select(F.col("x").alias("i"), F.col("y").alias("j"))).agg(F.count("*").alias("fill"))
+@query(f"SELECT 0::BIGINT AS across, ({K} * {K})::BIGINT AS n, TRUE AS small")
+def dissection_grid(spark, sf_dir):
+    """Nested dissection of the k x k GRID: edges past a separator, nodes in the order, and whether the first separator has at most 3 k nodes.
 
-
-@query(f"SELECT 0::BIGINT AS across, ({K} * {K})::BIGINT AS n, TRUE AS less")
-def dissection_fill(spark, sf_dir):
-    """Nested dissection of GRID: edges past a separator, nodes in the order, and whether the factor has less than natural order's k (k² - k) entries.
-
-    A task may hold a sixteenth of the nodes, so the upper levels run over all parts at once.
+    A task may hold a third of the nodes, so the upper levels run over all parts at once.
     """
     k = _side(spark, sf_dir)
     edges, n = grid_edges(spark, sf_dir)
     graph = settle(shape.make_symmetric(edges.select("i", "j", F.col("w").alias("v"))).select("i", "j"))
-    nodes = spark.range(n).withColumnRenamed("id", "node")
-    found = settle(dissection.separators(graph, nodes, fits=max(16, n // 16)))
+    found = settle(dissection.separators(graph, spark.range(n).withColumnRenamed("id", "node"), fits=max(16, n // 3)))
     # an edge leads between a part and what separates it from others, or inside it
     path = lambda c, name: found.select(F.col("node").alias(c), F.regexp_replace("path", "2$", "").alias(name))
     across = graph.join(path("i", "a"), "i").join(path("j", "b"), "j").where("not startswith(a, b) and not startswith(b, a)").agg(F.count("*").alias("across"))
-    order = settle(dissection.numbered(found, ["path", "place", "node"]))
-    counts = order.agg(F.count_distinct("at").alias("n")).crossJoin(F.broadcast(_fill(graph, order, n)))  # one row each
-    return across.crossJoin(F.broadcast(counts)).select("across", "n", (F.col("fill") < k * (k * k - k)).alias("less"))
+    counts = dissection.numbered(found, ["path", "place", "node"]).agg(F.count_distinct("at").alias("n"))
+    top = found.agg((F.count_if(F.col("path") == "2") <= 3 * k).alias("small"))
+    return across.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(top))  # one row each
 
 
 FLOWGRAPH = f"SELECT i, j, sum(v) v FROM (SELECT i, j, v FROM ({FLOW}) UNION ALL SELECT j, i, v FROM ({FLOW})) WHERE i <> j GROUP BY 1, 2"
