@@ -91,6 +91,8 @@ class Factors:
     singular: bool = False
     #: All pivots have to be positive.
     definite: bool = False
+    #: The cells of A.
+    cells: DataFrame | None = None
 
     def transposed(self) -> Factors:
         """The factors of the transpose: rows and columns change places, and the pivots go from the rows to the multipliers."""
@@ -229,14 +231,15 @@ def _solve_dense(rest: DataFrame, b: DataFrame, definite: bool) -> DataFrame:
 
 def eliminate(
     a: DataFrame, choose: Callable[[DataFrame], DataFrame] = ready_diagonals, pattern: DataFrame | None = None,
-    drop: Callable[[DataFrame], DataFrame] | None = None, dense: int = DENSE, definite: bool = False,
+    drop: Callable[[DataFrame], DataFrame] | None = None, dense: int = DENSE, definite: bool = False, plan: Factors | None = None,
 ) -> Factors:
     """The factors of A. With ``pattern``, updates outside it are left out; ``drop`` filters ``(i, j, v, d)`` next to each pivot d.
 
     On the diagonal a pivot of zero is an error, and with ``definite`` one that is not positive; by
-    size, what has no pivot is left, as the matrix is singular.
+    size, what has no pivot is left, as the matrix is singular. With ``plan``, the factors of a matrix that has all of A's
+    cells, no pivot is chosen: its pivots are taken in its rounds, and one that is zero now is an error.
     """
-    on_diagonal = choose in DIAGONAL
+    on_diagonal = plan.in_order if plan else choose in DIAGONAL
     one = a.groupBy("i", "j").agg(F.sum("v").alias("v"))
     if on_diagonal:
         rest = settle(one.withColumns({"row": F.lit(0.0), "col": F.lit(0.0)}))
@@ -244,10 +247,19 @@ def eliminate(
         one = settle(one)
         rows, cols = (one.groupBy(c).agg(F.max(F.abs("v")).alias(name)) for c, name in (("i", "row"), ("j", "col")))
         rest = settle(one.join(rows, "i").join(cols, "j").select("i", "j", "v", "row", "col"))
-    out = Factors(in_order=on_diagonal, definite=definite)
+    out = Factors(in_order=on_diagonal, definite=definite, cells=rest)
+    if plan and not rest.join(plan.cells.select("i", "j"), ["i", "j"], "left_anti").isEmpty():
+        raise ValueError("the plan lacks cells of the matrix")
+    if plan:
+        # what is absent now is a zero of the plan's pattern
+        rest = settle(rest.unionByName(plan.cells.join(rest.select("i", "j"), ["i", "j"], "left_anti").withColumn("v", F.lit(0.0))))
     size = max(rest.agg(F.count_distinct("i"), F.count_distinct("j")).first())
     while True:
-        pivots = settle(choose(rest))
+        if plan and len(out.rounds) == len(plan.rounds):
+            out.rest, out.singular = None if plan.rest is None else rest, plan.singular
+            return out
+        given = plan.rounds[len(out.rounds)][0].select("i", "j") if plan else None
+        pivots = settle(rest.join(given, ["i", "j"]).select("i", "j", F.col("v").alias("d")) if plan else choose(rest))
         n, least, lowest = pivots.agg(F.count("*"), F.min(F.abs("d")), F.min("d")).first()
         if n and definite and not lowest > 0:
             raise NotPositiveDefinite("not positive definite")
@@ -261,7 +273,7 @@ def eliminate(
             taken = sum(p.count() for p, _, _ in out.rounds)
             out.singular = taken < size
             return out
-        if pattern is None and drop is None and n <= dense:
+        if plan is None and pattern is None and drop is None and n <= dense:
             rows, cols = rest.agg(F.count_distinct("i"), F.count_distinct("j")).first()
             if max(rows, cols) <= dense and 4 * n <= min(rows, cols):
                 out.rest = rest

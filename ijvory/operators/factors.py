@@ -207,6 +207,29 @@ def lu_solve(a: DataFrame, b: DataFrame, tol: float = 1.0, refine: int = 0) -> D
     return x.drop("k") if single else x
 
 
+def plan_lu(a: DataFrame, tol: float = 1.0) -> Factors:
+    """The factors of a matrix, kept: to ``solve`` with them, and to ``refactor`` others of its pattern."""
+    return eliminate(a, threshold_pivots(tol))
+
+
+def plan_cholesky(a: DataFrame) -> Factors:
+    """The same for a positive definite matrix, of which only the upper triangle is read, in an order of little fill."""
+    return eliminate(_mirrored(a), least_degree_diagonals, definite=True)
+
+
+def refactor(plan: Factors, a: DataFrame) -> Factors:
+    """The factors of a matrix whose cells are all cells of the plan's, by the plan's pivots: nothing is chosen or ordered again.
+
+    A pivot that is zero now, or not positive for a Cholesky plan, is an error, and so is a cell that the plan lacks.
+    """
+    return eliminate(_mirrored(a) if plan.definite else a, definite=plan.definite, plan=plan)
+
+
+def solve_with(plan: Factors, b: DataFrame) -> DataFrame:
+    """x of A x = b for kept factors."""
+    return _solved(plan, b)
+
+
 def lu_solve_transposed(a: DataFrame, b: DataFrame, tol: float = 1.0) -> DataFrame:
     """x of Aᵀ x = b, from the factors of A."""
     return _solved(eliminate(a, threshold_pivots(tol)).transposed(), b)

@@ -26,8 +26,7 @@ def solve(t: DataFrame, b: DataFrame) -> DataFrame:
     out = None
     for level in range((last if last is not None else -1) + 1):
         now = rest.where(F.col("level") == level).groupBy("i", "k").agg(F.sum("v").alias("v"))
-        # columns of their own: what Spark knows of those before a checkpoint must not reach the union
-        x = apart(settle(now.join(diag, "i", "left").select("i", "k", quotient(F.col("v"), F.coalesce("d", F.lit(0.0))).alias("v"))))
+        x = settle(now.join(diag, "i", "left").select("i", "k", quotient(F.col("v"), F.coalesce("d", F.lit(0.0))).alias("v")))
         out = x if out is None else out.unionByName(x)
         y = x.select(F.col("i").alias("j"), "k", F.col("v").alias("x"))
         moved = off.where(F.col("at") == level).join(y, "j").select("i", "k", (-F.col("v") * F.col("x")).alias("v"))
@@ -96,4 +95,4 @@ def solve_sparse(t: DataFrame, b: DataFrame) -> DataFrame:
     """
     live = settle(reach(t.select("i", "j"), b.where("v <> 0").select(F.col("i").alias("node"))))
     part = t.join(live.select(F.col("node").alias("j")), "j", "left_semi")
-    return solve(apart(settle(part)), apart(b.where("v <> 0").select("i", "k", "v")))
+    return solve(apart(settle(part)), b)

@@ -1,7 +1,7 @@
 """Registered queries on matrices with real fill: factors, least squares, block forms and orders, with their DuckDB SQL.
 
 GRID: the positive definite Laplacian + I of a k x k grid of parts, edges weighted by size.
-SKEW: GRID with its lower half weakened and its rows scaled by powers of ten up to 16, a general matrix.
+SKEW: GRID with its lower half weakened and one row in 97 times 1e16, a general matrix.
 OL: quantity by order (rows) and line number (columns), a tall one. EM: the embeddings, dense and tall.
 FLOW: quantity by the nations of customer and supplier.
 """
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ijvory.operators import dissection, factors, graphs, maintain, orthogonal, products, shape, spectral, structure, trees, triangular, vectors
 from ijvory.operators.rounds import settle
-from ijvory.plans import block_form
-from ijvory.workloads import KNOWN, NET, RING, S, network, parts_vector, query, ramp, reverse, ring, rounded, table
+from ijvory.plans import block_form, symbolic
+from ijvory.workloads import FILL, KNOWN, NET, RING, S, network, parts_vector, query, ramp, reverse, ring, rounded, table
 
 
 def _side(spark, sf_dir) -> int:
@@ -37,9 +37,14 @@ def grid(spark, sf_dir) -> DataFrame:
     return both.unionByName(diag)
 
 
+def _heavy():
+    """A factor of 1e16 for some rows, 1 for the others."""
+    return F.when(F.col("i") % 97 == 5, 1e16).otherwise(1.0)
+
+
 def skew(spark, sf_dir) -> DataFrame:
     weak = F.when(F.col("i") > F.col("j"), 0.5).otherwise(1.0)
-    return grid(spark, sf_dir).select("i", "j", (F.col("v") * weak * F.pow(F.lit(10.0), (F.col("i") % 3) * 8)).alias("v"))
+    return grid(spark, sf_dir).select("i", "j", (F.col("v") * weak * _heavy()).alias("v"))
 
 
 def sevens(spark, n: int) -> DataFrame:
@@ -130,7 +135,7 @@ def lu_tsolve_skew(spark, sf_dir):
 def lu_pivots_reconstruct(spark, sf_dir):
     """L U of SKEW with pivots by size, its rows scaled back."""
     _, low, up = factors.lu(skew(spark, sf_dir))
-    found = products.spgemm(low, up).select("i", "j", (F.col("v") / F.pow(F.lit(10.0), (F.col("i") % 3) * 8)).alias("v"))
+    found = products.spgemm(low, up).select("i", "j", (F.col("v") / _heavy()).alias("v"))
     return maintain.dropzeros(rounded(found))
 
 
@@ -164,6 +169,29 @@ def condition_grid(spark, sf_dir):
     return structure.norm1(a).select(F.round(F.lit(inverse), 6).alias("inverse_norm"), F.round(F.col("v") * inverse, 6).alias("condition"))
 
 
+@query(SEVENS)
+def rechol_solve(spark, sf_dir):
+    """x of A x = b for GRID + 2 I, by the pivots that GRID was factored with."""
+    a, n = settle(grid(spark, sf_dir)), _side(spark, sf_dir) ** 2
+    more = a.withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), 2.0).otherwise(0.0))
+    return rounded(factors.solve_with(factors.refactor(factors.plan_cholesky(a), more), products.spmv(more, sevens(spark, n))))
+
+
+@query(SEVENS)
+def relu_solve(spark, sf_dir):
+    """x of Aᵀ-weakened GRID by the pivots that SKEW was factored with."""
+    a, n = settle(skew(spark, sf_dir)), _side(spark, sf_dir) ** 2
+    other = grid(spark, sf_dir).withColumn("v", F.col("v") * F.when(F.col("i") < F.col("j"), 0.5).otherwise(1.0))
+    return rounded(factors.solve_with(factors.refactor(factors.plan_lu(a), other), products.spmv(other, sevens(spark, n))))
+
+
+@query(f"""SELECT node, n, coalesce(sum(n) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+FROM (SELECT k::BIGINT node, (1 + count(j))::BIGINT n FROM range({S} + 30) t(k) LEFT JOIN ({FILL}) ON j = k GROUP BY k)""")
+def schol_columns(spark, sf_dir):
+    """Entries and starts of the columns of NET's factor, before it is computed."""
+    return symbolic.symbolic_cholesky(network(spark, sf_dir), table(spark, sf_dir, "supplier").count() + 30).columns.select("node", "n", "start")
+
+
 # Orthogonal factors
 
 
@@ -265,7 +293,7 @@ SELECT node AS i, 0::BIGINT AS bad FROM p""")
 def spsolve_sparse_rhs(spark, sf_dir):
     """L x = e0 for the lower triangle of NET: the rows that are solved for, and those where L x is not e0."""
     low = settle(maintain.tril(network(spark, sf_dir)))
-    x = settle(triangular.solve_sparse(low, spark.range(1).selectExpr("id as i", "0 as k", "1.0D as v")))
+    x = settle(triangular.solve_sparse(low, spark.createDataFrame([(0, 0, 1.0)], "i long, k int, v double")))
     off = products.spmv(low, x.select("i", "v")).select("i", (F.abs(F.col("v") - F.when(F.col("i") == 0, 1.0).otherwise(0.0)) > 1e-9).cast("long").alias("bad"))
     return x.select("i").join(off, "i", "left").select("i", F.coalesce("bad", F.lit(0)).cast("long").alias("bad"))
 

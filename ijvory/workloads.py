@@ -235,14 +235,35 @@ def diagonal_k(spark, sf_dir):
     return structure.diagonal(supplier_part(spark, sf_dir), table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count(), 2)
 
 
-@query("SELECT TRUE AS flag")
+def _three(spark, sf_dir) -> dict[str, DataFrame]:
+    """NET, its lower triangle and RING, by name."""
+    net = network(spark, sf_dir)
+    return {"net": net, "low": maintain.tril(net), "up": maintain.triu(net), "ring": ring(spark, sf_dir)}
+
+
+def _each(matrices: dict[str, DataFrame], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    out = None
+    for name, a in matrices.items():
+        one = f(a).withColumn("matrix", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+THREE = f"""SELECT 'net' AS matrix, i, j, v FROM ({NET}) UNION ALL SELECT 'low', i, j, v FROM ({NET}) WHERE i >= j
+  UNION ALL SELECT 'up', i, j, v FROM ({NET}) WHERE i <= j UNION ALL SELECT 'ring', i, j, 1.0 FROM ({RING})"""
+
+
+@query(f"""WITH m AS ({THREE}) SELECT a.matrix, bool_and(b.v IS NOT DISTINCT FROM a.v) AS flag
+FROM m a LEFT JOIN m b ON b.matrix = a.matrix AND b.i = a.j AND b.j = a.i GROUP BY 1""")
 def is_symmetric(spark, sf_dir):
-    return structure.is_symmetric(network(spark, sf_dir))
+    """Whether NET, its triangles and RING are symmetric."""
+    return _each(_three(spark, sf_dir), structure.is_symmetric)
 
 
-@query("SELECT -1 AS kind")
+@query(f"SELECT matrix, CASE WHEN bool_and(i <= j) THEN 1 WHEN bool_and(i >= j) THEN -1 ELSE 0 END AS kind FROM ({THREE}) GROUP BY 1")
 def is_triangular(spark, sf_dir):
-    return structure.is_triangular(maintain.tril(network(spark, sf_dir)))
+    """The kinds of NET, its triangles and RING."""
+    return _each(_three(spark, sf_dir), structure.is_triangular)
 
 
 @query(f"""WITH a AS ({RING}) SELECT count(*) FILTER (EXISTS (SELECT 1 FROM a b WHERE b.i = a.j AND b.j = a.i))::DOUBLE / count(*) v FROM a""")
@@ -531,11 +552,13 @@ def build_graph_ata(spark, sf_dir):
     return graphs.graph_of_normal(ring(spark, sf_dir))
 
 
-@query(f"SELECT ({S} + 30)::BIGINT AS n")
+@query(f"""SELECT 'low' AS matrix, count(DISTINCT i) AS n FROM ({NET}) WHERE i >= j
+UNION ALL SELECT 'net', count(*) FROM (SELECT i FROM ({NET}) GROUP BY i HAVING count(*) = 1)""")
 def peel_triangular(spark, sf_dir):
-    """Pairs peeled off the mixed-up lower triangle of NET: all."""
-    mixed = shape.permute(maintain.tril(network(spark, sf_dir)), vectors.randperm(spark, table(spark, sf_dir, "supplier").count() + 30, -1))
-    return graphs.peel_triangular(mixed).agg(F.least(F.count_distinct("i"), F.count_distinct("j")).alias("n"))
+    """Pairs peeled off the mixed-up lower triangle of NET, all of them, and off NET itself, which has no row of one entry."""
+    back = vectors.randperm(spark, table(spark, sf_dir, "supplier").count() + 30, -1)
+    mixed = {"low": shape.permute(maintain.tril(network(spark, sf_dir)), back), "net": shape.permute(network(spark, sf_dir), back)}
+    return _each(mixed, lambda a: graphs.peel_triangular(a).agg(F.least(F.count_distinct("i"), F.count_distinct("j")).alias("n")))
 
 
 def _known(spark, sf_dir) -> DataFrame:
@@ -742,12 +765,14 @@ def minimum_degree_fill(spark, sf_dir):
     return found.agg(F.count_distinct("node").alias("n")).crossJoin(early.agg(F.count("*").alias("fill")))
 
 
-@query(f"SELECT k::BIGINT AS at FROM range({S} + 30) t(k)")
+@query(f"""WITH RECURSIVE u AS ({EDGES}), e AS (SELECT i, j FROM u UNION SELECT j, i FROM u), d AS (SELECT i AS node, count(*) AS degree FROM e GROUP BY 1),
+  lv(node, level) AS (SELECT min_by(node, (degree, node)), 0 FROM d UNION SELECT e.j, level + 1 FROM lv JOIN e ON e.i = lv.node WHERE level < 12),
+  least_ AS (SELECT node, min(level) AS level FROM lv GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY level DESC, degree DESC, node DESC) - 1)::BIGINT AS k, node::BIGINT AS at FROM least_ JOIN d USING (node)""")
 def reverse_levels(spark, sf_dir):
     """All nodes of NET, ordered by reverse breadth-first levels."""
     edges, n = network_edges(spark, sf_dir)
-    order = orderings.reverse_levels(shape.make_symmetric(edges.withColumn("v", F.lit(1.0))), spark.range(n).withColumnRenamed("id", "node"))
-    return order.select("at")
+    return orderings.reverse_levels(shape.make_symmetric(edges.withColumn("v", F.lit(1.0))), spark.range(n).withColumnRenamed("id", "node"))
 
 
 @query("SELECT 0::BIGINT AS crossing")
