@@ -38,6 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows for which a settled table has a partition of its own.
+PART_ROWS = 50_000
+
+
+def parts_for(rows: int) -> int:
+    """Partitions for so many rows: a table of few rows in hundreds of partitions makes as many files in each exchange."""
+    return max(1, -(-rows // PART_ROWS))
+
+
+def cut_few(df: DataFrame) -> DataFrame:
+    """``cut``, read in as many partitions as its rows call for."""
+    done = cut(df)
+    return done.coalesce(parts_for(done.count()))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its rows and their bytes, both counted, are within the bounds, else as it is."""
     width = F.lit(0).cast("long")

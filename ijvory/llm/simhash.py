@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import content, cut, slices, small
+from ijvory.llm.common import content, cut, cut_few, parts_for, slices, small
 
 SEED = 42
 BITS, SEGMENTS = 64, 2
@@ -100,7 +100,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)``: each node of ``edges (a, b)`` with the smallest node it reaches.
 
     Alternates large-star and small-star steps, each one a group-minimum and an
-    equality join, until the edges no longer change.
+    equality join, until the edges no longer change. Every exchange is fed by as many
+    partitions as the edges call for, however many the session shuffles into.
     """
     low, high = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     edges = cut(edges.where("a <> b").select(low, high).distinct())
@@ -110,17 +111,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = None
     while (now := state(edges)) != before:
-        before = now
-        ways = edges.union(edges.select("hi", "lo"))
-        least = ways.groupBy(F.col("lo").alias("u")).agg(F.min("hi").alias("v"))
-        least = least.select("u", F.least("u", "v").alias("m"))
+        before, parts = now, parts_for(now[0])
+        few = lambda df, n=parts: df.coalesce(n)
+        edges = few(edges)
+        ways = edges.select("lo", "hi", F.explode(F.array(F.struct("lo", "hi"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi")))).alias("x"))
+        least = ways.groupBy(F.col("x.lo").alias("u")).agg(F.min("x.hi").alias("v"))
+        least = few(least.select("u", F.least("u", "v").alias("m")))
         # large star: the larger neighbours of u are tied to the least of them all
-        large = edges.join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi").distinct()
+        large = few(few(edges.join(least, F.col("lo") == F.col("u")).select(F.col("m").alias("lo"), "hi")).distinct())
         # small star: u and its smaller neighbours are tied to the least of these
-        floor = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        tied = large.join(floor, F.col("hi") == F.col("u"))
-        hops = tied.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(tied.select("m", "u"))
-        edges = cut(hops.where("lo <> hi").distinct())
+        floor = few(large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
+        tied = few(large.join(floor, F.col("hi") == F.col("u")))
+        hops = tied.select(F.explode(F.array(F.struct(F.col("m").alias("lo"), F.col("lo").alias("hi")), F.struct(F.col("m").alias("lo"), F.col("u").alias("hi")))).alias("x")).select("x.*")
+        edges = cut(few(hops.where("lo <> hi").distinct()))
     roots = edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.union(edges.select("lo", "lo").distinct())
 
@@ -325,21 +328,21 @@ def _alike(pairs: DataFrame, drawn: DataFrame, docs: DataFrame, text_col: str, s
                 keep.append(c >= similarity * (len(p) + len(q) - c) - 1e-9)
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    own = small(cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    mine = small(cut(drawn.join(own, "node", "left_semi")))
+    pairs = cut_few(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    own = small(cut_few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    mine = small(cut_few(drawn.join(own, "node", "left_semi")))
     side = lambda name: mine.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
-    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(may, "a long, b long"))
-    ends = small(cut(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    likely = cut_few(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(may, "a long, b long"))
+    ends = small(cut_few(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     texts = _texts(docs, text_col, mine.join(ends, "node", "left_semi").select("node", "content"))
     held = lambda name: texts.select(F.col("node").alias(name), F.col("z").alias(f"z{name}"))
-    return cut(likely.join(held("a"), "a").join(held("b"), "b").select("a", "b", "za", "zb").mapInArrow(same, "a long, b long"))
+    return cut_few(likely.join(held("a"), "a").join(held("b"), "b").select("a", "b", "za", "zb").mapInArrow(same, "a long, b long"))
 
 
 def _by_fingerprint(rows: DataFrame, sharing: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of nodes in ``sharing`` that the fingerprints propose: each with the first of its fingerprint, and the first ones of linked fingerprints."""
     nodes = rows.select("node", "fp").join(sharing, "node", "left_semi").distinct()
-    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    first = cut_few(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = links(first.select("fp"))
     end = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_node"))
@@ -358,31 +361,31 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
     texts and are not tied by then are compared pair by pair.
     """
     index = _prefixes(docs, text_col, shingle, similarity)
-    index = cut(_counted(index))
+    index = cut_few(_counted(index))
     # a text that shares no key has no partner at all
-    sharing = small(cut(index.select("node").distinct()))
+    sharing = small(cut_few(index.select("node").distinct()))
     drawn = rows.join(sharing, "node", "left_semi").groupBy("node")
-    drawn = small(cut(drawn.agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("content").alias("content"))))
+    drawn = small(cut_few(drawn.agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("content").alias("content"))))
     links_ = _alike(_by_fingerprint(rows, sharing), drawn, docs, text_col, shingle, similarity)
     tied = components(links_)
-    index = cut(index.where(F.col("n") <= CROWDED).unionByName(_by_size(index.where(F.col("n") > CROWDED), similarity)))
+    index = cut_few(index.where(F.col("n") <= CROWDED).unionByName(_by_size(index.where(F.col("n") > CROWDED), similarity)))
     spread = (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
     crowd = index.where(F.col("n") > CROWDED).select("*", spread)
     before, now = 0, FEW
     while True:
         degree = links_.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         known = crowd.where(F.col("n") > before).join(tied, "node", "left").join(degree, "node", "left")
-        known = cut(known.select("key", "node", "at", "size", "n", "u", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        known = cut_few(known.select("key", "node", "at", "size", "n", "u", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
         open_keys = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("degree", "node")).alias("top"))
         open_keys = open_keys.where("r0 <> r1").select("key", F.when(F.col("top.degree") > 0, F.col("top.node")).alias("hub"))
-        crowd = cut(known.join(open_keys, "key").select("key", "node", "at", "size", "n", "u", "root", "hub"))
+        crowd = cut_few(known.join(open_keys, "key").select("key", "node", "at", "size", "n", "u", "root", "hub"))
         if crowd.isEmpty():
             break
         lead = crowd.where((F.col("u") >= before / F.col("n")) & (F.col("u") < now / F.col("n")) | (F.col("node") == F.col("hub")))
         pairs = _side(lead, "a", "root").join(_side(crowd, "b", "root"), "key").where((F.col("a_root") != F.col("b_root")) & _may(similarity)).select("a", "b")
         found = _alike(pairs, drawn, docs, text_col, shingle, similarity)
         if not found.isEmpty():
-            links_ = cut(links_.unionByName(found))
+            links_ = cut_few(links_.unionByName(found))
             tied = components(links_)
         crowd = crowd.select("key", "node", "at", "size", "n", "u")
         before, now = now, now * GROWTH
