@@ -111,9 +111,13 @@ def strong_components(a: DataFrame, nodes: DataFrame) -> DataFrame:
     while count:
         inner = edges.join(edges.select(F.col("d").alias("s")).distinct(), "s", "left_semi").join(edges.select(F.col("s").alias("d")).distinct(), "d", "left_semi")
         inner = settle(inner.select("s", "d"))
-        chain, ring = (settle(x) for x in _links(inner))
+        chain, ring = _links(inner)
+        # by minima, so that Spark doesn't carry along what it has inferred about the doubled columns
+        chain = settle(chain.groupBy("node").agg(F.min("tail").alias("tail"), F.min("head").alias("head")))
+        ring = settle(ring.groupBy("node").agg(F.min("label").alias("label")))
         labels = ring if labels is None else labels.unionByName(ring)
-        chains.append(chain)
+        if not chain.isEmpty():
+            chains.append(chain)
         gone = chain.select("node").unionByName(ring.select("node"))
         kept = inner.join(gone.select(F.col("node").alias("s")), "s", "left_anti").join(gone.select(F.col("node").alias("d")), "d", "left_anti")
         new = chain.where("tail <> head").select(F.col("tail").alias("s"), F.col("head").alias("d"))
@@ -126,14 +130,14 @@ def strong_components(a: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = found if labels is None else labels.unionByName(found)
     if labels is None:
         return nodes.select("node").distinct().withColumn("label", F.col("node"))
+    labels = settle(labels.groupBy("node").agg(F.min("label").alias("label")))
     for chain in reversed(chains):
-        ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("tail", "head")]
-        both = chain.join(ends[0], "tail", "left").join(ends[1], "head", "left")
         # an end that no component has is one of its own
-        tail, head = F.coalesce("tail_label", "tail"), F.coalesce("head_label", "head")
-        inside = both.where(tail == head).select("node", tail.alias("label"))
-        own = both.where(tail == head).select(F.col("tail").alias("node"), tail.alias("label"))
-        labels = settle(labels.unionByName(inside).unionByName(own).distinct())
+        ends = chain.select("node", "tail", F.explode(F.array("tail", "head")).alias("end")).join(labels.withColumnRenamed("node", "end"), "end", "left")
+        own = F.coalesce("label", "end")
+        both = ends.groupBy("node").agg(F.min("tail").alias("tail"), F.min(own).alias("label"), F.max(own).alias("other")).where("label = other")
+        found = both.select(F.explode(F.array("node", "tail")).alias("node"), "label")
+        labels = settle(labels.unionByName(found).groupBy("node").agg(F.min("label").alias("label")))
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
     known = labels.join(least, "label").select("node", "least")
     return settle(nodes.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("least", "node").alias("label")))
