@@ -9,18 +9,18 @@ little labelled text cannot win by naming its few places cheaply.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ijvory.llm.common import slices
 
-#: Default bounds of the labelled sample: documents per language (about), characters of a piece of each, letters of a language.
-SAMPLE_DOCS, PIECE, LETTERS = 400, 120, 250
+#: Default bound of the labelled sample of a language, in rows of PASSAGE characters, and that length.
+SAMPLE_ROWS, PASSAGE = 300, 400
 #: Texts are parsed in segments of so many symbols side by side; phrases go on across their borders.
 SEGMENT, LANES = 2048, 1 << 22
 #: The bit that marks a break at a letter that the language lacks; states lie below it.
@@ -59,16 +59,54 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return move
 
 
+def packed(move: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each state and one table of all transitions, for symbols below ``width``.
+
+    The transition of a state at place p with symbol c is in ``table[p + c]``: p in the upper 32 bits, the
+    place it leads to in the lower ones. Other words are -1 or have another place. States of many
+    transitions are placed first; where those of one degree no longer fit between the others, the table grows.
+    """
+    degree = np.array([len(m) for m in move])
+    source = np.repeat(np.arange(len(move)), degree)
+    symbol = np.array([c for m in move for c in m], np.int64)
+    target = np.array([t for m in move for t in m.values()], np.int64)
+    starts = np.cumsum(degree) - degree
+    rng = np.random.default_rng(0)
+    low, high = 0, 2 * (len(move) + len(symbol)) + 1
+    owner, holder, place = np.full(high + width, -1), np.full(high, -1), np.full(len(move), -1)
+    for d in np.unique(degree)[::-1]:
+        left, low, rounds = np.flatnonzero(degree == d), 0, 0
+        while len(left):
+            if rounds and not rounds % 20:
+                low, high = high, high + 4 * len(left) * (int(d) + 1)
+                owner = np.concatenate([owner, np.full(high + width - len(owner), -1)])
+                holder = np.concatenate([holder, np.full(high - len(holder), -1)])
+            rounds += 1
+            at = rng.integers(low, high, len(left))
+            slots = at[:, None] + symbol[starts[left, None] + np.arange(d)]
+            free = (owner[slots] < 0).all(axis=1) & (holder[at] < 0)
+            state, at, slots = left[free], at[free], slots[free]
+            owner[slots], holder[at] = state[:, None], state  # of several that want a slot the last one has it
+            won = (owner[slots] == state[:, None]).all(axis=1) & (holder[at] == state)
+            for held, wanted, by in ((owner, slots[~won].ravel(), np.repeat(state[~won], d)), (holder, at[~won], state[~won])):
+                held[wanted[held[wanted] == by]] = -1
+            place[state[won]] = at[won]
+            left = left[place[left] < 0]
+    table = np.full(high + width, -1, np.int64)
+    table[place[source] + symbol] = place[source] << 32 | place[target]
+    return place, table
+
+
 class Model:
-    """Symbols by code point and, for each language, the transition table of its automaton.
+    """Symbols by code point and, for each language, the transitions of its automaton.
 
-    ``table[s + c]`` is the next state (its row's start) or the complement of the
-    state in which a new phrase begins with the language's own symbol c.
+    All are in one ``table``, see ``packed``; where it has no transition for a
+    symbol, a new phrase begins, in the state ``begin[language, symbol]``.
     """
 
-    def __init__(self, samples: dict[str, list[str]], letters: int = LETTERS):
+    def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        own = {x: Counter(c for t in samples[x] for c in t.lower() if c.isalpha()) for x in self.langs}
+        own = {x: {c for t in samples[x] for c in t.lower() if c.isalpha()} for x in self.langs}
         known = {c: k + 1 for k, c in enumerate(sorted(set().union(*own.values())))}
         # 0 parts words; the last symbol stands for letters that no sample has
         other = len(known) + 1
@@ -77,47 +115,38 @@ class Model:
             c = chr(code)
             if c.isalpha():
                 self.symbols[code] = known.get(c.lower()[0], other)
-        self.columns = np.empty((len(self.langs), other + 1), np.int32)
-        rows, self.roots, self.sizes, self.plain, first = [], [], [], [], 0
+        self.begin = np.empty((len(self.langs), other + 1), np.int64)
+        tables, self.roots, self.sizes, self.plain, first = [], [], [], [], 0
         for k, lang in enumerate(self.langs):
-            kept = sorted(own[lang], key=lambda c: (-own[lang][c], c))[:letters]
-            width = len(kept) + 2
-            self.columns[k] = width - 1
-            self.columns[k, 0] = 0
-            self.columns[k, [known[c] for c in kept]] = np.arange(1, width - 1)
-            text = self.columns[k, np.concatenate([self.read(t) for t in samples[lang]] or [np.zeros(0, int)])]
+            text = np.concatenate([self.read(t) for t in samples[lang]] or [np.zeros(0, int)])
             move = automaton(text.tolist())
-            if first + len(move) * width >= 1 << LACKS:
-                raise ValueError("the labelled sample is too large; take fewer or shorter pieces")
-            table = np.empty((len(move), width), np.int32)
-            table[:] = ~(first + np.array([move[0].get(c, 0) for c in range(width - 1)] + [0]) * width)
-            table[:, -1] = ~(first | 1 << LACKS)
-            for s, to in enumerate(move):
-                for c, t in to.items():
-                    if c < width - 1:  # letters beyond the bound count as unseen
-                        table[s, c] = first + t * width
-            rows.append(table.ravel())
-            self.roots.append(first)
+            place, table = packed(move, other + 1)
+            if first + len(table) >= 1 << LACKS:
+                raise ValueError("the labelled sample is too large; take fewer rows")
+            table[table >= 0] += first << 32 | first
+            self.begin[k] = first + place[0] | 1 << LACKS
+            for c, t in move[0].items():
+                self.begin[k, c] = first + place[t]
+            tables.append(table)
+            self.roots.append(first + place[0])
             self.sizes.append(len(text))
-            self.plain.append(np.log2(width - 1))
-            first += table.size
-        self.table = np.concatenate(rows or [np.zeros(1, np.int32)])
-        self.roots = np.array(self.roots, np.int32)
+            self.plain.append(np.log2(len(own[lang]) + 1))
+            first += len(table)
+        self.table = np.concatenate(tables or [np.full(1, -1)])
+        self.roots = np.array(self.roots, np.int64)
 
     def read(self, text: str) -> np.ndarray:
         """Symbols of a text, one zero between words and one after the last."""
         s = self.symbols[np.frombuffer((text + " ").encode("utf-32-le"), np.uint32)]
         return s[(s > 0) | (np.concatenate([[0], s[:-1]]) > 0)]
 
-    def _step(self, state: np.ndarray, column: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _step(self, state: np.ndarray, symbol: np.ndarray, begin: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The states after one more symbol, where a phrase ended before it, and how many did (two where the symbol is one of its own)."""
-        to = self.table[state + column]
-        broke = to >> 31
-        to ^= broke
-        lacks = to >> LACKS
-        more = (lacks & (state != root)) - broke
-        to &= (1 << LACKS) - 1
-        return to, broke, more
+        word = self.table[state + symbol]
+        broke = word >> 32 != state
+        to = np.where(broke, begin, word & 0xFFFFFFFF)
+        more = (to >> LACKS & (state != root)) + broke
+        return to & (1 << LACKS) - 1, broke, more
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of every text (rows) in every language (columns)."""
@@ -148,7 +177,7 @@ class Model:
         count = np.zeros(state.shape, np.int32)
         ends = np.zeros((lengths[0], *state.shape), bool)
         for t, n in enumerate(live):
-            state[:, :n], ends[t, :, :n], more = self._step(state[:, :n], self.columns[:, grid[t, :n]], root)
+            state[:, :n], ends[t, :, :n], more = self._step(state[:, :n], grid[t, :n], self.begin[:, grid[t, :n]], root)
             count[:, :n] += more
         # then the phrase that is open at each border goes on until it ends where one of the next segment's does; from there both agree
         lane_of = {p: lane for lane, p in enumerate(parts)}
@@ -168,12 +197,13 @@ class Model:
                     open_ = open_[~done]
                     continue
                 x, y = lang[open_], lane[open_]
-                column = self.columns[x, grid[t, y]]
-                now[open_], broke, more = self._step(now[open_], column, self.roots[x])
-                alone[open_], _, less = self._step(alone[open_], column, self.roots[x])
+                symbol = grid[t, y]
+                begin = self.begin[x, symbol]
+                now[open_], broke, more = self._step(now[open_], symbol, begin, self.roots[x])
+                alone[open_], _, less = self._step(alone[open_], symbol, begin, self.roots[x])
                 counts[open_] += more
                 own[open_] += less
-                met = (broke < 0) & (ends[t, x, y] | (t == 0))
+                met = broke & (ends[t, x, y] | (t == 0))
                 open_ = open_[~met]
                 t += 1
             fixed[lang, lane] = counts - own
@@ -204,30 +234,27 @@ class Model:
         return langs, scores, fits
 
 
-def fit(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample_docs: int = SAMPLE_DOCS, piece: int = PIECE, letters: int = LETTERS,
-) -> Model:
-    """A model from about ``sample_docs`` different texts of each language, chosen by a hash of the text.
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from about ``sample_rows`` labelled rows of each language, chosen by their hash.
 
-    Of each the ``piece`` characters at a hashed place are learnt, all if it is
-    shorter; equal texts count once; of each language's letters the ``letters``
-    most frequent ones. Rows without id, text or language are not used. A
-    language's table has some 1.5 x sample_docs x piece states of a number for
-    each letter.
+    A row is a text, or of a longer one PASSAGE characters: texts are cut into such
+    rows from beginning to end, and every row has the same chance; equal ones count
+    once. What is chosen is learnt whole, with all its letters. Rows without id, text or
+    language are not used. A language's automaton has at most 2 states and 3
+    transitions for each learnt character, a packed transition some 20 to 100 bytes.
     """
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))
+    rows = rows.select("lang", F.explode_outer(pieces).alias("text")).select("lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     place, keep = F.pmod("h", F.lit(1 << 30)), F.lit(False)
     for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (place < int(min(1.0, sample_docs / max(1, n)) * (1 << 30))))
-    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - piece + 1, F.lit(1))).cast("int") + 1
-    sample = rows.where(keep).select("lang", "h", F.col("text").substr(start, F.lit(piece)).alias("text")).distinct()
+        keep = keep | ((F.col("lang") == lang) & (place < int(min(1.0, sample_rows / max(1, n)) * (1 << 30))))
+    sample = rows.where(keep).distinct()
     samples: dict[str, list[str]] = {lang: [] for lang in sizes}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         samples[r["lang"]].append(r["text"])
-    return Model(samples, letters)
+    return Model(samples)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,21 +278,24 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text a language of the model explains; columns as they were.
+    """The rows of ``docs`` whose text a language of the model explains, with that language as ``lang`` where it is null.
 
     Texts without letters go, and those for which even the best language needs
     more bits, log2 of its labelled text for each phrase, than the letters do one
     by one, all alike: strings of chance letters or of a script that no labelled text has.
     SLACK phrases are free, so that a text of a few words stays. Without any
-    labelled text nothing is explained and no row stays.
+    labelled text nothing is explained and no row stays. Columns are those of ``docs``; it
+    needs no ``lang``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    lang = docs.columns.index("lang") if "lang" in docs.columns else None
 
-    @F.arrow_udf("boolean")
-    def known(texts: pa.Array) -> pa.Array:
-        fits = []
-        for part in slices(pa.record_batch([texts], names=["text"]), 0, 1 << 21):
-            fits += shared.value.parsed(part.column(0).to_pylist())[2].tolist()
-        return pa.array(fits, pa.bool_())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, at, 1 << 21)):
+            langs, _, fits = shared.value.parsed(b.column(at).to_pylist())
+            if lang is not None:
+                b = b.set_column(lang, b.schema.field(lang), pc.coalesce(b.column(lang), pa.array(langs, pa.string()).cast(b.schema.field(lang).type)))
+            yield b.filter(pa.array(fits, pa.bool_()))
 
-    return docs.where(known("text"))
+    return docs.mapInArrow(run, docs.schema)
