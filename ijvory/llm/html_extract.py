@@ -5,17 +5,27 @@ of the page. A line's ratio is its characters over its tags; the ratios in page
 order are smoothed by a Gaussian and clustered by a threshold, their standard
 deviation. The content region is the article (or else the innermost container)
 that holds the mass of the lines above the threshold, or the innermost container
-around it and the shown titles and lines above the threshold elsewhere; its lines are kept,
-short ones too, save those inside elements that are page furniture by name and,
-outside the innermost region, those that are mostly links.
+around it and the shown titles and lines above the threshold elsewhere.
+
+In the region the clusters decide again, whatever the elements are called: a line
+of links, or of more markup than text, stays only if it, or half the lines of its
+list or container, are above the threshold. Short lines of plain text stay. What
+is page furniture by its element or by name is left out before that; names that
+may also be those of an article's part count outside of articles alone.
+
+What a page leaves open is ended as a browser does: a comment at the end of the
+page, a tag without an end is not shown, one with an unclosed quote ends at the next
+bracket. Time is linear in the length of the page.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +40,19 @@ FURNITURE = frozenset("head title script style noscript template nav footer asid
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 REGIONS = frozenset("article main".split())
 TITLES = ("h1", "h2")
-CONTAINERS = REGIONS | frozenset("body section div td table center".split())
-#: Elements that may be furniture by name; those of running text never are.
-NAMEABLE = frozenset("div section header table ul ol dl span ins figure center details fieldset".split())
+LISTS = frozenset("ul ol dl".split())
+CONTAINERS = REGIONS | LISTS | frozenset("body section div td table center".split())
+#: Elements that may be furniture by name; titles and quotations never are.
+NAMEABLE = frozenset("div section header table tr td ul ol li dl dt dd p span ins figure center details fieldset".split())
 NAMES = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter "
-    "subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead footer sidebar side aside widget widgets related "
-    "recommended recommendations teaser teasers share sharing social comment comments commentlist disqus respond replies reactions search login toolbar skip copyright complementary contentinfo".split()
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter "
+    "subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead footer sidebar aside related "
+    "recommended recommendations share sharing comment comments commentlist disqus discussion respond replies toolbar skip complementary contentinfo".split()
 )
+#: Names that count outside of articles only: in one they may be those of its parts.
+WEAK = frozenset("side search alert alerts login social widget widgets teaser teasers reactions copyright".split())
 #: Words that may stand beside one of these in a name, as in site-header; any other word, as in article-header, makes it a name of its own.
-BESIDE = frozenset("site top bottom left right main global primary secondary list box bar block area container wrapper inner links link buttons button posts items item slot unit thread form section panel col column".split())
+BESIDE = frozenset("site top bottom left right main global primary secondary list box bar block area container wrapper inner links link buttons button posts items item slot unit thread form section panel col column user users reader readers visitor visitors holder wrap inline content area text".split())
 #: Elements that a start tag ends if they are open, up to the elements that keep them open.
 ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -52,45 +65,90 @@ MASS = 0.8
 JOIN = "\n\n"
 
 
-def named(mark: str) -> bool:
-    """Whether a word of class, id or role is a name of page furniture."""
-    for word in mark.lower().split():
-        parts = [x for x in re.split(r"[-_]+", word) if x]
-        if any(x in NAMES for x in parts) and all(x in NAMES or x in BESIDE for x in parts):
+#: Inline tags of a line from which on it may be more markup than text, and characters for each tag below which it is.
+MARKS, DENSE = 6, 8
+
+
+def named(mark: str, weak: bool = True) -> bool:
+    """Whether a word of class, id or role is a name of page furniture, or one of the weak names; numbers and single letters in it mean nothing."""
+    for word in mark.split():
+        parts = [x for x in re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower()) if len(x) > 1 and not x.isdigit()]
+        names = [x in NAMES or weak and x in WEAK for x in parts]
+        if any(names) and all(n or x in BESIDE for n, x in zip(names, parts)):
             return True
     return False
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    place: int
+    hidden: bool
+    title: bool
+    linked: bool
+    dense: bool
+
+
 class Lines(HTMLParser):
-    """Collects ``(text, tags, container, furniture, title, linked)`` for each block with text, in page order.
+    """Collects a ``Line`` for each block with text, in page order.
 
-    A container is a number; ``parent`` and ``kind`` have its parent, -1 for none, and its name.
+    A line's place is the innermost container, a number; ``parent`` and ``kind`` have its parent, -1 for none, and its name.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool, bool]] = []
+        self.lines: list[Line] = []
         self.open: list[tuple[str, bool]] = []  # name, furniture
-        self.names: Counter[str] = Counter()  # how often each name is open
+        self.names: defaultdict[str, list[int]] = defaultdict(list)  # where in it each name is open
+        self.blocks: list[int] = []  # where in it elements are that are not inline
         self.parent: list[int] = []
         self.kind: list[str] = []
         self.inside = -1
+        self.sections = True  # whether a section's end may still come
         self.words: list[str] = []
-        self.tags = self.hidden = self.linked = 0
+        self.tags = self.marks = self.hidden = self.linked = 0
+
+    # Each of these reads to the end of the page once at most: what has no end is taken to be ended there.
+
+    def parse_comment(self, i, report=1):
+        found = re.compile("-?>").match(self.rawdata, i + 4) or re.compile(r"--!?\s*>").search(self.rawdata, i + 4)
+        return found.end() if found else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        page = self.rawdata
+        if self.sections and page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i)
+            if end >= 0:
+                return end + 3
+            self.sections = False
+        return page.find(">", i) + 1 or len(page)
+
+    def parse_pi(self, i):
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_starttag(self, i):
+        end = super().parse_starttag(i)
+        return end if end > i else self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_endtag(self, i):
+        return super().parse_endtag(i) if self.rawdata.find(">", i) > 0 else len(self.rawdata)
 
     def _end_line(self):
         text = " ".join("".join(self.words).split())
         if text:
             title = any(self.names[name] for name in TITLES)
-            self.lines.append((text, max(1, self.tags), self.inside, self.hidden > 0, title, 2 * self.linked > len(text)))
+            dense = self.marks >= MARKS and len(text) < DENSE * self.marks
+            self.lines.append(Line(text, max(1, self.tags), self.inside, self.hidden > 0, title, 2 * self.linked > len(text), dense))
             self.tags = 0
         self.words = []
-        self.linked = 0
+        self.linked = self.marks = 0
 
     def _pop(self, depth: int):
         """End the open elements from ``depth`` on, the last first."""
         for name, furniture in reversed(self.open[depth:]):
-            self.names[name] -= 1
+            self.names[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
             if furniture:
                 self._end_line()
             self.hidden -= furniture
@@ -102,21 +160,13 @@ class Lines(HTMLParser):
         """End what a start tag ends without saying so."""
         if tag in ENDS:
             ended, keepers = ENDS[tag]
-            depth = len(self.open)
-            found = None
-            while depth and any(self.names[x] for x in ended) and self.open[depth - 1][0] not in keepers:
-                depth -= 1
-                if self.open[depth][0] in ended:
-                    found = depth
-            if found is not None:
-                self._pop(found)
-        elif tag not in INLINE and self.names["p"]:
+            kept = max((self.names[x][-1] for x in keepers if self.names[x]), default=-1)
+            found = [self.names[x][k] for x in ended if (k := bisect_right(self.names[x], kept)) < len(self.names[x])]
+            if found:
+                self._pop(min(found))
+        elif tag not in INLINE and self.blocks and self.open[self.blocks[-1]][0] == "p":
             # a block ends the paragraph that is open, with the inline elements in it
-            depth = len(self.open)
-            while depth and self.open[depth - 1][0] in INLINE:
-                depth -= 1
-            if depth and self.open[depth - 1][0] == "p":
-                self._pop(depth - 1)
+            self._pop(self.blocks[-1])
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -124,16 +174,21 @@ class Lines(HTMLParser):
             self.words.append(" ")
         if tag not in INLINE:
             self._end_line()
+        elif tag not in VOID:
+            self.marks += 1
         if tag in VOID:
             return
         self._imply(tag)
         mark = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        furniture = tag in FURNITURE or tag in NAMEABLE and named(mark) or tag == "article" and "comment" in mark.lower()
-        furniture = furniture or tag == "header" and not any(self.names[x] for x in REGIONS)
+        article = any(self.names[x] for x in REGIONS)
+        furniture = tag in FURNITURE or tag in NAMEABLE and named(mark, not article) or tag == "article" and "comment" in mark.lower()
+        furniture = furniture or tag == "header" and not article
         if furniture:
             self._end_line()  # also for a span of furniture inside a block
+        self.names[tag].append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
         self.open.append((tag, furniture))
-        self.names[tag] += 1
         self.hidden += furniture
         if tag in CONTAINERS:
             self.parent.append(self.inside)
@@ -149,8 +204,8 @@ class Lines(HTMLParser):
             self._end_line()
         if not self.names[tag]:
             return
-        depth = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag))
-        if tag in INLINE and any(name not in INLINE for name, _ in self.open[depth + 1 :]):
+        depth = self.names[tag][-1]
+        if tag in INLINE and self.blocks and self.blocks[-1] > depth:
             return  # a block that is still open holds on
         self._pop(depth)
 
@@ -171,63 +226,62 @@ def smooth(ratios: np.ndarray) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
+def gathered(values: np.ndarray, places: np.ndarray, parent: list[int]) -> np.ndarray:
+    """The sum of the lines' values in each container and those inside it; the last sum is the page's."""
+    held = np.zeros(len(parent) + 1)
+    np.add.at(held, places, values)  # -1 stands for no container
+    for c in range(len(parent) - 1, -1, -1):  # inner ones have higher numbers
+        held[parent[c]] += held[c]
+    return held
+
+
+def inside_of(top: int, parent: list[int]) -> np.ndarray:
+    """Whether each container is ``top`` or inside it; all are inside of the page, -1."""
+    found = np.zeros(len(parent) + 1, bool)
+    found[top] = True
+    for c, up in enumerate(parent):
+        found[c] |= found[up]
+    return found
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the content region, joined by blank lines; empty if there is no text."""
     page = Lines()
     page.feed(html or "")
     page.close()
-    if not page.lines:
-        return ""
-    sizes = np.array([len(t) for t, *_ in page.lines], float)
-    ratios = sizes / np.array([n for _, n, *_ in page.lines])
-    smoothed = smooth(ratios)
-    shown = np.array([not hidden for _, _, _, hidden, *_ in page.lines])
+    lines = page.lines
+    shown = np.array([not x.hidden for x in lines], bool)
     if not shown.any():
         return ""
-    mass = np.where((smoothed >= smoothed.std()) & shown, sizes, 0.0)
+    sizes = np.array([len(x.text) for x in lines], float)
+    ratios = sizes / np.array([x.tags for x in lines])
+    title, places = np.array([x.title for x in lines]), np.array([x.place for x in lines])
+    linked = np.array([x.linked for x in lines])
+    smoothed = smooth(ratios)
+    content = (smoothed >= smoothed.std()) & shown
+    mass = np.where(content & ~linked, sizes, 0.0)
     if not mass.any():
-        mass = np.where(shown, sizes, 0.0)
-    n = len(page.parent)
-    held, depth = np.zeros(n + 1), np.zeros(n + 1, int)
-    places = np.array([place for _, _, place, *_ in page.lines])
-    np.add.at(held, places, mass)  # the last place stands for no container
-    for c in range(n - 1, -1, -1):  # inner ones have higher numbers
-        held[page.parent[c]] += held[c]
-    for c in range(n):
-        depth[c] = depth[page.parent[c]] + 1 if page.parent[c] >= 0 else 1
-    enough = [c for c in range(n) if held[c] >= MASS * mass.sum()]
+        mass = np.where(content if content.any() else shown, sizes, 0.0)
+    held = gathered(mass, places, page.parent)
+    enough = [c for c in range(len(page.parent)) if held[c] >= MASS * mass.sum() and page.kind[c] not in LISTS]
     # the innermost article; else the innermost container; else the page
     inner = max([c for c in enough if page.kind[c] in REGIONS] or enough, default=-1)
-
-    def meet(a: int, b: int) -> int:
-        while a != b:
-            if a < 0 or b < 0:
-                return -1
-            a, b = (page.parent[a], b) if depth[a] >= depth[b] else (a, page.parent[b])
-        return a
-
-    def within(c: int, memo: dict[int, bool], top: int) -> bool:
-        path = []
-        while c not in memo and c != top and c >= 0:
-            path.append(c)
-            c = page.parent[c]
-        found = memo.get(c, c == top)
-        memo.update(dict.fromkeys(path, found))
-        return found
-
-    in_inner: dict[int, bool] = {}
-    own = [inner < 0 or within(c, in_inner, inner) for c in places]
+    own = inside_of(inner, page.parent)[places]
     # the innermost container of the region and of the shown titles and content lines elsewhere, which are so by their own ratio too
+    needed = shown & ~own & (title | (mass > 0) & (ratios >= smoothed.std()) & ~linked)
+    around = gathered(needed.astype(float), places, page.parent)
     region = inner
-    content = (mass > 0) & (ratios >= smoothed.std())
-    for (_, _, place, hidden, title, linked), m, o in zip(page.lines, content, own):
-        if not hidden and not o and region >= 0 and (title or m and not linked):
-            region = meet(region, place)
-    in_region: dict[int, bool] = {}
-    return JOIN.join(
-        t for (t, _, place, hidden, title, linked), o in zip(page.lines, own)
-        if not hidden and (o or (region < 0 or within(place, in_region, region)) and (title or not linked))
-    )
+    while region >= 0 and around[region] < needed.sum():
+        region = page.parent[region]
+    within = inside_of(region, page.parent)[places]
+    # lines of links or of mere markup stay where the clusters call them, or half of their list or container, content
+    votes = np.where(shown, np.where(content, 1.0, -1.0), 0.0)
+    vote = np.zeros(len(page.parent) + 1)
+    np.add.at(vote, places, votes)
+    elected = np.where(places == inner, content, vote[places] >= 0)
+    plain = ~linked & ~np.array([x.dense for x in lines])
+    kept = shown & within & (title | (plain | elected) & own | ~own & plain)
+    return JOIN.join(x.text for x, k in zip(lines, kept) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
