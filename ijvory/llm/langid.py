@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ijvory.llm.common import slices
 
 #: Default bound of the labelled sample of a language, in rows of PASSAGE characters, and that length.
-SAMPLE_ROWS, PASSAGE = 300, 400
+SAMPLE_ROWS, PASSAGE = 300, 200
 #: Texts are parsed in segments of so many symbols side by side; phrases go on across their borders.
 SEGMENT, LANES = 2048, 1 << 22
 #: The bit that marks a break at a letter that the language lacks; states lie below it.
@@ -142,7 +142,7 @@ class Model:
 
     def _step(self, state: np.ndarray, symbol: np.ndarray, begin: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The states after one more symbol, where a phrase ended before it, and how many did (two where the symbol is one of its own)."""
-        word = self.table[state + symbol]
+        word = self.table.take(state + symbol)
         broke = word >> 32 != state
         to = np.where(broke, begin, word & 0xFFFFFFFF)
         more = (to >> LACKS & (state != root)) + broke
@@ -177,7 +177,7 @@ class Model:
         count = np.zeros(state.shape, np.int32)
         ends = np.zeros((lengths[0], *state.shape), bool)
         for t, n in enumerate(live):
-            state[:, :n], ends[t, :, :n], more = self._step(state[:, :n], grid[t, :n], self.begin[:, grid[t, :n]], root)
+            state[:, :n], ends[t, :, :n], more = self._step(state[:, :n], grid[t, :n], self.begin.take(grid[t, :n], axis=1), root)
             count[:, :n] += more
         # then the phrase that is open at each border goes on until it ends where one of the next segment's does; from there both agree
         lane_of = {p: lane for lane, p in enumerate(parts)}
