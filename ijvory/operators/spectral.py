@@ -11,8 +11,8 @@ from ijvory.operators.orderings import numbered
 from ijvory.operators.products import spmm
 from ijvory.operators.rounds import settle
 
-#: Vectors that are iterated together; the shift that makes the Laplacian definite, relative to its largest entry.
-VECTORS, SHIFT = 8, 1e-6
+#: Vectors that are iterated together; solves of a step, whose results all take part in the choice of the next vectors; the shift that makes the Laplacian definite, relative to its largest entry.
+VECTORS, SOLVES, SHIFT = 8, 3, 1e-6
 
 
 def laplacian(graph: DataFrame) -> DataFrame:
@@ -26,8 +26,8 @@ def fiedler(graph: DataFrame, tol: float = 1e-9, most: int = 60) -> tuple[float,
     """The second smallest eigenvalue of the Laplacian and its vector ``(i, v)`` of norm 1.
 
     ``graph`` is symmetric; every node that it has counts. The Laplacian, shifted a little, is factored once;
-    each step solves for a few vectors at once, takes the constant vector out of them, and makes them
-    the best ones of their span, of which only a few products reach the driver. The sign makes the
+    each step solves for a few vectors at once, and for the solutions, takes the constant vector out of them, and
+    finds the best ones of the span of all, so that eigenvalues which lie close together take few steps as well, of which only a few products reach the driver. The sign makes the
     largest entry positive, of equals that of the smallest node. An error if it does not converge.
     """
     lap = settle(laplacian(graph))
@@ -42,8 +42,18 @@ def fiedler(graph: DataFrame, tol: float = 1e-9, most: int = 60) -> tuple[float,
     x = lap.select("i").distinct().select("i", each).select("i", "k", (F.xxhash64("i", "k") / float(1 << 63)).alias("v"))
     value, x = None, settle(_best(settle(x), lap, n, width)[1])
     for _ in range(most):
-        values, x = _best(settle(factors.solve(x)), lap, n, width)
-        x = settle(x)
+        tried = []
+        for turn in range(SOLVES):
+            y = settle(factors.solve(x))
+            # the shift lets the solves blow up what rounding leaves of the constant vector
+            mean = y.groupBy("k").agg((F.sum("v") / n).alias("mean"))
+            x = settle(y.join(F.broadcast(mean), "k").select("i", "k", (F.col("v") - F.col("mean")).alias("v")))
+            tried.append(x.select("i", (F.col("k") + turn * width).alias("k"), "v"))
+        every = tried[0]
+        for y in tried[1:]:
+            every = every.unionByName(y)
+        values, x = _best(settle(every), lap, n, SOLVES * width)
+        x = settle(x.where(F.col("k") < width))
         before, value = value, values[0]
         if before is not None and abs(before - value) <= tol * max(abs(value), SHIFT * top):
             break
@@ -67,9 +77,11 @@ def _best(x: DataFrame, lap: DataFrame, n: int, width: int) -> tuple[np.ndarray,
     sums = dots[2, :, 0]
     # the constant vector is in the Laplacian's kernel, so taking it out changes the first products alone
     gram, form = (dots[0] + dots[0].T) / 2 - np.outer(sums, sums) / n, (dots[1] + dots[1].T) / 2
-    size, turn = np.linalg.eigh(gram)
+    # columns of very different lengths count alike
+    length = np.sqrt(np.maximum(np.diag(gram), np.finfo(float).tiny))
+    size, turn = np.linalg.eigh(gram / np.outer(length, length))
     kept = size > 1e-14 * size.max()
-    basis = turn[:, kept] / np.sqrt(size[kept])
+    basis = turn[:, kept] / np.sqrt(size[kept]) / length[:, None]
     values, vectors = np.linalg.eigh(basis.T @ form @ basis)
     mix = basis @ vectors
     listed = lambda row: F.array(*[F.lit(float(v)) for v in row])
