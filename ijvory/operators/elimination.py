@@ -32,7 +32,7 @@ DENSE = 1024
 #: Of the largest entries that its row and its column have in A, the smaller one: what counts as zero when pivots are chosen by size.
 TINY = 1e-13
 #: Rows beyond which a matrix is dissected; nodes that one task dissects; nodes of a smallest part; columns that are eliminated between two products.
-FRONTS, DISSECTED, SMALL, PANEL = 2 * DENSE, 1 << 15, 128, 64
+FRONTS, DISSECTED, SMALL, PANEL = 2 * DENSE, 1 << 15, 512, 64
 #: Row numbers that tell an error in a task.
 _SINGULAR, _INDEFINITE = -1, -2
 
@@ -124,12 +124,13 @@ class Factors:
         b = settle(b.groupBy("i", "k").agg(F.sum("v").alias("v")))
         held = []
         for pivots, lower, _ in self.rounds:
-            here = b.join(pivots.select("i"), "i", "left_semi")
             if "own" in pivots.columns:
                 here = settle(_solve_parts(lower, pivots, F.lit(1.0), "i", b.join(pivots.select("i", "own", "place"), "i"))).withColumnRenamed("name", "i")
                 lower = lower.where("not inside")
+            else:
+                here = settle(b.join(pivots.select("i"), "i", "left_semi"))
             moved = lower.join(here.select(F.col("i").alias("p"), "k", F.col("v").alias("y")), "p").select("i", "k", (-F.col("v") * F.col("y")).alias("v"))
-            held.append(settle(here))
+            held.append(here)
             b = settle(b.join(pivots.select("i"), "i", "left_anti").unionByName(moved).groupBy("i", "k").agg(F.sum("v").alias("v")))
         x = None if self.rest is None else settle(_solve_dense(self.rest, b, self.definite))
         if x is not None:
@@ -290,8 +291,12 @@ def _parts(rest: DataFrame) -> DataFrame:
     return settle(placed.select("node", "own", (F.row_number().over(order) - 1).cast("long").alias("place")))
 
 
-_FRONT = "kind int, own string, place long, i long, j long, v double, inside boolean, r long, c long, row double, col double"
+_FRONT = "kind int, own string, place long, i long, j long, v double, inside boolean, r long, c long, row double, col double, ri long, ro string, rp long, ci long, co string, cp long"
 _PIVOT, _LOWER, _UPPER, _REST = range(4)
+#: The step of rows and columns that no front takes.
+_NEVER = 1 << 30
+#: What a cell says of its row and its column: the largest entries, the step and part that take them, and their places there.
+_TAGS = ["row", "col", "ri", "ro", "rp", "ci", "co", "cp"]
 _INSIDE = ["own", "inside", "r", "c"]
 
 
@@ -319,23 +324,31 @@ def _panels(m: np.ndarray, order: list[int], choose: Callable[[int, np.ndarray],
     return steps
 
 
-def _front(tol: float | None, given: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Eliminates one part; ``tol`` is None for pivots on the diagonal, and ``given`` says that places name the pairs of rows and columns."""
+def _front(step: int, tol: float | None, given: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Eliminates one part; ``tol`` is None for pivots on the diagonal, and ``given`` says that places name the pairs of rows and columns.
+
+    What it puts off is tagged for the part around it and the next step.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, i = np.unique(pdf.i, return_inverse=True)
         cols, j = np.unique(pdf.j, return_inverse=True)
-        m, row, col = np.zeros((len(rows), len(cols))), np.zeros(len(rows)), np.zeros(len(cols))
+        m = np.zeros((len(rows), len(cols)))
         np.add.at(m, (i, j), pdf.v)
         held = np.zeros(m.shape, bool)
         held[i, j] = True
-        row[i], col[j] = pdf.row, pdf.col
-        rp, cp = np.full(len(rows), -1), np.full(len(cols), -1)
-        rp[i], cp[j] = pdf.rp, pdf.cp
-        zero = TINY * np.minimum.outer(row, col)
-        order = [int(c) for c in np.lexsort((cols, cp)) if cp[c] >= 0]
+        tag = {}
+        for name in _TAGS:
+            n, at = (len(rows), i) if name[0] == "r" else (len(cols), j)
+            tag[name] = np.full(n, None) if name in ("ro", "co") else np.zeros(n, pdf[name].dtype)
+            tag[name][at] = pdf[name]
+        own = pdf.own.iloc[0]
+        zero = TINY * np.minimum.outer(tag["row"], tag["col"])
+        mine_r, mine_c = tag["ri"] == step, tag["ci"] == step
+        rp, cp = tag["rp"], tag["cp"]
+        order = [int(c) for c in np.lexsort((cols, cp)) if mine_c[c]]
         if given:
-            mate = {int(p): r for r, p in enumerate(rp) if p >= 0}
+            mate = {int(rp[r]): int(r) for r in np.flatnonzero(mine_r)}
             pairs = {c: mate.get(int(cp[c]), -1) for c in order}
         else:
             same = dict(zip(rows.tolist(), range(len(rows))))
@@ -350,7 +363,7 @@ def _front(tol: float | None, given: bool) -> Callable[[pd.DataFrame], pd.DataFr
 
         def by_size(c: int, free: np.ndarray) -> int:
             size = np.where(free, np.abs(m[:, c]), -1.0)
-            fit = (rp >= 0) & (size > zero[:, c]) & (size >= tol * size.max())
+            fit = mine_r & (size > zero[:, c]) & (size >= tol * size.max())
             r = pairs[c]
             return r if r >= 0 and fit[r] else int(np.argmax(np.where(fit, size, -1.0))) if fit.any() else -1
 
@@ -360,12 +373,15 @@ def _front(tol: float | None, given: bool) -> Callable[[pd.DataFrame], pd.DataFr
             done = {c for _, c in new}
             steps += new
             left = [c for c in left if c not in done] if new and not bad else []
-        own = pdf.own.iloc[0]
         if bad:
-            return pd.DataFrame({"kind": [_PIVOT], "own": [own], "place": [0], "i": [0], "j": [0], "v": [0.0], "inside": [False], "r": [0], "c": [0], "row": [0.0], "col": [0.0]})
+            return pd.DataFrame({"kind": [_PIVOT], "own": [own], "place": [0], "i": [0], "j": [0], "v": [0.0], "inside": [False], "r": [0], "c": [0], **{name: [None if name in ("ro", "co") else 0] for name in _TAGS}})
         place_r, place_c = np.full(len(rows), len(steps)), np.full(len(cols), len(steps))
         for n, (r, c) in enumerate(steps):
             place_r[r] = place_c[c] = n
+        # rows and columns of this part that found no pivot
+        for x, late in (("r", mine_r & (place_r == len(steps))), ("c", mine_c & (place_c == len(steps)))):
+            tag[f"{x}i"][late], tag[f"{x}o"][late] = (step + 1, own[:-1]) if own else (_NEVER, "")
+            tag[f"{x}p"][late] += 1 << 32
         low = (place_r[:, None] > place_c[None, :]) & (m != 0)
         up = (place_r[:, None] < place_c[None, :]) & (m != 0)
         last = (place_r[:, None] == len(steps)) & (place_c[None, :] == len(steps)) & ((m != 0) | held | given)
@@ -373,7 +389,8 @@ def _front(tol: float | None, given: bool) -> Callable[[pd.DataFrame], pd.DataFr
         out = []
 
         def add(kind: int, r: np.ndarray, c: np.ndarray, first: np.ndarray, second: np.ndarray, place, inside) -> None:
-            out.append(pd.DataFrame({"kind": kind, "own": own, "place": place, "i": first, "j": second, "v": m[r, c], "inside": inside, "r": place_r[r], "c": place_c[c], "row": row[r], "col": col[c]}))
+            tags = {name: tag[name][r if name[0] == "r" else c] for name in _TAGS} if kind == _REST else dict.fromkeys(_TAGS)
+            out.append(pd.DataFrame({"kind": kind, "own": own, "place": place, "i": first, "j": second, "v": m[r, c], "inside": inside, "r": place_r[r], "c": place_c[c], **tags}))
 
         add(_PIVOT, at_r, at_c, rows[at_r], cols[at_c], np.arange(len(steps)), True)
         r, c = np.nonzero(low)
@@ -387,47 +404,66 @@ def _front(tol: float | None, given: bool) -> Callable[[pd.DataFrame], pd.DataFr
     return run
 
 
-def _front_round(rest: DataFrame, rows: DataFrame, cols: DataFrame, tol: float | None, given: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Pivots, multipliers, rows beside and what is left of ``rest``, for rows ``(i, own, place)`` and columns ``(j, own, place)`` of a level of parts."""
-    row, col = rows.select("i", F.col("own").alias("x"), F.col("place").alias("rp")), cols.select("j", F.col("own").alias("y"), F.col("place").alias("cp"))
-    tagged = settle(rest.join(row, "i", "left").join(col, "j", "left").select("i", "j", "v", "row", "col", F.coalesce("x", "y").alias("own"), "rp", "cp"))
-    front = tagged.where("own IS NOT NULL").fillna(-1, ["rp", "cp"])
-    done = settle(front.groupBy("own").applyInPandas(_front(tol, given), _FRONT))
-    kept = tagged.where("own IS NULL").unionByName(done.where(F.col("kind") == _REST), allowMissingColumns=True)
-    rest = settle(kept.groupBy("i", "j").agg(F.sum("v").alias("v"), F.max("row").alias("row"), F.max("col").alias("col")))
-    pivots = done.where(F.col("kind") == _PIVOT).select("i", "j", F.col("v").alias("d"), "own", "place")
-    lower = done.where(F.col("kind") == _LOWER).select("i", F.col("j").alias("p"), "v", *_INSIDE)
-    upper = done.where(F.col("kind") == _UPPER).select(F.col("i").alias("p"), "j", "v", *_INSIDE)
-    return pivots, lower, upper, rest
-
+def _front_rounds(rest: DataFrame, rows: DataFrame, cols: DataFrame, count: int, out: Factors, tol: float | None, given: bool) -> DataFrame:
+    """What ``count`` steps of fronts leave of ``rest``, for rows ``(i, ri, ro, rp)`` and columns ``(j, ci, co, cp)``: the step and part that take them, and their places; the rounds go to ``out``.
 
-def _checked(pivots: DataFrame, definite: bool) -> int:
-    n, least, lowest = pivots.agg(F.count("*"), F.min(F.abs("d")), F.min("d")).first()
+    A cell waits for the step that takes its row or its column, and no table of what is left is written until the end.
+    """
+    tagged = rest.join(rows, "i", "left").join(cols, "j", "left").withColumns({c: F.coalesce(c, F.lit(_NEVER)) for c in ("ri", "ci")})
+    held = [settle(tagged.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rp", "cp")}).select("i", "j", "v", *_TAGS))]
+    union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionByName(xs[1]), *xs[2:]])
+    taken = []
+    for step in range(count):
+        front = union([x.where(F.least("ri", "ci") == step) for x in held]).withColumn("own", F.when(F.col("ri") == step, F.col("ro")).otherwise(F.col("co")))
+        done = settle(front.groupBy("own").applyInPandas(_front(step, tol, given), _FRONT))
+        held.append(done.where(F.col("kind") == _REST).select("i", "j", "v", *_TAGS))
+        pivots = done.where(F.col("kind") == _PIVOT).select("i", "j", F.col("v").alias("d"), "own", "place")
+        lower = done.where(F.col("kind") == _LOWER).select("i", F.col("j").alias("p"), "v", *_INSIDE)
+        upper = done.where(F.col("kind") == _UPPER).select(F.col("i").alias("p"), "j", "v", *_INSIDE)
+        taken.append((pivots, lower, upper))
+    counts = {r["step"]: r for r in union([p.select(F.lit(n).alias("step"), "d") for n, (p, _, _) in enumerate(taken)]).groupBy("step").agg(F.count("*"), F.min(F.abs("d")), F.min("d")).collect()}
+    for n in sorted(counts):
+        _valid(*counts[n][1:], out.definite)
+    # a plan keeps its rounds in step with these
+    out.rounds += [t for n, t in enumerate(taken) if given or n in counts]
+    left = union([x.where(F.least("ri", "ci") >= count) for x in held])
+    return settle(left.groupBy("i", "j").agg(F.sum("v").alias("v"), F.max("row").alias("row"), F.max("col").alias("col")))
+
+
+def _valid(n: int, least: float, lowest: float, definite: bool) -> None:
     if n and definite and not lowest > 0:
         raise NotPositiveDefinite("not positive definite")
     if n and (least == 0 or least != least):
         raise SingularMatrix("a pivot is zero")
+
+
+def _checked(pivots: DataFrame, definite: bool) -> int:
+    n, least, lowest = pivots.agg(F.count("*"), F.min(F.abs("d")), F.min("d")).first()
+    _valid(n, least, lowest, definite)
     return n
 
 
-def _by_fronts(rest: DataFrame, out: Factors, tol: float | None) -> DataFrame:
-    """What the parts of ``rest``, level by level, leave; their rounds go to ``out``."""
+def _by_fronts(rest: DataFrame, out: Factors, tol: float | None, dense: int) -> DataFrame:
+    """What the parts of ``rest``, level by level, leave; the parts around all others, of at most ``dense`` rows in all, are left too."""
     parts = _parts(rest)
-    deepest = parts.agg(F.max(F.length("own"))).first()[0]
-    late_rows = late_cols = None
-    for level in range(deepest, -1, -1):
-        now = parts.where(F.length("own") == level)
-        rows, cols = now.withColumnRenamed("node", "i"), now.withColumnRenamed("node", "j")
-        if late_rows is not None:
-            rows, cols = rows.unionByName(late_rows), cols.unionByName(late_cols)
-        pivots, lower, upper, rest = _front_round(rest, rows, cols, tol, False)
-        if _checked(pivots, out.definite):
-            out.rounds.append((pivots, lower, upper))
-        if tol is not None:
-            outer = [F.expr(f"left(own, {max(level - 1, 0)})").alias("own"), (F.col("place") + (1 << 32)).alias("place")]
-            late_rows = settle(rows.join(pivots.select("i"), "i", "left_anti").select("i", *outer))
-            late_cols = settle(cols.join(pivots.select("j"), "j", "left_anti").select("j", *outer))
-    return rest
+    sizes = {r["level"]: r["n"] for r in parts.groupBy(F.length("own").alias("level")).agg(F.count("*").alias("n")).collect()}
+    deepest, top, left = max(sizes), 0, 0
+    while top < deepest and left + sizes.get(top, 0) <= dense:
+        left, top = left + sizes.get(top, 0), top + 1
+    step = F.when(F.length("own") >= top, F.lit(deepest) - F.length("own")).otherwise(F.lit(_NEVER)).cast("long")
+    named = lambda i, x: parts.select(F.col("node").alias(i), step.alias(f"{x}i"), F.col("own").alias(f"{x}o"), F.col("place").alias(f"{x}p"))
+    return _front_rounds(rest, named("i", "r"), named("j", "c"), deepest - top + 1, out, tol, False)
+
+
+def _by_plan(rest: DataFrame, out: Factors, plan: Factors) -> DataFrame:
+    """What the next rounds of a plan leave, those of fronts."""
+    first = last = len(out.rounds)
+    while last < len(plan.rounds) and "own" in plan.rounds[last][0].columns:
+        last += 1
+    union = lambda xs: xs[0] if len(xs) == 1 else union([xs[0].unionByName(xs[1]), *xs[2:]])
+    all_ = settle(union([plan.rounds[n][0].withColumn("step", F.lit(n - first).cast("long")) for n in range(first, last)]))
+    named = lambda i, x: all_.select(i, F.col("step").alias(f"{x}i"), F.col("own").alias(f"{x}o"), F.col("place").alias(f"{x}p"))
+    return _front_rounds(rest, named("i", "r"), named("j", "c"), last - first, out, None, True)
 
 
 def eliminate(
@@ -462,9 +498,7 @@ def eliminate(
             return out
         given = plan.rounds[len(out.rounds)][0] if plan else None
         if plan and "own" in given.columns:
-            pivots, lower, upper, rest = _front_round(rest, given.select("i", "own", "place"), given.select("j", "own", "place"), None, True)
-            _checked(pivots, definite)
-            out.rounds.append((pivots, lower, upper))
+            rest = _by_plan(rest, out, plan)
             continue
         given = given.select("i", "j") if plan else None
         pivots = settle(rest.join(given, ["i", "j"]).select("i", "j", F.col("v").alias("d")) if plan else choose(rest))
@@ -472,7 +506,7 @@ def eliminate(
         if may_dissect and n:
             rows, cols = rest.agg(F.count_distinct("i"), F.count_distinct("j")).first()
             if max(rows, cols) > FRONTS and 4 * n < min(rows, cols):
-                rest, may_dissect = _by_fronts(rest, out, None if on_diagonal else choose.tol), False
+                rest, may_dissect = _by_fronts(rest, out, None if on_diagonal else choose.tol, dense), False
                 continue
         if not n:
             if on_diagonal and not rest.isEmpty():
