@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ijvory.operators.rounds import NotPositiveDefinite, SingularMatrix, apart, settle
+from ijvory.operators.rounds import NotPositiveDefinite, SingularMatrix, afresh, apart, settle
 
 #: Rows and columns, at most, of a remainder that one task finishes: DENSE squared numbers.
 DENSE = 1024
@@ -415,7 +415,8 @@ def _front_rounds(rest: DataFrame, rows: DataFrame, cols: DataFrame, count: int,
     taken = []
     for step in range(count):
         front = union([x.where(F.least("ri", "ci") == step) for x in held]).withColumn("own", F.when(F.col("ri") == step, F.col("ro")).otherwise(F.col("co")))
-        done = settle(front.groupBy("own").applyInPandas(_front(step, tol, given), _FRONT))
+        # columns of a file are read by themselves, and each kind of row needs few of them
+        done = afresh(front.groupBy("own").applyInPandas(_front(step, tol, given), _FRONT))
         held.append(done.where(F.col("kind") == _REST).select("i", "j", "v", *_TAGS))
         pivots = done.where(F.col("kind") == _PIVOT).select("i", "j", F.col("v").alias("d"), "own", "place")
         lower = done.where(F.col("kind") == _LOWER).select("i", F.col("j").alias("p"), "v", *_INSIDE)
