@@ -69,6 +69,21 @@ def _shortcuts(edges: DataFrame) -> DataFrame:
     return out
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """``(node, root)``: each node of undirected ``edges (i, j)`` with the least node it is connected to, by large-star and small-star steps."""
+    tied = afresh(edges.where("i <> j").select(F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo")).distinct())
+    while True:
+        both = tied.unionByName(tied.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = both.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = afresh(tied.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct())
+        floor = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        hops = large.join(floor, F.col("hi") == F.col("u")).select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("x"))
+        new = afresh(hops.select("x.*").where("lo <> hi").distinct())
+        if new.exceptAll(tied).isEmpty() and tied.exceptAll(new).isEmpty():
+            return new.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(new.select("lo", "lo").distinct().toDF("node", "root"))
+        tied = new
+
+
 def topological_levels(a: DataFrame) -> DataFrame:
     """``(node, level)`` for an acyclic graph: one more than the highest level that points to it, sources 0.
 

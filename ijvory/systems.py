@@ -264,7 +264,7 @@ SELECT k::BIGINT AS node, coalesce(min(q), -1)::BIGINT AS parent, (1 + count(q))
 def normal_tree_counts(spark, sf_dir):
     """Elimination tree and column counts of AᵀA for RING, from a star of its rows."""
     n = table(spark, sf_dir, "supplier").count() + 30
-    found = trees.householder_counts(ring(spark, sf_dir), n)
+    found = trees.normal_counts(ring(spark, sf_dir), n)
     return found.select("node", "parent", F.col("r").alias("n"))
 
 
