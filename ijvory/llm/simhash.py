@@ -96,12 +96,34 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return by_wild.unionByName(by_same)
 
 
+#: Edges that one task ties together.
+TIED = 1 << 19
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, root)`` of all edges ``(lo, hi)`` of a task: roots are hooked to the least root they have an edge to, until none has one."""
+    both = [b for b in batches if b.num_rows]
+    if not both:
+        return
+    lo, hi = (np.concatenate([b.column(k).to_numpy() for b in both]) for k in range(2))
+    nodes, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    x, y = at[: len(lo)], at[len(lo) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    yield pa.record_batch([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)``: each node of ``edges (a, b)`` with the smallest node it reaches.
 
-    Alternates large-star and small-star steps, each one a group-minimum and an
-    equality join, until the edges no longer change. Every exchange is fed by as many
-    partitions as the edges call for, however many the session shuffles into.
+    Edges that fit a task are tied in it, in one job. Of more, large-star and small-star steps alternate,
+    each one a group-minimum and an equality join, until the edges no longer change. Every exchange is fed
+    by as many partitions as the edges call for, however many the session shuffles into.
     """
     low, high = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
     edges = cut(edges.where("a <> b").select(low, high).distinct())
@@ -111,6 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = None
     while (now := state(edges)) != before:
+        if now[0] <= TIED:
+            return cut(edges.coalesce(1).mapInArrow(_tied, "node long, root long"))
         before, parts = now, parts_for(now[0])
         few = lambda df, n=parts: df.coalesce(n)
         edges = few(edges)
