@@ -49,3 +49,17 @@ def afresh(df: DataFrame) -> DataFrame:
 def apart(df: DataFrame) -> DataFrame:
     """``df`` with columns of its own, so that it can be grouped together with a table that it comes from."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+#: Rows for which a large table has a partition of its own.
+DEALT = 250_000
+
+
+def spread(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` into so many partitions; as it is if the session shuffles into as many."""
+    return df if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *keys)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about so many rows, dealt out by ``keys`` so that a task's share stays the same however many there are."""
+    return spread(df, -(-rows // DEALT), *keys)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ijvory.operators.maintain import dropzeros, sum_duplicates
+from ijvory.operators.rounds import dealt
 
 
 def transpose(a: DataFrame) -> DataFrame:
@@ -16,9 +17,9 @@ def scalar(a: DataFrame, c: float) -> DataFrame:
     return a.withColumn("v", F.col("v") * F.lit(float(c)))
 
 
-def add_scaled(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
-    """alpha A + beta B; entries that cancel stay."""
-    return sum_duplicates(scalar(a, alpha).unionByName(scalar(b, beta)))
+def add_scaled(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 1.0, rows: int = 0) -> DataFrame:
+    """alpha A + beta B; entries that cancel stay. ``rows``: about how many entries both have, for a table of many."""
+    return sum_duplicates(dealt(scalar(a, alpha).unionByName(scalar(b, beta)), rows, "i", "j"))
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ijvory.operators import access, blocks, factors, graphs, maintain, orderings, products, shape, structure, trees, triangular, vectors
-from ijvory.operators.rounds import afresh, shared_folder
+from ijvory.operators.rounds import afresh, dealt, shared_folder
 from ijvory.plans import by_blocks, solver
 from ijvory.sources import triplets
 from ijvory.streaming import deltas
@@ -51,8 +51,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_part(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
     """Quantity by supplier (rows) and part (columns), duplicates summed; only of one return flag if given."""
     t = table(spark, sf_dir, "lineitem")
+    rows = t.count()
     t = t if flag is None else t.where(F.col("l_returnflag") == flag)
-    return maintain.sum_duplicates(t.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v")))
+    cells = t.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
+    return maintain.sum_duplicates(dealt(cells, rows, "i", "j"))
 
 
 def network_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -318,7 +320,7 @@ def transpose(spark, sf_dir):
 @query("""SELECT l_suppkey i, l_partkey j, sum(CASE l_returnflag WHEN 'R' THEN 2 ELSE -3 END * l_quantity) v
 FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2""")
 def add_scaled(spark, sf_dir):
-    return shape.add_scaled(supplier_part(spark, sf_dir, "R"), supplier_part(spark, sf_dir, "A"), 2.0, -3.0)
+    return shape.add_scaled(supplier_part(spark, sf_dir, "R"), supplier_part(spark, sf_dir, "A"), 2.0, -3.0, table(spark, sf_dir, "lineitem").count())
 
 
 @query(f"SELECT a.i, a.j, x.v * a.v * y.v AS v FROM ({SP}) a JOIN ({XS}) x ON x.i = a.i JOIN ({XP}) y ON y.i = a.j")
