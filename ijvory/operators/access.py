@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ijvory.operators.rounds import dealt
+
 
 def insert(a: DataFrame, more: DataFrame) -> DataFrame:
     """``more`` appended; duplicates add up when they are summed."""
@@ -31,14 +33,14 @@ def assign(a: DataFrame, patch: DataFrame) -> DataFrame:
     return a.join(patch.select("i", "j"), ["i", "j"], "left_anti").unionByName(patch)
 
 
-def assign_at(a: DataFrame, rows: DataFrame, cols: DataFrame, c: DataFrame) -> DataFrame:
+def assign_at(a: DataFrame, rows: DataFrame, cols: DataFrame, c: DataFrame, many: int = 0) -> DataFrame:
     """Entry (k, l) of ``c`` put at (rows[k], cols[l]); rows and cols are ``(k, at)``.
 
-    Only stored entries of ``c`` are put; where an index repeats, the last one wins.
+    Only stored entries of ``c`` are put; where an index repeats, the last one wins. ``many``: about how many entries A and ``c`` have, if many.
     """
     placed = c.join(rows.select(F.col("k").alias("i"), F.col("at").alias("ti")), "i").join(cols.select(F.col("k").alias("j"), F.col("at").alias("tj")), "j")
-    last = placed.groupBy("ti", "tj").agg(F.max_by("v", F.struct("i", "j")).alias("v"))
-    return assign(a, last.select(F.col("ti").alias("i"), F.col("tj").alias("j"), "v"))
+    last = dealt(placed, many, "ti", "tj").groupBy("ti", "tj").agg(F.max_by("v", F.struct("i", "j")).alias("v"))
+    return assign(dealt(a, many, "i", "j"), last.select(F.col("ti").alias("i"), F.col("tj").alias("j"), "v"))
 
 
 def update(a: DataFrame, patch: DataFrame, op) -> DataFrame:

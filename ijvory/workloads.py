@@ -198,7 +198,7 @@ SELECT i, j, v FROM p UNION ALL SELECT i, j, v FROM a ANTI JOIN p USING (i, j)""
 def assign_sparse(spark, sf_dir):
     """Returned quantities written over the mirrored cells."""
     rows, cols = reverse(spark, sf_dir, "supplier"), reverse(spark, sf_dir, "part")
-    return access.assign_at(supplier_part(spark, sf_dir), rows, cols, supplier_part(spark, sf_dir, "R"))
+    return access.assign_at(supplier_part(spark, sf_dir), rows, cols, supplier_part(spark, sf_dir, "R"), table(spark, sf_dir, "lineitem").count())
 
 
 @query("""SELECT l_suppkey i, l_partkey j, sum(l_quantity) - coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) v FROM lineitem GROUP BY 1, 2""")
