@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ijvory.operators import dissection, factors, graphs, maintain, orthogonal, products, shape, spectral, structure, trees, triangular, vectors
-from ijvory.operators.rounds import settle
+from ijvory.operators.rounds import dealt, settle
 from ijvory.plans import block_form, symbolic
 from ijvory.workloads import FILL, KNOWN, NET, RING, S, network, parts_vector, query, ramp, reverse, ring, rounded, table
 
@@ -55,7 +55,8 @@ def sevens(spark, n: int) -> DataFrame:
 def order_lines(spark, sf_dir) -> DataFrame:
     """OL, duplicates summed."""
     t = table(spark, sf_dir, "lineitem")
-    return maintain.sum_duplicates(t.select(F.col("l_orderkey").cast("long").alias("i"), (F.col("l_linenumber") - 1).cast("long").alias("j"), F.col("l_quantity").alias("v")))
+    cells = t.select(F.col("l_orderkey").cast("long").alias("i"), (F.col("l_linenumber") - 1).cast("long").alias("j"), F.col("l_quantity").alias("v"))
+    return maintain.sum_duplicates(dealt(cells, t.count(), "i"))
 
 
 def order_priorities(spark, sf_dir) -> DataFrame:
@@ -214,7 +215,7 @@ def qr_least_norm_deficient(spark, sf_dir):
     """Least squares of ones by OL beside twice OL, 14 columns of rank 7: the solution of least norm."""
     a = settle(order_lines(spark, sf_dir))
     twice = shape.hstack(a, a.withColumn("v", 2 * F.col("v")), 7)
-    return rounded(orthogonal.least_squares(twice, a.select("i").distinct().withColumn("v", F.lit(1.0))), 8)
+    return rounded(orthogonal.least_squares(twice, dealt(a.select("i"), a.count(), "i").distinct().withColumn("v", F.lit(1.0))), 8)
 
 
 @query(f"""WITH RECURSIVE m AS (SELECT * FROM ({OL})), w AS (SELECT j::BIGINT AS j, (j + 1)::DOUBLE AS c FROM range(7) t(j)),
