@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -47,14 +47,22 @@ def parts_for(rows: int) -> int:
     return max(1, -(-rows // PART_ROWS))
 
 
-def cut_few(df: DataFrame) -> DataFrame:
-    """``cut``, read in as many partitions as its rows call for."""
-    done = cut(df)
-    return done.coalesce(parts_for(done.count()))
+def held(df: DataFrame, hint: bool = False) -> tuple[DataFrame, int]:
+    """``cut``, read in as many partitions as its rows call for, and the number of rows; with ``hint``, like ``small``.
 
+    Rows and bytes are counted while they are written: each job of its own, and each stage of it, costs the driver blocks of memory.
+    """
+    seen, counts = Observation(), [F.count(F.lit(1)).alias("n"), F.sum(_width(df) if hint else F.lit(0)).alias("size")]
+    done = cut(df.observe(seen, *counts))
+    # nothing is observed of a plan that is found to be empty before it runs
+    found = seen.get or done.agg(*counts).first().asDict()
+    few = done.coalesce(parts_for(found["n"]))
+    fits = hint and found["n"] <= BROADCAST_ROWS and (found["size"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(few) if fits else few, found["n"]
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its rows and their bytes, both counted, are within the bounds, else as it is."""
+
+def _width(df: DataFrame) -> Column:
+    """The bytes of a row, about."""
     width = F.lit(0).cast("long")
     for name, kind in df.dtypes:
         if kind in ("string", "binary"):
@@ -63,8 +71,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
             width = width + F.coalesce(F.octet_length(F.to_json(F.col(f"`{name}`"))), F.lit(0))
         else:
             width = width + 16
-    n, held = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held <= size else df
+    return width
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and their bytes, both counted, are within the bounds, else as it is."""
+    n, width = df.agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and width <= size else df
 
 
 def ascii_lower(text):

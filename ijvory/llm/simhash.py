@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ijvory.llm.common import content, cut, cut_few, parts_for, slices, small
+from ijvory.llm.common import content, cut, held, parts_for, slices
 
 SEED = 42
 BITS, SEGMENTS = 64, 2
@@ -118,15 +118,17 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)``: each node of ``edges (a, b)`` with the smallest node it reaches.
+def components(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """``(node, root)``: each node of ``edges (a, b)`` with the smallest node it reaches; ``n``, if given, is their number.
 
     Edges that fit a task are tied in it, in one job. Of more, large-star and small-star steps alternate,
     each one a group-minimum and an equality join, until the edges no longer change. Every exchange is fed
     by as many partitions as the edges call for, however many the session shuffles into.
     """
-    low, high = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
-    edges = cut(edges.where("a <> b").select(low, high).distinct())
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    if n is not None and n <= TIED:
+        return cut(edges.coalesce(1).mapInArrow(_tied, "node long, root long"))
+    edges = cut(edges.distinct())
 
     def state(df):
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(lo, hi))")).first())
@@ -241,15 +243,15 @@ def _sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
-    """``(node, z)``: a text of each of the ``nodes (node, content)``, compressed."""
+    """``(node, z)``: a text of each of the ``nodes (node, content)``, which are settled, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
         for b in (part for batch in batches for part in slices(batch)):
             yield pa.record_batch([b.column(0), pa.array([zip_.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["node", "z"])
 
-    held = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), content(F.col(text_col)).alias("content")).join(small(cut(nodes)), "content")
-    return cut(held.select("node", "text").mapInArrow(run, "node long, z binary").dropDuplicates(["node"]))
+    own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), content(F.col(text_col)).alias("content")).join(nodes, "content")
+    return cut(own.select("node", "text").mapInArrow(run, "node long, z binary").dropDuplicates(["node"]))
 
 
 def _prefixes(docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -322,8 +324,8 @@ def _side(index: DataFrame, name: str, *more: str) -> DataFrame:
     return index.select("key", F.col("node").alias(name), F.col("at").alias(f"{name}_at"), F.col("size").alias(f"{name}_size"), *[F.col(m).alias(f"{name}_{m}") for m in more])
 
 
-def _alike(pairs: DataFrame, drawn: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of nodes whose sets of shingles have the Jaccard similarity.
+def _alike(pairs: DataFrame, drawn: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, int]:
+    """Those of the pairs ``(a, b)`` of nodes whose sets of shingles have the Jaccard similarity, and their number.
 
     The sketches rule out most of the others, so that few texts are moved.
     """
@@ -352,21 +354,26 @@ def _alike(pairs: DataFrame, drawn: DataFrame, docs: DataFrame, text_col: str, s
                 keep.append(c >= similarity * (len(p) + len(q) - c) - 1e-9)
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = cut_few(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    own = small(cut_few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    mine = small(cut_few(drawn.join(own, "node", "left_semi")))
+    pairs, n = held(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not n:
+        return pairs, 0
+    ends = lambda of: of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own, _ = held(ends(pairs), hint=True)
+    mine, _ = held(drawn.join(own, "node", "left_semi"), hint=True)
     side = lambda name: mine.select(F.col("node").alias(name), F.col("sketch").alias(f"s{name}"), F.col("n").alias(f"n{name}"))
-    likely = cut_few(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(may, "a long, b long"))
-    ends = small(cut_few(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    texts = _texts(docs, text_col, mine.join(ends, "node", "left_semi").select("node", "content"))
-    held = lambda name: texts.select(F.col("node").alias(name), F.col("z").alias(f"z{name}"))
-    return cut_few(likely.join(held("a"), "a").join(held("b"), "b").select("a", "b", "za", "zb").mapInArrow(same, "a long, b long"))
+    likely, n = held(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(may, "a long, b long"))
+    if not n:
+        return likely, 0
+    nodes, _ = held(mine.select("node", "content").join(ends(likely), "node", "left_semi"), hint=True)
+    texts = _texts(docs, text_col, nodes)
+    text = lambda name: texts.select(F.col("node").alias(name), F.col("z").alias(f"z{name}"))
+    return held(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "za", "zb").mapInArrow(same, "a long, b long"))
 
 
 def _by_fingerprint(rows: DataFrame, sharing: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of nodes in ``sharing`` that the fingerprints propose: each with the first of its fingerprint, and the first ones of linked fingerprints."""
     nodes = rows.select("node", "fp").join(sharing, "node", "left_semi").distinct()
-    first = cut_few(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    first, _ = held(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = links(first.select("fp"))
     end = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_node"))
@@ -384,39 +391,40 @@ def _similar_nodes(docs: DataFrame, text_col: str, rows: DataFrame, shingle: int
     the key is one component or every member has been compared. Texts that share a key of few
     texts and are not tied by then are compared pair by pair.
     """
-    index = _prefixes(docs, text_col, shingle, similarity)
-    index = cut_few(_counted(index))
+    index, _ = held(_counted(_prefixes(docs, text_col, shingle, similarity)))
     # a text that shares no key has no partner at all
-    sharing = small(cut_few(index.select("node").distinct()))
+    sharing, _ = held(index.select("node").distinct(), hint=True)
     drawn = rows.join(sharing, "node", "left_semi").groupBy("node")
-    drawn = small(cut_few(drawn.agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("content").alias("content"))))
-    links_ = _alike(_by_fingerprint(rows, sharing), drawn, docs, text_col, shingle, similarity)
-    tied = components(links_)
-    index = cut_few(index.where(F.col("n") <= CROWDED).unionByName(_by_size(index.where(F.col("n") > CROWDED), similarity)))
+    drawn, _ = held(drawn.agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.min("content").alias("content")), hint=True)
+    links_, n_links = _alike(_by_fingerprint(rows, sharing), drawn, docs, text_col, shingle, similarity)
+    tied = components(links_, n_links)
+    index, _ = held(index.where(F.col("n") <= CROWDED).unionByName(_by_size(index.where(F.col("n") > CROWDED), similarity)))
     spread = (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    crowd = index.where(F.col("n") > CROWDED).select("*", spread)
+    crowd, n = held(index.where(F.col("n") > CROWDED).select("*", spread))
     before, now = 0, FEW
-    while True:
+    while n:
         degree = links_.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         known = crowd.where(F.col("n") > before).join(tied, "node", "left").join(degree, "node", "left")
-        known = cut_few(known.select("key", "node", "at", "size", "n", "u", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        known, _ = held(known.select("key", "node", "at", "size", "n", "u", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
         open_keys = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.struct("degree", "node")).alias("top"))
         open_keys = open_keys.where("r0 <> r1").select("key", F.when(F.col("top.degree") > 0, F.col("top.node")).alias("hub"))
-        crowd = cut_few(known.join(open_keys, "key").select("key", "node", "at", "size", "n", "u", "root", "hub"))
-        if crowd.isEmpty():
+        crowd, n = held(known.join(open_keys, "key").select("key", "node", "at", "size", "n", "u", "root", "hub"))
+        if not n:
             break
         lead = crowd.where((F.col("u") >= before / F.col("n")) & (F.col("u") < now / F.col("n")) | (F.col("node") == F.col("hub")))
         pairs = _side(lead, "a", "root").join(_side(crowd, "b", "root"), "key").where((F.col("a_root") != F.col("b_root")) & _may(similarity)).select("a", "b")
-        found = _alike(pairs, drawn, docs, text_col, shingle, similarity)
-        if not found.isEmpty():
-            links_ = cut_few(links_.unionByName(found))
-            tied = components(links_)
+        found, n = _alike(pairs, drawn, docs, text_col, shingle, similarity)
+        if n:
+            n_links += n
+            links_ = links_.unionByName(found).coalesce(parts_for(n_links))
+            tied = components(links_, n_links)
         crowd = crowd.select("key", "node", "at", "size", "n", "u")
         before, now = now, now * GROWTH
     few = index.where(F.col("n") <= CROWDED).join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
     pairs = _side(few, "a", "root").join(_side(few, "b", "root"), "key").where(apart & _may(similarity)).select("a", "b")
-    return components(links_.unionByName(_alike(pairs, drawn, docs, text_col, shingle, similarity)))
+    found, n = _alike(pairs, drawn, docs, text_col, shingle, similarity)
+    return components(links_.unionByName(found), n_links + n) if n else tied
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -449,11 +457,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     groups = cut(_groups(docs, "doc_id", "text", shingle, similarity))
     other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("content") != F.col("first.content"))
     named = F.struct("doc_id", "content").alias("_key")
-    gone = small(cut(groups.where(other).select(named).distinct()))
-    again = small(cut(groups.where(~other).groupBy(named).count().where("count > 1").select("_key")))
+    gone, _ = held(groups.where(other).select(named).distinct(), hint=True)
+    again, n_again = held(groups.where(~other).groupBy(named).count().where("count > 1").select("_key"), hint=True)
     key = F.struct(docs["doc_id"].cast("long").alias("doc_id"), content(docs["text"]).alias("content")) == F.col("_key")
     # rows with a null id have no first text and so are in neither table
     kept = docs.join(gone, key, "left_anti")
+    if not n_again:
+        return kept
     once = kept.join(again, key, "left_anti")
     repeated = kept.join(again, key, "left_semi").withColumn("_content", content(F.col("text"))).dropDuplicates(["doc_id", "_content"])
     return once.unionByName(repeated.drop("_content"))
