@@ -4,7 +4,8 @@ A part of more nodes than a task may hold is coarsened first: neighbours that ch
 become one node, round after round, in all parts at once, until it fits. A task per part then halves
 it by levels of a breadth-first search, and the halves pass back to the nodes. Of the nodes with an edge
 to the other half, those of the half that has fewer are the separator. Parts that fit
-a task are dissected to the end in it.
+a task are dissected to the end in it. A part of more nodes than any task holds is coarsened once and
+its coarse graph halved down to parts that a task holds, whose separators are then found from the top.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ijvory.operators.orderings import numbered
-from ijvory.operators.rounds import settle
+from ijvory.operators.rounds import afresh, settle
 
 #: Nodes of a part that one task dissects to the end, and of one that is ordered as it is.
 FITS, LEAF = 1024, 8
+#: Nodes that a task holds at most, whatever part is said to fit it.
+HELD = 1 << 15
 
 
 def _levels(start: int, edges: dict[int, set[int]], free: set[int]) -> list[list[int]]:
@@ -36,14 +39,15 @@ def _levels(start: int, edges: dict[int, set[int]], free: set[int]) -> list[list
 def _in_levels(nodes: set[int], edges: dict[int, set[int]]) -> list[int]:
     """The nodes, component by component, each from a node far from its others outward."""
     left, out = set(nodes), []
-    while left:
-        start = min(left, key=lambda x: (len(edges[x] & left), x))
+    for start in sorted(nodes, key=lambda x: (len(edges[x] & nodes), x)):
+        if start not in left:
+            continue
         for _ in range(2):
             levels = _levels(start, edges, left)
             start = min(levels[-1], key=lambda x: (len(edges[x]), x))
-        levels = _levels(start, edges, left)
-        out += [x for level in levels for x in level]
-        left.difference_update(out)
+        found = [x for level in _levels(start, edges, left) for x in level]
+        out += found
+        left.difference_update(found)
     return out
 
 
@@ -93,8 +97,9 @@ def _graph(pdf: pd.DataFrame) -> tuple[set[int], dict[int, set[int]]]:
 
 def _coarse(edges: DataFrame, nodes: DataFrame, fits: int) -> tuple[DataFrame, DataFrame]:
     """``(node, path, owner)`` and the coarse ``(path, i, j)``, both ways: at most ``fits`` owners in each part, or none that have neighbours."""
-    at = settle(nodes.select("node", "path", F.col("node").alias("owner")))
-    now = settle(edges.select("path", "i", "j", F.lit(1).cast("long").alias("w")))
+    # afresh, as both are joined to what comes of them, round after round
+    at = afresh(nodes.select("node", "path", F.col("node").alias("owner")))
+    now = afresh(edges.select("path", "i", "j", F.lit(1).cast("long").alias("w")))
     rounds = 0
     while True:
         owners = at.select("path", "owner").distinct()
@@ -114,18 +119,84 @@ def _coarse(edges: DataFrame, nodes: DataFrame, fits: int) -> tuple[DataFrame, D
         move = settle(pairs.unionByName(joined))
         if move.isEmpty():
             return at, now
-        at = settle(at.join(move.select("path", F.col("gone").alias("owner"), "to"), ["path", "owner"], "left").select("node", "path", F.coalesce("to", "owner").alias("owner")))
+        at = afresh(at.join(move.select("path", F.col("gone").alias("owner"), "to"), ["path", "owner"], "left").select("node", "path", F.coalesce("to", "owner").alias("owner")))
         a, b = (move.select("path", F.col("gone").alias(c), F.col("to").alias(f"{c}2")) for c in "ij")
         now = now.join(a, ["path", "i"], "left").join(b, ["path", "j"], "left").select("path", F.coalesce("i2", "i").alias("i"), F.coalesce("j2", "j").alias("j"), "w")
-        now = settle(now.where("i <> j").groupBy("path", "i", "j").agg(F.sum("w").alias("w")))
+        now = afresh(now.where("i <> j").groupBy("path", "i", "j").agg(F.sum("w").alias("w")))
         rounds += 1
 
 
+def _weighed(at: DataFrame, coarse: DataFrame) -> DataFrame:
+    """``(path, i, j, w)``: the coarse edges, and a row (i, i) for each owner with the number of its nodes."""
+    size = at.groupBy("path", "owner").agg(F.count("*").alias("w"))
+    return coarse.select("path", "i", "j", F.lit(0).cast("long").alias("w")).unionByName(size.select("path", F.col("owner").alias("i"), F.col("owner").alias("j"), "w"))
+
+
+def _parts(weight: dict[int, int], edges: dict[int, set[int]], path: str, held: int) -> dict[int, str]:
+    """The path of each owner: halves of halves, until a part weighs ``held`` at most or is one owner."""
+    out, todo = {}, [(set(weight), path)]
+    while todo:
+        part, path = todo.pop()
+        if len(part) == 1 or sum(weight[x] for x in part) <= held:
+            out.update(dict.fromkeys(part, path))
+            continue
+        first = _halved(part, edges, weight)
+        if first == part:  # its last owner has most of the weight
+            first.remove(max(part, key=lambda x: (weight[x], x)))
+        todo += [(first, path + "0"), (part - first, path + "1")]
+    return out
+
+
+def _split(edges: DataFrame, nodes: DataFrame, held: int) -> tuple[DataFrame, DataFrame]:
+    """``(node, path)`` of parts that a task holds, with no edge between two of them, and of the separators around them.
+
+    The graph is coarsened once for all levels. An edge between two parts is cut at the level at which their paths
+    part, from the top, unless an end of it is in a separator above.
+    """
+    at, coarse = _coarse(edges, nodes, held)
+
+    def halve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf.i == pdf.j]
+        # smoothing may add a few nodes to a part
+        found = _parts(dict(zip(own.i.tolist(), own.w.tolist())), _graph(pdf)[1], key[0], held * 3 // 4)
+        return pd.DataFrame({"path": key[0], "owner": list(found), "part": list(found.values())})
+
+    parts = _weighed(at, coarse).groupBy("path").applyInPandas(halve, "path string, owner long, part string")
+    part = afresh(at.join(parts, ["path", "owner"]).select("node", "part"))
+    for up in (True, False):
+        # smooth the ragged rims: who has most neighbours in another part goes there, to later parts first
+        votes = edges.join(part.select(F.col("node").alias("j"), F.col("part").alias("most")), "j").groupBy("i", "most").agg(F.count("*").alias("n"))
+        votes = votes.groupBy(F.col("i").alias("node")).agg(F.max(F.struct("n", "most")).alias("x"), F.sum("n").alias("d")).where("2 * x.n > d").select("node", "x.most")
+        there = F.col("most") > F.col("part") if up else F.col("most") < F.col("part")
+        part = afresh(part.join(votes, "node", "left").select("node", F.when(there, F.col("most")).otherwise(F.col("part")).alias("part")))
+    mark = lambda c, name: part.select(F.col("node").alias(c), F.col("part").alias(name))
+    level = F.expr("aggregate(sequence(1, least(length(a), length(b))), 0, (n, k) -> if(n = k - 1 and substr(a, k, 1) = substr(b, k, 1), k, n))")
+    across = afresh(edges.select("i", "j").join(mark("i", "a"), "i").join(mark("j", "b"), "j").where("a <> b").select("i", "j", "a", level.alias("level")))
+    cut = None
+    for k in sorted(r.level for r in across.select("level").distinct().collect()):
+        here = across.where(F.col("level") == k)
+        for end in "ij" if cut is not None else "":
+            here = here.join(cut.select(F.col("node").alias(end)), end, "left_anti")
+        rim = here.select(F.expr(f"substr(a, 1, {k})").alias("path"), F.col("i").alias("node"), F.expr(f"substr(a, {k + 1}, 1)").alias("own")).distinct()
+        counts = rim.groupBy("path").agg(F.count_if(F.col("own") == "0").alias("x"), F.count_if(F.col("own") == "1").alias("y"))
+        new = afresh(rim.join(counts, "path").where(F.col("own") == F.when(F.col("x") <= F.col("y"), "0").otherwise("1")).select("node", F.concat("path", F.lit("2")).alias("path")))
+        cut = new if cut is None else cut.unionByName(new)
+    left = part.select("node", F.col("part").alias("path"))
+    if cut is None:
+        return left, left.limit(0)
+    return left.join(cut.select("node"), "node", "left_anti"), cut
+
+
+def _inside(edges: DataFrame, left: DataFrame) -> DataFrame:
+    """``(i, j, path)``: the edges between nodes of one part."""
+    a, b = left.select(F.col("node").alias("i"), "path"), left.select(F.col("node").alias("j"), F.col("path").alias("other"))
+    return edges.select("i", "j").join(a, "i").join(b, "j").where("path = other").select("i", "j", "path")
+
+
 def _bisect(edges: DataFrame, nodes: DataFrame, fits: int) -> DataFrame:
     """``(node, path, side)``: 0 and 1 have no edge between them, 2 is the separator."""
     at, coarse = _coarse(edges, nodes, fits)
-    size = at.groupBy("path", "owner").agg(F.count("*").alias("w"))
-    rows = coarse.select("path", "i", "j", F.lit(0).cast("long").alias("w")).unionByName(size.select("path", F.col("owner").alias("i"), F.col("owner").alias("j"), "w"))
+    rows = _weighed(at, coarse)
 
     def halve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part, near = _graph(pdf)
@@ -156,6 +227,11 @@ def separators(graph: DataFrame, nodes: DataFrame, fits: int = FITS, leaf: int =
     edges = graph.where("i <> j").select("i", "j")
     edges = settle(edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().withColumn("path", F.lit("")))
     left, done = settle(nodes.select("node").distinct().withColumn("path", F.lit(""))), None
+    if left.count() > HELD:
+        left, cut = _split(edges, left, HELD)
+        fits = min(fits, HELD)
+        left, done = afresh(left), cut.select("node", "path", F.lit(0).alias("place"))
+        edges = afresh(_inside(edges, left))
     while True:
         large = settle(left.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > fits).select("path"))
         if large.isEmpty():
@@ -166,8 +242,7 @@ def separators(graph: DataFrame, nodes: DataFrame, fits: int = FITS, leaf: int =
         done = cut if done is None else done.unionByName(cut)
         halves = side.where("side < 2").select("node", F.concat("path", F.col("side").cast("string")).alias("path"))
         left = settle(rest.select("node", "path").unionByName(halves))
-        a, b = left.select(F.col("node").alias("i"), "path"), left.select(F.col("node").alias("j"), F.col("path").alias("other"))
-        edges = settle(edges.select("i", "j").join(a, "i").join(b, "j").where("path = other").select("i", "j", "path"))
+        edges = settle(_inside(edges, left))
 
     def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, str, int]] = []
