@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ijvory.operators.products import pattern_product
+from ijvory.operators.products import normal_pattern
 from ijvory.operators.rounds import afresh, settle
-from ijvory.operators.shape import transpose
 
 
 def bfs_levels(a: DataFrame, sources: DataFrame) -> DataFrame:
@@ -209,7 +208,7 @@ def graph_of_normal(a: DataFrame, dense: int | None = None) -> DataFrame:
     """The pattern of AᵀA without its diagonal, and without rows of more than ``dense`` entries if given."""
     if dense is not None:
         a = a.join(a.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > dense), "i", "left_anti")
-    return pattern_product(transpose(a), a).where("i <> j")
+    return normal_pattern(a).where("i <> j")
 
 
 def star_of_normal(a: DataFrame) -> DataFrame:
